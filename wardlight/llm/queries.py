@@ -6,18 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import minimax_shard
+from wardlight.llm import minimax_shard, mixing, two_fit_pack
+from wardlight.llm.common import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("n_tokens"))
+    docs = materialize(docs)
+    n = docs.agg({"n_tokens": "sum"}).first()[0] or 0
+    return mixing.mix(docs, "n_tokens", budget=n, entropy_share=0.97, max_repeats=4.0)
+
+
 def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shard.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_fit_pack.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_temperature_mixing": op2_temperature_mixing,
     "op7_minimax_sharding": op7_minimax_sharding,
+    "op8_best_two_fit_packing": op8_best_two_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
