@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import minimax_shard, mixing, two_fit_pack
+from wardlight.llm import fertility, minimax_shard, mixing, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("n_tokens"))
     docs = materialize(docs)
@@ -30,6 +34,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokeniser_fertility": op1_tokeniser_fertility,
     "op2_temperature_mixing": op2_temperature_mixing,
     "op7_minimax_sharding": op7_minimax_sharding,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
