@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import centroid_lang, fertility, minimax_shard, mixing, tree_extract, two_fit_pack
+from wardlight.llm import centroid_lang, fertility, minimax_shard, mixing, ngram_join, tree_extract, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -41,6 +41,10 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_fit_pack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokeniser_fertility": op1_tokeniser_fertility,
     "op2_temperature_mixing": op2_temperature_mixing,
@@ -48,5 +52,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_centroid_language": op5_centroid_language,
     "op7_minimax_sharding": op7_minimax_sharding,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
