@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import centroid_lang, fertility, minimax_shard, mixing, ngram_join, tree_extract, two_fit_pack
+from wardlight.llm import centroid_lang, fertility, lattice, minimax_shard, mixing, ngram_join, tree_extract, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -25,6 +25,10 @@ def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "n_tokens", budget=n, entropy_share=0.97, max_repeats=4.0)
 
 
+def op3_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokeniser_fertility": op1_tokeniser_fertility,
     "op2_temperature_mixing": op2_temperature_mixing,
+    "op3_lattice_near_dedup": op3_lattice_near_dedup,
     "op4_tree_extraction": op4_tree_extraction,
     "op5_centroid_language": op5_centroid_language,
     "op7_minimax_sharding": op7_minimax_sharding,
