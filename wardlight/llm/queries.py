@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import centroid_lang, fertility, lattice, minimax_shard, mixing, ngram_join, tree_extract, two_fit_pack
+from wardlight.llm import centroid_lang, fertility, lattice, minimax_shard, mixing, ngram_join, surrogate, tree_extract, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -45,6 +45,11 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_fit_pack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_surrogate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate.replace_entities(docs, key="wardlight-2024")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_centroid_language": op5_centroid_language,
     "op7_minimax_sharding": op7_minimax_sharding,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
+    "op9_surrogate_generation": op9_surrogate_generation,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
