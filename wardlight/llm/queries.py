@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import centroid_lang, fertility, lattice, minimax_shard, mixing, ngram_join, surrogate, tree_extract, two_fit_pack
+from wardlight.llm import centroid_lang, fertility, kneser_ney, lattice, minimax_shard, mixing, ngram_join, surrogate, tree_extract, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -37,6 +37,11 @@ def op5_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_lang.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op7_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shard.shard(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lattice_near_dedup": op3_lattice_near_dedup,
     "op4_tree_extraction": op4_tree_extraction,
     "op5_centroid_language": op5_centroid_language,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_minimax_sharding": op7_minimax_sharding,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_surrogate_generation": op9_surrogate_generation,
