@@ -1,17 +1,68 @@
-"""The training-data pipeline: STAGES, run() and the SQL for its rows."""
+"""The training-data pipeline: quality, near-duplicates, personal data, mixing and packing, each stage on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-#: SQL can't express the stages' models, sketches and keyed digests; tests/llm hold them against brute force.
+from wardlight.llm import kneser_ney, mixing, ngram_join, surrogate, two_fit_pack
+from wardlight.llm.common import materialize, small
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids."""
+    ids = materialize(ids.distinct())
+    return docs.join(small(ids, ids.count()), "doc_id", "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the perplexity classifier keeps."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = kneser_ney.classify(docs, labels)
+    kept = judged.where("kept").select("doc_id", "text_key")
+    kept = materialize(kept)
+    marked = docs.withColumn("text_key", F.xxhash64("text")).join(small(kept, kept.count()), ["doc_id", "text_key"], "left_semi")
+    return marked.select(*COLUMNS)
+
+
+def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8 or more."""
+    return _only(docs, ngram_join.join(docs).where("kept").select("doc_id")).dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and secrets."""
+    replaced = surrogate.replace_entities(docs.select(*COLUMNS), key="wardlight-2024", count_col=None)
+    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; sources with small shares are repeated towards the target entropy, at most twice."""
+    counted = docs.select(*COLUMNS, mixing.word_count().alias("n_words"))
+    return mixing.mix(counted, "n_words", budget=None, entropy_share=0.97, max_repeats=2.0).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the drawn documents in sequences of 2048 tokens."""
+    return two_fit_pack.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_dedup),
+    ("PII surrogates", personal_data),
+    ("source mixing", source_mixing),
+    ("best-fit packing", packing),
+]
+#: SQL can't express the stages' models, sketches, keyed digests and packing; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply all stages to documents; each one's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
