@@ -8,7 +8,6 @@ still holds its lengths, so one step plans that bin as often as it can be repeat
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,15 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import gapless_rank, materialize, python_batches
+from wardlight.llm.vocab import BytePairs
 
-#: White space that a split at single blanks and line ends would not keep apart: such texts go to the tokenizer whole.
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n](?=[ \n])|\A[ \n]|[ \n]\Z")
-TAIL = re.compile(r"[^\w\s]+\Z")
+#: ASCII punctuation, a split of its own at the end of a word that ends in a letter.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a Python worker keeps with their ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 END_ID = 0
 
 
+def plain_space(text: str) -> bool:
+    """Whether the only white space of a text is single blanks and single line ends between words (other unprintable characters count as white space)."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(two in text for two in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
+
+
 class PieceIds:
     """Token ids of whole texts as little-endian bytes, through a bounded cache of words.
 
@@ -34,56 +40,53 @@ class PieceIds:
     A word's trailing punctuation is a split of its own too.
     """
 
-    def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    def __init__(self, rank_file: str | None):
+        self.pairs = BytePairs(rank_file)
         self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.tails: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Cache words; one that begins with a line end stands alone, any other follows a blank."""
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        missing = [w for w in words if w not in self.words]
-        cut = {w: m.start() for w in missing if (m := TAIL.search(w)) and m.start() and w[m.start() - 1].isalpha()}
-        heads = {w[:k] for w, k in cut.items()}
-        plain = [w for w in {*missing, *heads} if w not in cut and w not in self.words]
-        tails = list({w[k:] for w, k in cut.items()})
-        ids = self._encode([w if w[:1] == "\n" else f" {w}" for w in plain] + tails)
-        self.words.update(zip(plain, ids, strict=False))
-        tail = dict(zip(tails, ids[len(plain) :], strict=True))
-        self.words.update((w, self.words[w[:k]] + tail[w[k:]]) for w, k in cut.items())
+            self.words, self.tails = {}, {}
+        known = self.words
+        plain, cut = [], []
+        for w in words:
+            if w not in known:
+                head = w.rstrip(PUNCTUATION)
+                if head != w and head and head[-1].isalpha():
+                    cut.append((w, head))
+                else:
+                    plain.append(w)
+        plain += {head for _, head in cut}.difference(known, plain)
+        known.update(zip(plain, self.pairs.words([w if w[:1] == "\n" else f" {w}" for w in plain]), strict=True))
+        for w, head in cut:
+            end = w[len(head) :]
+            if (tail := self.tails.get(end)) is None:
+                tail = self.tails[end] = self.pairs.text(end)
+            known[w] = known[head] + tail
 
     def of(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = [None if not t or ODD_SPACE.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        parts: list[list[str] | None] = [None if not plain_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self.learn(set().union(*[p[1:] for p in parts if p]))
-        whole = [t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]
-        firsts = self._encode(whole)
         get = self.words.__getitem__
-        return [a if p is None else a + b"".join(map(get, p[1:])) for a, p in zip(firsts, parts, strict=True)]
+        return [self.pairs.text(t) if p is None else self.pairs.text(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, parts, strict=True)]
 
 
-_IDS: dict[str, PieceIds] = {}
+_IDS: dict[str | None, PieceIds] = {}
 
 
-def piece_table(docs: DataFrame, tokenizer_file: str | None, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def piece_table(docs: DataFrame, rank_file: str | None, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents with their end id, cut where longer than capacity."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        file = tokenizer_file or public_tokenizers.path("byte_bpe_50k.json")
-        if file not in _IDS:
-            _IDS[file] = PieceIds(file)
+        if rank_file not in _IDS:
+            _IDS[rank_file] = PieceIds(rank_file)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, ids in enumerate(_IDS[file].of([t or "" for t in batch.column(1).to_pylist()])):
+            for k, ids in enumerate(_IDS[rank_file].of([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 start, stop, piece = 0, n % capacity or capacity, 0
@@ -140,15 +143,15 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[in
     return plan
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     A document is its token ids and one end id. A longer one than capacity is cut into pieces of capacity, its first piece may be shorter. A null
     or empty text is one end id. Repeated rows and null ids are documents of their own (which of two pieces of one length takes which place is decided by their ids);
-    an empty table gives no rows. tokenizer_file: a file that the tokenizers library reads, on every machine; None: the public byte-level vocabulary.
+    an empty table gives no rows. rank_file: the ranks of a byte-level vocabulary, at the same path on every machine; None: the public one.
     """
     python_batches(docs.sparkSession)
-    pieces = materialize(piece_table(docs, tokenizer_file, capacity, id_col, text_col))
+    pieces = materialize(piece_table(docs, rank_file, capacity, id_col, text_col))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots, sequence, used = [], 0, dict.fromkeys(counts, 0)
     for bin_, times in plan_bins(counts, capacity):
