@@ -27,6 +27,8 @@ SHARD_GRAMS = 4_000_000
 GATHERED = 3_000_000
 #: Characters from which on a text's threshold is no wider, and documents that a language needs for a threshold of its own.
 FULL_CHARS, OWN_THRESHOLD = 1500, 50
+#: A threshold is no nearer to the median than so many robust deviations: a quantile of few documents is too low.
+DEVIATIONS = 5.0
 
 
 def packed_grams(text: str) -> np.ndarray:
@@ -177,13 +179,18 @@ def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> D
     return whole.groupBy(*keep).agg((F.sum("n") / shards).cast("long").alias("n"), F.sum("logp").alias("logp"))
 
 
+def _reach(off: Column, quantile: float) -> Column:
+    """How far above the median a threshold lies, from the documents' distances to the median."""
+    return F.greatest(F.percentile_approx(off, quantile, 10_000), DEVIATIONS * 1.4826 * F.percentile_approx(F.abs(off), 0.5, 10_000))
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, quantile: float = 0.998, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str | None = "toxic",
 ) -> DataFrame:
     """(doc_id, lang, text_key, n, perplexity, threshold, kept), one row for each distinct (doc_id, text) of docs.
 
     labels: ids with a quality (1: trusted) and, if toxic_col is given, a flag that takes the trust away. A fifth of the trusted documents, by a hash of their id, sets the thresholds, the rest
-    trains. kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that fifth, or over all of it for a null or rare language; for a
+    trains. kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that fifth, or over all of it for a null or rare language, and DEVIATIONS above the median at least; for a
     text shorter than FULL_CHARS it is further from the language's median by the root of FULL_CHARS over its length. A null or empty text has no perplexity and isn't kept. Without trusted
     documents nothing can be judged: perplexity and threshold are null, every text with a character is kept. An empty table gives no rows.
     """
@@ -208,9 +215,9 @@ def classify(
     all_middle = setting.agg(F.percentile_approx("loss", 0.5, 10_000)).first()[0]
     wide = F.sqrt(F.least(F.col("n"), F.lit(FULL_CHARS)) / FULL_CHARS)
     off = (F.col("loss") - F.col("m")) * wide
-    by_lang = setting.join(small(middle, n_langs), "lang").groupBy("lang").agg(F.percentile_approx(off, quantile, 10_000).alias("up"), F.first("m").alias("m"), F.first("docs").alias("docs"))
+    by_lang = setting.join(small(middle, n_langs), "lang").groupBy("lang").agg(_reach(off, quantile).alias("up"), F.first("m").alias("m"), F.first("docs").alias("docs"))
     by_lang = materialize(by_lang.where((F.col("docs") >= OWN_THRESHOLD) & F.col("lang").isNotNull()).select("lang", "m", "up"))
-    over_all = setting.agg(F.percentile_approx((F.col("loss") - F.lit(all_middle)) * wide, quantile, 10_000)).first()[0] if all_middle is not None else None
+    over_all = setting.agg(_reach((F.col("loss") - F.lit(all_middle)) * wide, quantile)).first()[0] if all_middle is not None else None
     limit = F.coalesce("m", F.lit(all_middle)) + F.greatest(F.coalesce("up", F.lit(over_all)), F.lit(0.0)) / wide
     judged = scored.join(small(by_lang, n_langs), "lang", "left").dropDuplicates(["doc_id", "text_key"])
     return judged.select(
