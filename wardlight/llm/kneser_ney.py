@@ -8,6 +8,7 @@ documents of a language that the model didn't learn from.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,7 +146,7 @@ class Lookup:
         return total
 
 
-_LOOKUPS: dict[int, Lookup] = {}
+_LOOKUPS: dict[str, Lookup] = {}
 
 
 def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -157,7 +158,7 @@ def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> D
     for s in range(shards):
         own = logs.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s).toArrow()  # about SHARD_GRAMS rows of 12 bytes
         shared = spark.sparkContext.broadcast((own["g"].to_numpy(), own["logp"].to_numpy()))
-        mark = shared.id if hasattr(shared, "id") else id(shared)
+        mark = uuid.uuid4().hex  # workers outlive a query
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark) -> Iterator[pa.RecordBatch]:
             if mark not in _LOOKUPS:
