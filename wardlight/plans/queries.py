@@ -810,3 +810,209 @@ def _(v):
 def _(v):
     lines = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     return lines.where(F.col("t").rlike("[Ll]icense")).groupBy("doc_id").agg(F.min("i").cast("long").alias("line"))
+
+
+# --- text tables, catalogues, composites ---------------------------------------------------------------------------------------------------
+
+@query("T1_wide_to_long", "", """
+    select l_orderkey id, h.h::int as slot, v.v as reading from (select l_orderkey, l_linenumber, [l_quantity, l_discount*100, l_tax*100] cells from lineitem where l_linenumber=1) t, (select unnest(range(0,3)) h) h, lateral (select cells[h.h+1] v) v where v.v>0 and v.v<=1000""")
+def _(v):
+    li = v.table("lineitem").where("l_linenumber = 1").select("l_orderkey", F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("cells"))
+    long = li.select(F.col("l_orderkey").alias("id"), F.posexplode("cells").alias("slot", "reading"))
+    return long.where((F.col("reading") > 0) & (F.col("reading") <= 1000))
+
+
+@query("T4_densified_series", "budget", """
+    with t as (select ward, fy_start, count(*) n from budget where fy_start%3<>0 group by 1,2), y as (select unnest(range(1994,2000)) y)
+    select n_name ward, y.y::int fy_start, n, case when n is null then 'missing' else 'reported' end status from nation cross join y left join t on ward=n_name and fy_start=y.y""")
+def _(v):
+    t = v.budget().where("fy_start % 3 <> 0").groupBy("ward", "fy_start").agg(F.count(F.lit(1)).alias("n"))
+    years = v.spark.range(1994, 2000).select(F.col("id").cast("int").alias("fy_start"))
+    d = finance.densify(v.table("nation").select(F.col("n_name").alias("ward")), years, t, ["ward", "fy_start"])
+    return d.withColumn("status", F.when(F.col("n").isNull(), "missing").otherwise("reported"))
+
+
+@query("T9_later_document_wins", "budget", """
+    with t as (select fy_start, doc, round(sum(amount),2) a from budget group by 1,2) select fy_start, arg_max(a, doc) amount, max(doc) doc from t group by 1""")
+def _(v):
+    t = v.budget().groupBy("fy_start", "doc").agg(F.round(F.sum("amount"), 2).alias("a"))
+    return t.groupBy("fy_start").agg(F.max_by("a", "doc").alias("amount"), F.max("doc").alias("doc"))
+
+
+@query("T14_pattern_or_prose", "", """
+    select p_partkey, coalesce(nullif(regexp_extract(p_brand,'Brand#(1[0-9])$',1),''), nullif(regexp_extract(p_brand,'#([0-9]+)$',1),'')) code from part""")
+def _(v):
+    e = lambda p: F.nullif(F.regexp_extract("p_brand", p, 1), F.lit(""))
+    return v.table("part").select("p_partkey", F.coalesce(e("Brand#(1[0-9])$"), e("#([0-9]+)$")).alias("code"))
+
+
+@query("T16_route_features", "routes trips stop_times", """
+    with f as (select route_id, min(trip_id) trip_id from trips group by 1), s as (select f.route_id, list(stop_id order by stop_sequence, stop_id) stops from f join stop_times using (trip_id) group by 1 having count(*)>=2)
+    select s.route_id, agency_id, stops from s join routes using (route_id)""")
+def _(v):
+    f = transit.first_trip(v.trips(), "trip_id")
+    s = v.stop_times().join(f, "trip_id").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id"))).alias("s")).where(F.size("s") >= 2)
+    return s.select("route_id", F.transform("s", lambda x: x["stop_id"]).alias("stops")).join(v.routes().select("route_id", "agency_id"), "route_id")
+
+
+@query("T20_placement", "wards", """
+    select s_suppkey, round((x0+x1)/2,9) x, round((y0+y1)/2,9) y from supplier join wards on poly_id=s_nationkey where s_nationkey<20""")
+def _(v):
+    c = v.wards().where("poly_id < 20").select("poly_id", geo.centroid(F.col("ring")).alias("c"))
+    j = v.table("supplier").join(F.broadcast(c), F.col("s_nationkey") == F.col("poly_id"))
+    return j.select("s_suppkey", F.round("c.x", 9).alias("x"), F.round("c.y", 9).alias("y"))
+
+
+@query("T20_placement_skipped", "", "select s_suppkey from supplier where s_nationkey not in (select n_nationkey from nation where n_nationkey<20)")
+def _(v):
+    return v.table("supplier").join(F.broadcast(v.wards().where("poly_id < 20").select(F.col("poly_id").alias("s_nationkey"))), "s_nationkey", "left_anti").select("s_suppkey")
+
+
+@query("F3_W8_serial_blocks", "", """
+    with t as (select conv_id, count(*) n, count(*) filter (where turn=r) good from (select *, row_number() over (partition by conv_id order by turn)-1 r from conversations) group by 1) select conv_id, good=n gapless from t""")
+def _(v):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = v.table("conversations").withColumn("r", F.row_number().over(w) - 1)
+    return c.groupBy("conv_id").agg((F.count_if(F.col("turn") == F.col("r")) == F.count(F.lit(1))).alias("gapless"))
+
+
+@query("F10_service_priority", "people libraries wards", f"""
+    with n as (select w.poly_id, count(p.point_id) a from wards w left join people p on {IN_WARD} group by 1), s as (select w.poly_id, count(p.target_id) b from wards w left join libraries p on {IN_WARD} group by 1),
+    j as (select poly_id, a::double a, b::double b from n join s using (poly_id)), m as (select *, coalesce((a-min(a) over ())/nullif(max(a) over ()-min(a) over (),0),0) na, coalesce((b-min(b) over ())/nullif(max(b) over ()-min(b) over (),0),0) nb from j)
+    select poly_id, round((na+nb)/2,9) composite, round(1-nb,9) gap from m""")
+def _(v):
+    n = spatial.count_per_polygon(v.people(), v.wards(), "a").join(spatial.count_per_polygon(v.libraries().withColumnRenamed("target_id", "point_id"), v.wards(), "b"), "poly_id")
+    n = stats.min_max(stats.min_max(n, "a", "na"), "b", "nb")
+    return n.select("poly_id", F.round((F.col("na") + F.col("nb")) / 2, 9).alias("composite"), F.round(1 - F.col("nb"), 9).alias("gap"))
+
+
+@query("F12_colour_ramp", "", """
+    select p_partkey, (case when t<0.5 then t*2*255 else 255 end)::double red from (select p_partkey, p_size/50e0 t from part)""")
+def _(v):
+    t = F.col("p_size") / 50.0
+    return v.table("part").select("p_partkey", F.when(t < 0.5, t * 2 * 255).otherwise(255.0).alias("red"))
+
+
+@query("F13_compass", "people", """
+    select point_id, ['N','NE','E','SE','S','SW','W','NW'][(round_even(((degrees(atan2(x-72.5e0,y-23.5e0))+360)%360)/45,0)::int%8)+1] direction from people""")
+def _(v):
+    b = F.pmod(F.degrees(F.atan2(F.col("x") - 72.5, F.col("y") - 23.5)), F.lit(360.0))
+    return v.people().select("point_id", geo.compass(b).alias("direction"))
+
+
+@query("F25_validators", "", """
+    select o_orderkey, regexp_matches(o_orderpriority,'^[1-5]-[A-Z ]+$') priority_ok, o_totalprice between 0 and 400000 price_ok, try_cast(substr(o_orderpriority,1,1) as int) between 1 and 3 urgent from orders""")
+def _(v):
+    p = F.col("o_orderpriority")
+    return v.table("orders").select("o_orderkey", p.rlike("^[1-5]-[A-Z ]+$").alias("priority_ok"), F.col("o_totalprice").between(0, 400000).alias("price_ok"), coerce.number(F.substring(p, 1, 1)).between(1, 3).alias("urgent"))
+
+
+@query("F29_ranges", "", "select distinct s::int as session from (select unnest(range(1,4)) s union all select 5 union all select unnest(range(3,8)))")
+def _(v):
+    parts = v.spark.range(1).select(F.explode(F.split(F.lit("1-3,5,3-7"), ",")).alias("p"))
+    a, b = F.split("p", "-")[0].cast("int"), F.element_at(F.split("p", "-"), -1).cast("int")
+    return parts.select(F.explode(F.sequence(a, b)).alias("session")).distinct()
+
+
+@query("F32_vacancy", "", """
+    select s_nationkey nation, round(count(*) filter (where s_acctbal<0)*100e0/count(*),4) vacancy, case when count(*) filter (where s_acctbal<0)*2>=count(*) then 'severe' else 'moderate' end tier from supplier group by 1""")
+def _(v):
+    e = F.count_if(F.col("s_acctbal") < 0)
+    n = F.count(F.lit(1))
+    return v.table("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.round(e * 100.0 / n, 4).alias("vacancy"), F.when(e * 2 >= n, "severe").otherwise("moderate").alias("tier"))
+
+
+@query("F33_summaries", "", "select o_orderkey, concat_ws(' · ', o_orderstatus, nullif(o_orderpriority,'5-LOW')) summary from orders")
+def _(v):
+    return v.table("orders").select("o_orderkey", F.concat_ws(" · ", "o_orderstatus", F.nullif("o_orderpriority", F.lit("5-LOW"))).alias("summary"))
+
+
+@query("U6_set_equality", "", "select (select count(*) from (select n_nationkey from nation except select c_nationkey from customer))+(select count(*) from (select c_nationkey from customer except select n_nationkey from nation)) differing")
+def _(v):
+    a, b = v.table("nation").select("n_nationkey"), v.table("customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct()
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differing"))
+
+
+@query("S1_S4_nulls_last", "", "select p_partkey, case when p_size%5=0 then null else p_retailprice end price from part order by 2 desc nulls last, 1 limit 15")
+def _(v):
+    p = v.table("part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice")).alias("price"))
+    return p.orderBy(F.col("price").desc_nulls_last(), "p_partkey").limit(15)
+
+
+@query("S8_S9_canonical_order", "", """
+    select r_name, row_number() over (order by coalesce(o, 99), r_name) place from region left join (values ('EUROPE',0),('ASIA',1)) t(n,o) on n=r_name""")
+def _(v):
+    order = v.spark.createDataFrame([("EUROPE", 0), ("ASIA", 1)], "r_name string, o int")
+    r = v.table("region").join(F.broadcast(order), "r_name", "left")
+    return r.select("r_name", F.row_number().over(Window.orderBy(F.coalesce("o", F.lit(99)), "r_name")).cast("long").alias("place"))
+
+
+@query("W10_latest_fact", "readings", "select station, arg_max(value, (value>50, ts)) latest from readings group by 1")
+def _(v):
+    return v.readings().groupBy("station").agg(F.max_by("value", F.struct(F.col("value") > 50, F.col("ts"))).alias("latest"))
+
+
+@query("X3_library_summary", "libraries wards", f"""
+    select count(*) total, count(*) filter (where value>=0) fixed, count(*) filter (where w.poly_id is not null) placed, printf('%.1f%%', count(*) filter (where w.poly_id is not null)*100e0/count(*)) coverage from libraries p left join wards w on {IN_WARD}""")
+def _(v):
+    at = spatial.first_containing(v.libraries().withColumnRenamed("target_id", "point_id"), v.wards()).withColumnRenamed("point_id", "target_id")
+    j = v.libraries().join(at, "target_id", "left")
+    placed, n = F.count("poly_id"), F.count(F.lit(1))
+    return j.agg(n.alias("total"), F.count_if(F.col("value") >= 0).alias("fixed"), placed.alias("placed"), F.format_string("%.1f%%", placed * 100.0 / n).alias("coverage"))
+
+
+@query("X5_ward_record", "budget", """
+    with s as (select ward, sum(amount) a from budget group by 1), p as (select n_name ward, count(*) n, count(*) filter (where c_mktsegment='BUILDING') b from customer join nation on c_nationkey=n_nationkey group by 1)
+    select p.ward, round(b*100e0/n,4) share, round(a/n,2) per_resident from p left join s using (ward)""")
+def _(v):
+    s = v.budget().groupBy("ward").agg(F.sum("amount").alias("a"))
+    c = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    p = c.groupBy(F.col("n_name").alias("ward")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("b"))
+    return p.join(s, "ward", "left").select("ward", F.round(F.col("b") * 100.0 / F.col("n"), 4).alias("share"), F.round(coerce.ratio(F.col("a"), F.col("n")), 2).alias("per_resident"))
+
+
+@query("X6_headline_fill", "budget", """
+    with b as (select fy_start, sum(amount) filter (where basis='A' and fy_start%2=0) a, sum(amount) filter (where basis='R') r from budget group by 1) select fy_start, round(coalesce(a,r),2) headline, case when a is null then 'filled' else 'own' end origin from b""")
+def _(v):
+    b = v.budget().groupBy("fy_start").agg(F.sum(F.when((F.col("basis") == "A") & (F.col("fy_start") % 2 == 0), F.col("amount"))).alias("a"), F.sum(F.when(F.col("basis") == "R", F.col("amount"))).alias("r"))
+    return b.select("fy_start", F.round(F.coalesce("a", "r"), 2).alias("headline"), F.when(F.col("a").isNull(), "filled").otherwise("own").alias("origin"))
+
+
+@query("X9_crosswalk", "wards", """
+    select w.name ward, r_name ac, lpad(w.poly_id::varchar,2,'0') ward_no, count(*) over (partition by r_name) wards_of_ac from wards w join region on region=r_regionkey""")
+def _(v):
+    w = v.wards().join(F.broadcast(v.table("region")), F.col("region") == F.col("r_regionkey"))
+    n = w.groupBy("r_name").agg(F.count(F.lit(1)).alias("wards_of_ac"))
+    return w.join(n, "r_name").select(F.col("name").alias("ward"), F.col("r_name").alias("ac"), F.lpad(F.col("poly_id").cast("string"), 2, "0").alias("ward_no"), "wards_of_ac")
+
+
+@query("X14_manifest_rollup", "", "select o_orderpriority source, count(*) files, count(*) filter (where o_orderstatus='F') ok, count(*) filter (where o_orderstatus<>'F') failed, round(sum(o_totalprice),2) bytes from orders group by 1")
+def _(v):
+    ok = F.col("o_orderstatus") == "F"
+    return v.table("orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count(F.lit(1)).alias("files"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.sum("o_totalprice"), 2).alias("bytes"))
+
+
+@query("X15_constituency_ranking", "libraries wards", f"""
+    with n as (select region, count(p.target_id) n from wards w left join libraries p on {IN_WARD} group by 1) select coalesce(r_name,'?') name, n from n left join region on region=r_regionkey order by n, name limit 3""")
+def _(v):
+    n = v.wards().select("poly_id", "region").join(spatial.count_per_polygon(v.libraries().withColumnRenamed("target_id", "point_id"), v.wards()), "poly_id").groupBy("region").agg(F.sum("n").alias("n"))
+    j = n.join(F.broadcast(v.table("region")), F.col("region") == F.col("r_regionkey"), "left")
+    return j.select(F.coalesce("r_name", F.lit("?")).alias("name"), "n").orderBy("n", "name").limit(3)
+
+
+@query("X18_clipped_trips", "trips stop_times stops", """
+    with h as (select trip_id, count(*) n from stop_times join stops using (stop_id) where x between 72.1 and 72.6 and y between 23.1 and 23.6 group by 1 having count(*)>=2) select route_id, min(trip_id) trip_id from trips semi join h using (trip_id) group by 1""")
+def _(v):
+    feed = transit.filter_box(v.routes(), v.trips(), v.stop_times(), v.stops(), transit.in_box(72.1, 23.1, 72.6, 23.6))
+    return transit.first_trip(feed["trips"], "trip_id")
+
+
+@query("X28_siting_class", "people libraries", """
+    with d as (select point_id, min(sqrt(pow(p.x-l.x,2)+pow(p.y-l.y,2))) filter (where target_id%2=0) a, min(sqrt(pow(p.x-l.x,2)+pow(p.y-l.y,2))) filter (where target_id%2=1) b from people p cross join libraries l group by 1)
+    select case when a<=0.02 then 'rail' when b<=0.02 then 'bus' else 'none' end siting, count(*) n from d group by 1""")
+def _(v):
+    lib = v.libraries()
+    a = spatial.nearest(v.people(), lib.where("target_id % 2 = 0")).select("point_id", F.col("near")[0]["d"].alias("a"))
+    b = spatial.nearest(v.people(), lib.where("target_id % 2 = 1")).select("point_id", F.col("near")[0]["d"].alias("b"))
+    c = F.when(F.col("a") <= 0.02, "rail").when(F.col("b") <= 0.02, "bus").otherwise("none")
+    return a.join(b, "point_id").groupBy(c.alias("siting")).agg(F.count(F.lit(1)).alias("n"))
