@@ -15,22 +15,35 @@ from wardlight.llm.common import materialize, small
 #: Private-use characters that mark what was found; where a text has them itself they are escaped.
 OPEN, CLOSE, ESCAPE, MALE, FEMALE = "", "", "", "", ""
 
-#: Patterns by type, tried in this order at each place of a text.
+#: Patterns by type, tried in this order at each place of a text. The one that holds most texts back comes first in each: a class of first characters.
 PATTERNS = {
     "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[\p{L}]{2,24}(?![\p{L}\p{N}-])",
-    "SECRET": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|[0-9a-f]{32,128})(?![\p{L}\p{N}])"
-    r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?)[^\s\"'=:-]{6,255}",
-    "IP": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
-    "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "CARD": r"(?<![\p{L}\p{N}+.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
-    "SSN": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "PHONE": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-])",
+    "SECRET": r"(?=[Agsx0-9a-f])(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|[0-9a-f]{32,128})(?![\p{L}\p{N}])",
+    "IP": r"(?=[0-9])(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
+    "IBAN": r"(?=[A-Z]{2}\d)(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "CARD": r"(?=[0-9])(?<![\p{L}\p{N}+.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "SSN": r"(?=[0-9])(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "PHONE": r"(?=[0-9+(])(?:(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}-]))",
 }
+#: A secret after its name: the name and sign, the value.
+KEYED = r"(?=[PpSsTtAa])((?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?)([^\s\"'=:-]{6,255})"
 NAME = r"\p{Lu}[\p{Ll}'’]{1,30}(?:[ -]\p{Lu}[\p{Ll}'’]{1,30}){0,2}"
-MALE_TITLES = r"Mr|Sir|Lord|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|господин|Г-н|г-н"
-FEMALE_TITLES = r"Mrs|Ms|Miss|Madam|Lady|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Госпожа|госпожа|Г-жа|г-жа"
-NAMES = {MALE: rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{MALE_TITLES})\.? ){NAME}", FEMALE: rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{FEMALE_TITLES})\.? ){NAME}"}
-ANY = "|".join([*PATTERNS.values(), *NAMES.values()])
+MALE_TITLES = r"Mr|Sir|Lord|Herrn|Herr|Monsieur|Señor|Sr|Don|Господин|господин|Г-н|г-н"
+FEMALE_TITLES = r"Mrs|Miss|Ms|Madame|Madam|Lady|Frau|Mme|Mlle|Señorita|Señora|Srta|Sra|Doña|Госпожа|госпожа|Г-жа|г-жа"
+NAMES = {tag: rf"(?=[DFHLMSГг])(?<![\p{{L}}\p{{N}}])((?:{titles})\.? )({NAME})" for tag, titles in ((MALE, MALE_TITLES), (FEMALE, FEMALE_TITLES))}
+
+
+def has_entity(text: Column) -> Column:
+    """Whether a text has an entity. Every pattern is tried only on texts with a string or character that it needs."""
+    digit = text.rlike("[0-9]")
+    known = text.contains("AKIA") | text.contains("sk-") | text.contains("xox") | text.contains("gho_") | text.contains("ghp_") | text.contains("ghu_") | text.contains("ghs_") | text.contains("ghr_") | (digit & text.rlike("[0-9a-f]{32}"))
+    numbers = "(?=[0-9+(A-Z])(?:" + "|".join(PATTERNS[k] for k in ("IP", "IBAN", "CARD", "SSN", "PHONE")) + ")"
+    named = text.rlike(r"[DFHLMSГг][\p{L}-]{1,8}\.? \p{Lu}")
+    found = (digit & text.rlike(numbers)) | (text.contains("@") & text.rlike(PATTERNS["EMAIL"])) | (known & text.rlike(PATTERNS["SECRET"]))
+    found = found | ((text.contains("=") | text.contains(":")) & text.rlike(KEYED)) | (named & text.rlike("|".join(NAMES.values())))
+    return F.coalesce(found, F.lit(False))
+
+
 #: Types whose separators don't tell entities apart.
 JOINED = ("IBAN", "CARD", "SSN", "PHONE")
 #: Kept at the start of a secret, an account or a phone number: what tells its kind; at the end of an address: its top domain.
@@ -142,12 +155,15 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     columns = [c for c in docs.columns if c != count_col]
     added = [count_col] if count_col else []
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(ANY), F.lit(False))
+    has = has_entity(text)
     own = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ESCAPE, ESCAPE + "c"), OPEN, ESCAPE + "a"), CLOSE, ESCAPE + "b")
     own = F.regexp_replace(F.regexp_replace(own, MALE, ESCAPE + "d"), FEMALE, ESCAPE + "e")
-    marked = F.regexp_replace(own, "|".join(PATTERNS.values()), f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(own, KEYED, f"$1{OPEN}$2{CLOSE}")
+    # what is marked already is taken as it is, and marked once
+    marked = F.regexp_replace(marked, "|".join([f"{OPEN}[^{CLOSE}]*{CLOSE}", *PATTERNS.values()]), f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(F.regexp_replace(marked, OPEN + OPEN, OPEN), CLOSE + CLOSE, CLOSE)
     for tag, pattern in NAMES.items():
-        marked = F.regexp_replace(marked, pattern, f"{OPEN}{tag}$0{CLOSE}")
+        marked = F.regexp_replace(marked, pattern, f"$1{OPEN}{tag}$2{CLOSE}")
     found = docs.where(has).select(*columns, F.split(marked, f"[{OPEN}{CLOSE}]").alias("_pieces"), F.monotonically_increasing_id().alias("_row"))
     found = materialize(found)
 
