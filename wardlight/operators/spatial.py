@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.functions import geo
 
 #: Rows of a side that may be broadcast as one array; beyond it a grid join is planned.
-ARRAY_ROWS = 20_000
+ARRAY_ROWS = 64
 
 
 def with_bbox(polys: DataFrame) -> DataFrame:
@@ -49,43 +49,87 @@ def count_per_polygon(points: DataFrame, polys: DataFrame, out: str = "n", tile:
     return polys.select("poly_id").join(n, "poly_id", "left").na.fill(0, [out])
 
 
-def planar(x: Column, y: Column, t: Column) -> Column:
-    return F.hypot(x - t["x"], y - t["y"])
+class planar:
+    """Distances on the plane."""
 
+    @staticmethod
+    def between(x: Column, y: Column, tx: Column, ty: Column) -> Column:
+        return F.hypot(x - tx, y - ty)
 
-def spherical(x: Column, y: Column, t: Column) -> Column:
-    return geo.haversine(y, x, t["y"], t["x"])
+    @staticmethod
+    def bound(x: Column, y: Column, width: float) -> Column:
+        """What a target outside of a point's cell and the eight around it is away at least."""
+        return F.lit(width)
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar, cell: float = 0.05) -> DataFrame:
-    """points with near, an array of the k nearest targets as structs (d, target_id, value), by distance and then id; targets: (target_id, x, y, value).
+class spherical:
+    """Great-circle distances in metres between longitudes x and latitudes y."""
 
-    Up to ARRAY_ROWS targets are broadcast as one array. More of them, for planar distances, are found on a grid: a point's candidates are the targets of the
-    cells around it, the answer is final when the k-th lies nearer than a cell's width, and the rest is asked again on cells four times as wide.
+    @staticmethod
+    def between(x: Column, y: Column, tx: Column, ty: Column) -> Column:
+        return geo.haversine(y, x, ty, tx)
+
+    @staticmethod
+    def bound(x: Column, y: Column, width: float) -> Column:
+        east = F.asin(F.cos(F.radians(y)) * F.sin(F.radians(F.lit(min(width, 90.0)))))
+        return F.least(F.radians(F.lit(width)), east) * (0.999999 * geo.EARTH_M)
+
+
+def _around(df: DataFrame, width: float) -> DataFrame:
+    """Each row once for its cell and the eight around it."""
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    out = df.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    return out.withColumn("_cx", F.floor(F.col("x") / width) + F.col("_i")).withColumn("_cy", F.floor(F.col("y") / width) + F.col("_j")).drop("_i", "_j")
+
+
+def _celled(targets: DataFrame, width: float) -> DataFrame:
+    own = targets.select("target_id", "value", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return own.withColumn("_cx", F.floor(F.col("_x") / width)).withColumn("_cy", F.floor(F.col("_y") / width))
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar, round_to: int | None = None) -> DataFrame:
+    """points with near, an array of the k nearest targets as structs (d, target_id, value), by distance (rounded if asked for) and then id; targets: (target_id, x, y, value).
+
+    Up to ARRAY_ROWS targets are broadcast as one array. More of them are found on a grid whose cells hold a few targets at first: a point's candidates are the targets of its cell and those around it, the
+    answer is final when the k-th lies nearer than anything outside them can, and the rest is asked again on cells four times as wide.
     """
-    if targets.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS:
-        all_ = targets.agg(F.collect_list(F.struct("target_id", "x", "y", "value")).alias("_targets"))
-        scored = F.transform("_targets", lambda t: F.struct(distance(F.col("x"), F.col("y"), t).alias("d"), t["target_id"].alias("target_id"), t["value"].alias("value")))
-        return points.join(F.broadcast(all_)).withColumn("near", F.slice(F.array_sort(scored), 1, k)).drop("_targets")
-    if distance is not planar:
-        raise ValueError("more targets than ARRAY_ROWS need planar coordinates")
     from wardlight.plans.session import cut_lineage
 
-    left, found, width = points, None, cell
-    for last in [False] * 12 + [True]:
-        cells = targets.select(F.col("target_id"), F.col("x").alias("tx"), F.col("y").alias("ty"), "value", F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy"))
-        around = F.explode(F.flatten(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: F.transform(F.array(*[F.lit(j) for j in (-1, 0, 1)]), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-        asked = left.withColumn("_o", around).withColumn("cx", F.floor(F.col("x") / width) + F.col("_o.i")).withColumn("cy", F.floor(F.col("y") / width) + F.col("_o.j"))
-        pairs = asked.join(cells, ["cx", "cy"]).select("point_id", F.struct(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")).alias("d"), "target_id", "value").alias("t"))
+    n, x0, x1, y0, y1 = targets.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    measure = lambda tx, ty: F.round(distance.between(F.col("x"), F.col("y"), tx, ty), round_to) if round_to is not None else distance.between(F.col("x"), F.col("y"), tx, ty)
+    if n <= ARRAY_ROWS:
+        all_ = targets.agg(F.collect_list(F.struct("target_id", "x", "y", "value")).alias("_targets"))
+        scored = F.transform("_targets", lambda t: F.struct(measure(t["x"], t["y"]).alias("d"), t["target_id"].alias("target_id"), t["value"].alias("value")))
+        return points.join(F.broadcast(all_)).withColumn("near", F.slice(F.array_sort(scored), 1, k)).drop("_targets")
+    k = min(k, n)
+    width = 1.5 * max(1e-9, (x1 - x0) * (y1 - y0) * k / n) ** 0.5
+    left, found = points, None
+    while True:
+        whole = width >= 2 * max(x1 - x0, y1 - y0)  # the cells around a point within the targets' extent hold all of them
+        asked = _around(left.select("point_id", "x", "y"), width)
+        if whole:
+            asked = left.select("point_id", "x", "y").withColumn("_cx", F.lit(0)).withColumn("_cy", F.lit(0))
+        own = _celled(targets, width).withColumns({"_cx": F.lit(0), "_cy": F.lit(0)}) if whole else _celled(targets, width)
+        pairs = asked.join(own, ["_cx", "_cy"]).select("point_id", F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), "target_id", "value").alias("t"))
         best = pairs.groupBy("point_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, k).alias("near"))
-        best = best.where((F.size("near") == k) & (F.element_at("near", -1)["d"] <= width)) if not last else best
-        done = cut_lineage(left.join(best, "point_id"))
+        done = left.join(best, "point_id")
+        if not whole:
+            done = done.where((F.size("near") == k) & (F.element_at("near", -1)["d"] < distance.bound(F.col("x"), F.col("y"), width)))
+        done = cut_lineage(done)
         found = done if found is None else found.unionByName(done)
         left = cut_lineage(left.join(done.select("point_id"), "point_id", "left_anti"))
-        if not left.limit(1).count():
-            break
+        if whole or not left.limit(1).count():
+            return found
         width *= 4
-    return found
+
+
+def count_within(points: DataFrame, targets: DataFrame, radii: dict[str, float]) -> DataFrame:
+    """(point_id, a column for each radius): targets within it on the plane."""
+    width = max(radii.values())
+    d = planar.between(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+    pairs = _around(points.select("point_id", "x", "y"), width).join(_celled(targets, width), ["_cx", "_cy"]).select("point_id", d.alias("d"))
+    n = pairs.groupBy("point_id").agg(*[F.count_if(F.col("d") <= r).alias(name) for name, r in radii.items()])
+    return points.select("point_id").join(n, "point_id", "left").na.fill(0, list(radii))
 
 
 def inverse_distance(points: DataFrame, stations: DataFrame, k: int = 6, power: float = 2.0, least: int = 3) -> DataFrame:

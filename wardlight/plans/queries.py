@@ -157,7 +157,7 @@ def _(v):
     with d as (select point_id, target_id, {HAVERSINE} m from (select point_id, target_id, {ARC} a from people p cross join libraries l))
     select point_id, arg_min(target_id, (round(m,3), target_id)) library, round(min(m),3) metres from d group by 1""")
 def _(v):
-    near = spatial.nearest(v.people(), v.libraries(), 1, lambda x, y, t: F.round(spatial.spherical(x, y, t), 3))
+    near = spatial.nearest(v.people(), v.libraries(), 1, spatial.spherical, round_to=3)
     return near.select("point_id", F.col("near")[0]["target_id"].alias("library"), F.col("near")[0]["d"].alias("metres"))
 
 
@@ -480,9 +480,7 @@ def _(v):
 
 @query("A39_reach_counts", "people libraries", "select point_id, count(*) filter (where d<=0.02e0) within_2, count(*) filter (where d<=0.05e0) within_5 from (select point_id, sqrt(pow(p.x-l.x,2)+pow(p.y-l.y,2)) d from people p cross join libraries l) group by 1")
 def _(v):
-    near = spatial.nearest(v.people(), v.libraries(), spatial.ARRAY_ROWS)
-    within = lambda r: F.size(F.filter("near", lambda t: t["d"] <= r)).cast("long")
-    return near.select("point_id", within(0.02).alias("within_2"), within(0.05).alias("within_5"))
+    return spatial.count_within(v.people(), v.libraries(), {"within_2": 0.02, "within_5": 0.05})
 
 
 # --- window-like ---------------------------------------------------------------------------------------------------------------------------
