@@ -71,4 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_surrogate_generation": op9_surrogate_generation,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: What SQL can state: the exact links and components that the two similarity joins must find.
+ORACLE_SQL: dict[str, str] = {
+    "op3_lattice_near_dedup": """
+        with recursive v as (select vec_id, embedding::double[] e from embeddings where embedding is not null and len(embedding) > 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
+        l as (select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+        r as (select vec_id a, vec_id c from embeddings union select r.a, l.b from r join l on r.c = l.a),
+        m as (select a, min(c) c from r group by 1), n as (select a, count(*) n from l group by 1)
+        select vec_id, coalesce(n, 0)::bigint n_links, c component_id, vec_id = c kept from embeddings join m on vec_id = m.a left join n on vec_id = n.a""",
+    "op10_ngram_jaccard_join": """
+        with recursive w as (select doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w from documents where text is not null),
+        s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from w where len(w) > 0)),
+        n as (select doc_id, count(*) n from s group by 1),
+        c as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where k >= 0.8 * (x.n + y.n - k)),
+        r as (select doc_id a, doc_id c from documents union select r.a, l.b from r join l on r.c = l.a),
+        m as (select a, min(c) c from r group by 1), t as (select a, count(*) n from l group by 1)
+        select doc_id, c class_id, coalesce(n, 0)::bigint n_links, doc_id = c kept from documents join m on doc_id = m.a left join t on doc_id = t.a""",
+}
