@@ -96,3 +96,23 @@ def roman(c: Column) -> Column:
     """A roman numeral up to XX as a number, or null."""
     numerals = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()
     return F.nullif(F.array_position(F.array(*[F.lit(n) for n in numerals]), F.upper(F.trim(c))), F.lit(0)).cast("int")
+
+
+def coordinates_in_url(url: Column) -> Column:
+    """Struct (lat, lon) of a map link: the pin (!3d, !4d), else the view (@lat,lon), else the query (q=lat,lon); null without any."""
+    n = r"(-?\d+(?:\.\d+)?)"
+    pairs = [(rf"!3d{n}!4d{n}", 1, 2), (rf"!2d{n}!3d{n}", 2, 1), (rf"@{n},{n}", 1, 2), (rf"[?&]q={n},{n}", 1, 2)]
+    one = lambda k: F.coalesce(*[F.regexp_extract(url, p, (a, b)[k]).try_cast("double") for p, a, b in pairs])
+    return F.when(one(0).isNotNull(), F.struct(one(0).alias("lat"), one(1).alias("lon")))
+
+
+def resolved_path(page: Column, href: Column) -> Column:
+    """The site path that a relative link on a page leads to: no fragment or query, folders end in index.html; null for links to other sites."""
+    bare = F.regexp_replace(href, r"[?#].*$", "")
+    folder = F.regexp_replace(page, r"[^/]*$", "")
+    joined = F.when(bare == "", page).when(F.startswith(bare, F.lit("/")), F.substring(bare, F.lit(2), F.length(bare))).otherwise(F.concat(folder, bare))
+    steps = F.filter(F.split(joined, "/"), lambda s, i: (s != ".") & (s != "") | (i == F.size(F.split(joined, "/")) - 1))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+    path = F.array_join(walked, "/")
+    path = F.when((path == "") | F.endswith(path, F.lit("/")), F.concat(path, F.lit("index.html"))).otherwise(path)
+    return F.when(~href.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)"), path)

@@ -97,7 +97,7 @@ def _(v):
 
 
 @query("J5_token_match", "", """
-    with q as (select p_partkey, list_sort(list_distinct(string_split(p_name,' '))) w from part where p_partkey%7=0),
+    with q as (select p_partkey, list_sort(list_distinct(string_split(p_name,' '))) w from part),
     n as (select min(p_partkey) o, list_sort(list_distinct(string_split(p_name,' '))) w from part group by 2),
     m as (select q.p_partkey, n.o, case when q.w=n.w then 2e0 else len(list_intersect(q.w,n.w))/cast(greatest(len(q.w),len(n.w)) as double) end s, len(list_intersect(q.w,n.w)) k from q join n on len(list_intersect(q.w,n.w))>0)
     select p_partkey query_id, arg_min(o, (-s, o)) name_id, max(s) score from m where s>=0.67 or (k>=2 and s>=0.5) group by 1""")
@@ -105,7 +105,7 @@ def _(v):
     words = F.array_sort(F.array_distinct(F.split("p_name", " ")))
     p = v.table("part").select(F.col("p_partkey").alias("query_id"), words.alias("words"))
     names = p.groupBy("words").agg(F.min("query_id").alias("name_id")).withColumn("ordinal", F.col("name_id"))
-    return transit.token_match(p.where("query_id % 7 = 0"), names)  # the feed's endpoints: every seventh part
+    return transit.token_match(p, names)
 
 
 @query("J7_route_type_feed", "routes trips stop_times stops", """
@@ -1014,3 +1014,225 @@ def _(v):
     b = spatial.nearest(v.people(), lib.where("target_id % 2 = 1")).select("point_id", F.col("near")[0]["d"].alias("b"))
     c = F.when(F.col("a") <= 0.02, "rail").when(F.col("b") <= 0.02, "bus").otherwise("none")
     return a.join(b, "point_id").groupBy(c.alias("siting")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- further predicates, joins, catalogues and validations -------------------------------------------------------------------------------------
+
+@query("P10_keyword_routes", "", "select c_custkey route_id from customer where contains(upper(c_mktsegment||' '||c_name),'BUILD') or contains(upper(c_mktsegment||' '||c_name),'#00000001')")
+def _(v):
+    hay = F.upper(F.concat_ws(" ", "c_mktsegment", "c_name"))
+    words = F.array(F.lit("BUILD"), F.lit("#00000001"))
+    return v.table("customer").where(F.exists(words, lambda w: F.contains(hay, w))).select(F.col("c_custkey").alias("route_id"))
+
+
+@query("P11_valid_numbers", "", "select p_partkey, try_cast(case when p_size%4=0 then p_name else p_size::varchar end as double) size from part where try_cast(case when p_size%4=0 then p_name else p_size::varchar end as double) is not null")
+def _(v):
+    cell = F.when(F.col("p_size") % 4 == 0, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    return v.table("part").select("p_partkey", coerce.number(cell).alias("size")).where(F.col("size").isNotNull())
+
+
+@query("P13_address_candidates", "", "select conv_id, turn from conversations where length(text) between 20 and 220 and contains(text,',') and not regexp_matches(text,'[Ll]icense|@')")
+def _(v):
+    t = F.col("text")
+    return v.table("conversations").where(F.length(t).between(20, 220) & F.contains(t, F.lit(",")) & ~t.rlike("[Ll]icense|@")).select("conv_id", "turn")
+
+
+@query("J6_code_then_name", "", """
+    with q as (select s_suppkey, case when s_suppkey%2=0 then s_nationkey else -1 end code, 'NATION_'||s_nationkey k from supplier)
+    select s_suppkey, coalesce(a.n_nationkey, b.n_nationkey) nation from q left join nation a on a.n_nationkey=q.code left join nation b on b.n_name=q.k""")
+def _(v):
+    s = v.table("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).otherwise(-1).alias("code"), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("k"))
+    n = v.table("nation")
+    by_code = n.select(F.col("n_nationkey").alias("code"), F.col("n_nationkey").alias("a"))
+    by_name = n.select(F.col("n_name").alias("k"), F.col("n_nationkey").alias("b"))
+    return s.join(F.broadcast(by_code), "code", "left").join(F.broadcast(by_name), "k", "left").select("s_suppkey", F.coalesce("a", "b").alias("nation"))
+
+
+@query("J13_within_else_nearest", "people wards", f"""
+    with w as (select * from wards where poly_id%2=0), i as (select point_id, min(poly_id) poly_id from people p join w on {IN_WARD} group by 1),
+    d as (select p.point_id, arg_min(poly_id, (round(sqrt(pow(x-(x0+x1)/2,2)+pow(y-(y0+y1)/2,2)),9), poly_id)) poly_id from people p cross join w group by 1)
+    select d.point_id, coalesce(i.poly_id, d.poly_id) poly_id from d left join i using (point_id)""")
+def _(v):
+    w = v.wards().where("poly_id % 2 = 0")
+    inside = spatial.first_containing(v.people(), w)
+    rest = v.people().join(inside, "point_id", "left_anti")
+    centres = w.select(F.col("poly_id").alias("target_id"), geo.centroid(F.col("ring")).alias("c"), F.lit(0.0).alias("value")).select("target_id", "c.x", "c.y", "value")
+    near = spatial.nearest(rest, centres, round_to=9).select("point_id", F.col("near")[0]["target_id"].alias("poly_id"))
+    return inside.unionByName(near)
+
+
+@query("J28_members_and_unmatched", "", """
+    with m as (select l_suppkey k, row_number() over (partition by l_suppkey order by l_quantity desc, l_orderkey, l_linenumber, l_partkey) r, l_orderkey from lineitem)
+    select n_nationkey id, l_orderkey best, r is null unmatched from nation left join (select * from m where r=1) m on k=n_nationkey""")
+def _(v):
+    li = v.table("lineitem")
+    best = stats.top_per_group(li, ["l_suppkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 1).select(F.col("l_suppkey").cast("int").alias("n_nationkey"), F.col("l_orderkey").alias("best"))
+    j = v.table("nation").join(best, "n_nationkey", "left")
+    return j.select(F.col("n_nationkey").alias("id"), "best", F.col("best").isNull().alias("unmatched"))
+
+
+@query("A4_area_by_centroid", "wards", "select region, round(sum((x1-x0)*(y1-y0)*pow(6371000e0*radians(1e0),2)*cos(radians((y0+y0+y1+y1+y0)/5)))/1e6,2) km2 from wards group by 1")
+def _(v):
+    return v.wards().groupBy("region").agg(F.round(F.sum(geo.ring_area_m2(F.col("ring"))) / 1e6, 2).alias("km2"))
+
+
+@query("A35_run_summary", "", "select count(distinct l_suppkey) scenes, min(l_quantity) lowest, max(l_quantity) highest, round(avg(l_quantity),6) mean from lineitem")
+def _(v):
+    return v.table("lineitem").agg(F.count_distinct("l_suppkey").alias("scenes"), F.min("l_quantity").alias("lowest"), F.max("l_quantity").alias("highest"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+
+
+@query("A29_coverage_lists", "", "select n_regionkey region, list_filter(list_sort(list(n_nationkey)), lambda x: x%3<>0) missing from nation group by 1")
+def _(v):
+    n = v.table("nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("all"), F.collect_list(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey"))).alias("present"))
+    return n.select("region", F.array_except("all", "present").alias("missing"))
+
+
+@query("A40_coverage_index", "", """
+    select c_custkey id, o is not null has_orders, n_nationkey is not null has_nation from customer left join (select distinct o_custkey o from orders) on o=c_custkey left join nation on n_nationkey=c_nationkey""")
+def _(v):
+    o = v.table("orders").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("o")).distinct()
+    n = v.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.lit(True).alias("n"))
+    return v.table("customer").join(o, "c_custkey", "left").join(F.broadcast(n), "c_nationkey", "left").select(F.col("c_custkey").alias("id"), F.col("o").isNotNull().alias("has_orders"), F.col("n").isNotNull().alias("has_nation"))
+
+
+@query("A41_running_context", "", """
+    select conv_id, turn, last_value(case when turn%4=0 then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) dept, length(text) amount from conversations qualify turn%4<>0""")
+def _(v):
+    c = tables.carry_forward(v.table("conversations"), "conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.col("turn")), "dept")
+    return c.where("turn % 4 <> 0").select("conv_id", "turn", "dept", F.length("text").cast("long").alias("amount"))
+
+
+@query("F5_walk_minutes", "people", "select point_id, round(sqrt(pow(x-72.5e0,2)+pow(y-23.5e0,2))*111*12.5e0,6) as minutes from people")
+def _(v):
+    return v.people().select("point_id", F.round(F.hypot(F.col("x") - 72.5, F.col("y") - 23.5) * 111 * 12.5, 6).alias("minutes"))
+
+
+@query("F8_converted_ratios", "", "select s_suppkey, round(s_acctbal/20.66e0/nullif(s_nationkey,0),6) per_unit from supplier")
+def _(v):
+    return v.table("supplier").select("s_suppkey", F.round(coerce.ratio(F.col("s_acctbal") / 20.66, F.col("s_nationkey")), 6).alias("per_unit"))
+
+
+@query("F19_map_coordinates", "", "select c_custkey, 23+(c_custkey%100)/100e0 lat, 72+(c_custkey%50)/100e0 lon from customer")
+def _(v):
+    k = F.col("c_custkey")
+    lat, lon = (23 + k % 100 / 100.0).cast("string"), (72 + k % 50 / 100.0).cast("string")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://m.example/@1.5,2.5,17z/data=!3d"), lat, F.lit("!4d"), lon)).when(k % 3 == 1, F.concat(F.lit("https://m.example/@"), lat, F.lit(","), lon, F.lit(",15z"))).otherwise(F.concat(F.lit("https://m.example/?q="), lat, F.lit(","), lon))
+    return v.table("customer").select("c_custkey", coerce.coordinates_in_url(url).alias("c")).select("c_custkey", "c.lat", "c.lon")
+
+
+@query("F22_roman_zones", "", "select n_nationkey, case when n_nationkey between 1 and 20 then n_nationkey end zone from nation")
+def _(v):
+    numerals = F.array(*[F.lit(n) for n in "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()])
+    text = F.coalesce(F.try_element_at(numerals, F.nullif("n_nationkey", F.lit(0))), F.lit("?"))
+    return v.table("nation").select("n_nationkey", coerce.roman(text).alias("zone"))
+
+
+@query("F24_resolved_links", "", "select c_custkey, case c_custkey%5 when 0 then 'a/c.html' when 1 then 'x.html' when 2 then 'a/b/index.html' when 3 then null else 'a/b/p.html' end path from customer")
+def _(v):
+    href = F.element_at(F.array(*[F.lit(x) for x in ("../c.html?x=1", "/x.html#t", "./", "https://other.example/", "#top")]), F.pmod("c_custkey", F.lit(5)).cast("int") + 1)
+    return v.table("customer").select("c_custkey", coerce.resolved_path(F.lit("a/b/p.html"), href).alias("path"))
+
+
+@query("F27_cascade", "", "select p_partkey, coalesce(case when p_size%2=0 then 'verified' end, case when p_size%3=0 then 'pin' end, case when p_size%5=0 then 'map' end, 'none') origin from part")
+def _(v):
+    p = F.col("p_size")
+    return v.table("part").select("p_partkey", F.coalesce(F.when(p % 2 == 0, "verified"), F.when(p % 3 == 0, "pin"), F.when(p % 5 == 0, "map"), F.lit("none")).alias("origin"))
+
+
+@query("F28_padding", "", "select n_nationkey, lpad(n_nationkey::varchar,3,'0') code, upper(substr(n_name,1,1))||lower(substr(n_name,2)) title from nation")
+def _(v):
+    return v.table("nation").select("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"), F.initcap("n_name").alias("title"))
+
+
+@query("F30_tiles", "", "select i::int as tx, j::int as ty, round(72+i*0.25e0,6) x0, round(23+j*0.25e0,6) y0 from (select unnest(range(0,4)) i) cross join (select unnest(range(0,4)) j)")
+def _(v):
+    one = v.spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tx")).withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return one.select("tx", "ty", F.round(72 + F.col("tx") * 0.25, 6).alias("x0"), F.round(23 + F.col("ty") * 0.25, 6).alias("y0"))
+
+
+@query("T6_label_rows", "", "select l.l as label, min(p_partkey) first_row, count(*) n from part join (values ('red'),('small'),('large')) l(l) on starts_with(p_name, l.l) group by 1")
+def _(v):
+    labels = v.spark.createDataFrame([("red",), ("small",), ("large",)], "label string")
+    p = v.table("part").withColumn("label", F.split("p_name", " ")[0])  # a label is a name's first word
+    return p.join(F.broadcast(labels), "label").groupBy("label").agg(F.min("p_partkey").alias("first_row"), F.count(F.lit(1)).alias("n"))
+
+
+@query("T11_loader_union", "budget", """
+    with u as (select 0 loader, section, fy_start, sum(amount) a from budget where basis='A' group by 2,3 union all select 1, section, fy_start, sum(amount) from budget where basis='R' group by 2,3)
+    select section, fy_start, loader, round(a,2) amount from (select *, row_number() over (partition by section, fy_start order by loader) r from u) where r=1""")
+def _(v):
+    part = lambda basis, k: v.budget().where(F.col("basis") == basis).groupBy("section", "fy_start").agg(F.sum("amount").alias("a")).withColumn("loader", F.lit(k))
+    u = part("A", 0).unionByName(part("R", 1))
+    return stats.first_wins(u, ["section", "fy_start"], [F.col("loader")]).select("section", "fy_start", "loader", F.round("a", 2).alias("amount"))
+
+
+@query("T17_X19_rank_dedupe", "", "select p_name, arg_min(p_partkey, (-p_retailprice, p_partkey)) kept, count(*) seen from part group by 1")
+def _(v):
+    return v.table("part").groupBy("p_name").agg(F.min_by("p_partkey", F.struct(-F.col("p_retailprice"), "p_partkey")).alias("kept"), F.count(F.lit(1)).alias("seen"))
+
+
+@query("G7_G8_gates", "", """
+    select 'orders have lines' gate, (select count(*) from orders)=(select count(distinct l_orderkey) from lineitem) passed union all select 'ids are unique', (select count(*) from customer)=(select count(distinct c_custkey) from customer)""")
+def _(v):
+    o, li, c = v.table("orders"), v.table("lineitem"), v.table("customer")
+    one = o.agg(F.count(F.lit(1)).alias("a")).join(li.agg(F.count_distinct("l_orderkey").alias("b"))).join(c.agg(F.count(F.lit(1)).alias("c"), F.count_distinct("c_custkey").alias("d")))
+    gate = lambda n, ok: F.struct(F.lit(n).alias("gate"), ok.alias("passed"))
+    return one.select(F.inline(F.array(gate("orders have lines", F.col("a") == F.col("b")), gate("ids are unique", F.col("c") == F.col("d")))))
+
+
+@query("G10_field_coverage", "", "select o_orderstatus as name, list_filter(['O','F','P'], lambda x: x<>o_orderstatus) others from orders group by 1")
+def _(v):
+    s = v.table("orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("name", F.array_except(F.array(F.lit("O"), F.lit("F"), F.lit("P")), F.array("name")).alias("others"))
+
+
+@query("X1_shortlist", "", "select p_partkey from part where (regexp_matches(p_name,'red|blue') or regexp_matches(p_name,'ring')) and p_type in ('ECONOMY','PROMO')")
+def _(v):
+    p = tables.labels_of(v.table("part"), F.col("p_name"), {"colour": "red|blue", "shape": "ring", "kind": "widget"})
+    wanted = F.array(F.lit("colour"), F.lit("shape"))
+    return p.where(F.arrays_overlap("labels", wanted) & F.col("p_type").isin("ECONOMY", "PROMO")).select("p_partkey")
+
+
+@query("X2_needs_reading", "", "select doc_id, length(regexp_replace(text,'[^A-Za-z0-9]','','g'))<2000 needs from documents")
+def _(v):
+    return v.table("documents").select("doc_id", (F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) < 2000).alias("needs"))
+
+
+@query("X8_roster", "readings", "select station, arg_max(value, ts) filter (where value<=50) low, arg_max(value, ts) filter (where value>50) high from readings group by 1")
+def _(v):
+    val = F.col("value")
+    return v.readings().groupBy("station").agg(F.max_by(F.when(val <= 50, val), F.when(val <= 50, F.col("ts"))).alias("low"), F.max_by(F.when(val > 50, val), F.when(val > 50, F.col("ts"))).alias("high"))
+
+
+@query("X12_partial_layer", "", """
+    with s as (select s_suppkey k, case when s_suppkey%4<>0 then s_acctbal end v from supplier), c as (select list_sort(list(v) filter (where v is not null))[round_even(2e0/3*(count(v)-1),0)::int+1] cut from s)
+    select k, v is null suspect, coalesce(v>=cut,false) vulnerable from s cross join c""")
+def _(v):
+    s = v.table("supplier").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("v"))
+    cut = stats.sorted_pick(s, "v", F.bround(2.0 / 3 * (F.col("n") - 1)), "cut")
+    return s.join(F.broadcast(cut)).select("k", F.col("v").isNull().alias("suspect"), F.coalesce(F.col("v") >= F.col("cut"), F.lit(False)).alias("vulnerable"))
+
+
+@query("X17_ordered_connections", "stop_times", """
+    with f as (select stop_id, trip_id, min(stop_sequence) q from stop_times group by 1,2) select stop_id, list(trip_id order by trip_id) trips from f group by 1""")
+def _(v):
+    f = v.stop_times()
+    return f.groupBy("stop_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("trip_id", "stop_sequence"))), lambda s: s["trip_id"])).alias("trips"))
+
+
+@query("X20_scorecard_cuts", "", "select * from (select 'best' cut, n_name as name, b from (select n_name, round(sum(c_acctbal),2) b from customer join nation on c_nationkey=n_nationkey group by 1 order by 2 desc, 1 limit 3) union all select 'worst', n_name, b from (select n_name, round(sum(c_acctbal),2) b from customer join nation on c_nationkey=n_nationkey group by 1 order by 2, 1 limit 3))")
+def _(v):
+    t = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.round(F.sum("c_acctbal"), 2).alias("b"))
+    return t.orderBy(F.desc("b"), "name").limit(3).withColumn("cut", F.lit("best")).unionByName(t.orderBy("b", "name").limit(3).withColumn("cut", F.lit("worst")))
+
+
+@query("X23_curated_absentees", "", "select n_name as name, 'listed' origin from nation where n_nationkey in (select s_nationkey from supplier) union all select n_name, 'added' from nation where n_nationkey not in (select s_nationkey from supplier)")
+def _(v):
+    n, s = v.table("nation"), v.table("supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return n.join(s, "n_nationkey", "left_semi").select(F.col("n_name").alias("name"), F.lit("listed").alias("origin")).unionByName(n.join(s, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"), F.lit("added").alias("origin")))
+
+
+@query("X26_X27_normalised_layer", "", "select n_nationkey, trim(n_name)||', '||r_name label from nation join region on n_regionkey=r_regionkey where r_name<>'ASIA' and n_name is not null")
+def _(v):
+    j = v.table("nation").where(F.col("n_name").isNotNull()).join(F.broadcast(v.table("region").where("r_name <> 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select("n_nationkey", F.concat_ws(", ", F.trim("n_name"), "r_name").alias("label"))
