@@ -11,26 +11,55 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, small
+from wardlight.llm.common import materialize
 
 #: Members of a block; a unit holds two blocks at most.
 BLOCK = 256
 
 
-def star_edges(buckets: DataFrame) -> DataFrame:
-    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest and largest node, from (bucket, node) rows."""
+def star_edges(buckets: DataFrame, both_ends: bool) -> DataFrame:
+    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest node, and its largest if both_ends, from (bucket, node) rows.
+
+    The second star serves an index whose buckets hold unrelated nodes, one of which may be the smallest.
+    """
     ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     near = buckets.join(ends, "bucket")
-    pairs = near.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    pairs = near.select("node", F.explode(F.array("low", "high")).alias("other")) if both_ends else near.select("node", F.col("low").alias("other"))
+    pairs = pairs.where("node <> other")
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def _lowest(low: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels lowered along the edges until each is the smallest of its component; nodes are places in low."""
+    while True:
+        before = low.copy()
+        np.minimum.at(low, left, low[right])
+        np.minimum.at(low, right, low[left])
+        if (before == low).all():
+            return low
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of each batch as stars."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        u, v = (batch.column(i).to_numpy() for i in (0, 1))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        low = _lowest(nodes.copy(), at[: len(u)], at[len(u) :])
+        far = low != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(low[far])], ["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has an edge, from (a, b) edges; by large and small stars."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    """(node, component): the smallest node reachable from each node that has an edge, from (a, b) edges; by large and small stars.
+
+    Before the first round every task replaces its own edges by stars to their smallest nodes.
+    """
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_contracted, "u long, v long").distinct())
     while True:
         # done when every node either is a centre or has one edge, to a centre
         ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(e.select("v", F.lit(0), F.lit(1)))
@@ -39,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialize(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -68,13 +97,7 @@ def _unit_rows(nodes: list[int], copies: np.ndarray, linked: np.ndarray, cut: in
     else:
         counts = linked @ copies
         left, right = np.nonzero(linked)
-    low = np.asarray(nodes, np.int64).copy()
-    while True:  # labels fall to the smallest of their neighbours'
-        before = low.copy()
-        np.minimum.at(low, left, low[right])
-        np.minimum.at(low, right, low[left])
-        if (before == low).all():
-            break
+    low = _lowest(np.array(nodes, np.int64), left, right)
     has = np.flatnonzero(counts)
     return [nodes[k] for k in has], low[has].tolist(), counts[has].astype(np.int64).tolist()
 
@@ -137,10 +160,3 @@ def plausible(edges: DataFrame, sketches: DataFrame, near: Callable[[list, list]
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     return edges.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
-
-
-def empty_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "node long, low long, n_links long")
-
-
-__all__ = ["components", "count_links", "linked_components", "plausible", "small", "star_edges", "units"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import materialize, python_batches, small
+from wardlight.llm.vocab import BytePairs
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that isn't a word break here.
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Word windows that must not repeat.
 WINDOW = 8
 
@@ -92,12 +94,12 @@ def script_of(text: str) -> str:
 class Vocabularies:
     """(byte-level token ids, tokens and bare-byte tokens under byte fallback) for each word, in a bounded cache."""
 
-    def __init__(self, bpe_file: str, piece_file: str):
+    def __init__(self, rank_file: str | None, piece_file: str | None):
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.bpe = Tokenizer.from_file(bpe_file)
-        self.bpe.encode_special_tokens = True
+        self.pairs = BytePairs(rank_file)
+        piece_file = piece_file or public_tokenizers.path("piece_bpe_32k.model")
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
         self.words: dict[str, int] = {}
@@ -105,7 +107,7 @@ class Vocabularies:
 
     def _reset(self) -> None:
         self.words.clear()
-        self.ids: list[np.ndarray] = []
+        self.ids: list[bytes] = []
         self.table = np.zeros((0, 4), np.int64)  # characters, BPE tokens, pieces, bare bytes
 
     def number(self, texts_words: list[list[str]]) -> list[np.ndarray]:
@@ -114,12 +116,16 @@ class Vocabularies:
             self._reset()
         missing = [w for w in set().union(*texts_words) if w not in self.words]
         if missing:
-            ids = [np.asarray(e.ids, np.int32) for e in self.bpe.encode_batch([f" {w}" for w in missing], add_special_tokens=False)]
+            plain = not OTHER_SPACE.search("".join(missing))
+            ids = self.pairs.words([f" {w}" for w in missing]) if plain else [self.pairs.text(f" {w}") for w in missing]
             pieces = self.pieces.encode(missing, num_threads=1)
-            rows = [(len(w), len(i), len(p), int(self.is_byte[p].sum())) for w, i, p in zip(missing, ids, pieces, strict=True)]
+            n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            bare = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int64, n_pieces.sum())])])
+            ends = np.cumsum(n_pieces)
+            rows = np.stack([np.fromiter(map(len, missing), np.int64), np.fromiter(map(len, ids), np.int64) // 4, n_pieces, bare[ends] - bare[ends - n_pieces]], 1)
             self.words.update(zip(missing, range(len(self.ids), len(self.ids) + len(missing)), strict=True))
             self.ids += ids
-            self.table = np.concatenate([self.table, np.array(rows, np.int64)])
+            self.table = np.concatenate([self.table, rows])
         get = self.words.__getitem__
         return [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in texts_words]
 
@@ -129,18 +135,18 @@ class Vocabularies:
             return 0, 0, 0, 0, 0.0
         distinct, times = np.unique(numbers, return_counts=True)
         chars, tokens, pieces, bare = (self.table[distinct] * times[:, None]).sum(0)
-        ids = [self.ids[k] for k in distinct.tolist()]
-        per_id = np.bincount(np.concatenate(ids), np.repeat(times, self.table[distinct, 1]))
+        ids = np.frombuffer(b"".join([self.ids[k] for k in distinct.tolist()]), "<u4")
+        per_id = np.bincount(ids, np.repeat(times, self.table[distinct, 1]))
         share = per_id[per_id > 0] / tokens
         return int(chars), int(tokens), int(pieces), int(bare), float(-(share * np.log2(share)).sum())
 
 
-_VOCABULARIES: dict[tuple[str, str], Vocabularies] = {}
+_VOCABULARIES: dict[tuple[str | None, str | None], Vocabularies] = {}
 
 
 def measure(
     docs: DataFrame, limits: dict[str, tuple[float, float, float, float]] | None = None, min_words: int = 20, max_repeat_percent: int = 30,
-    bpe_file: str | None = None, piece_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
+    rank_file: str | None = None, piece_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
 ) -> DataFrame:
     """The columns NAMES for every row: counts, base_failed, within (the script's limits), the three figures (null without a token), and band (language or else script)."""
     limits = limits or LIMITS
@@ -148,9 +154,7 @@ def measure(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        files = bpe_file or public_tokenizers.path("byte_bpe_50k.json"), piece_file or public_tokenizers.path("piece_bpe_32k.model")
+        files = rank_file, piece_file
         if files not in _VOCABULARIES:
             _VOCABULARIES[files] = Vocabularies(*files)
         vocabularies = _VOCABULARIES[files]

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.clusters import count_links, linked_components, components, plausible, star_edges, units
+from wardlight.llm.clusters import components, count_links, linked_components, plausible, star_edges, units
 from wardlight.llm.common import materialize, python_batches, small
 from wardlight.llm.fertility import words_of
 
@@ -159,7 +159,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float
     n_classes = classes.count()
     firsts = texts.join(small(classes.select("h", F.col("first").alias("node")), n_classes), ["h", "node"]).dropDuplicates(["node"])
     firsts = materialize(firsts.select("node", "bands", "sketch"))
-    edges = materialize(star_edges(firsts.select("node", F.explode("bands").alias("bucket"))))
+    edges = materialize(star_edges(firsts.select("node", F.explode("bands").alias("bucket")), both_ends=False))
     near = plausible(edges, firsts.select("node", "sketch"), sketches_near)
     members = materialize(components(near))
     n_members = members.count()
