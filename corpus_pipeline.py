@@ -11,25 +11,21 @@ from wardlight.llm.common import materialize, small
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids."""
-    ids = materialize(ids.distinct())
-    return docs.join(small(ids, ids.count()), "doc_id", "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity classifier keeps."""
+    """Documents that the perplexity classifier keeps; a null doc_id is judged by its text like any other, repeated rows are kept or dropped alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = kneser_ney.classify(docs, labels)
-    kept = judged.where("kept").select("doc_id", "text_key")
-    kept = materialize(kept)
-    marked = docs.withColumn("text_key", F.xxhash64("text")).join(small(kept, kept.count()), ["doc_id", "text_key"], "left_semi")
-    return marked.select(*COLUMNS)
+    kept = materialize(judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    return docs.join(small(kept, kept.count()), same, "left_semi").select(*COLUMNS)
 
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8 or more."""
-    return _only(docs, ngram_join.join(docs).where("kept").select("doc_id")).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group that five-word shingles link at 0.8 or more, one row of each doc_id; rows without a doc_id link with nothing and all stay."""
+    named = docs.where("doc_id is not null")
+    ids = materialize(ngram_join.join(named).where("kept").select("doc_id").distinct())
+    one = named.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
