@@ -81,6 +81,14 @@ def test_stages(spark, folder, tmp_path):
     assert Counter(r.doc_id for r in stages["best-fit packing"]) == drawn  # none is longer than a sequence
 
 
+def test_filters_keep_rows_without_an_id(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lost = docs.where("doc_id in (0, 1)").withColumn("doc_id", F.lit(None).cast("long"))
+    given = docs.unionByName(lost).unionByName(lost)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        assert stage(spark, given, folder).where("doc_id is null").count() == 4
+
+
 def test_run_is_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
