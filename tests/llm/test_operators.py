@@ -182,6 +182,32 @@ def test_ngram_join(docs, empty, monkeypatch):
     assert ngram_join.join(empty).count() == 0
 
 
+def test_ngram_join_finds_pairs_in_buckets_of_strangers(spark, monkeypatch):
+    """A template family at about 0.3, unrelated lowest ids: nearly every bucket of a pair at 0.8 is headed by a stranger to it."""
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "choose_bands", lambda similarity, recall: (16, 1))
+    rnd = random.Random(8)
+    sentences = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(14)) for _ in range(80)]
+    own = [sorted(rnd.sample(range(80), 40)) for _ in range(90)]
+    near = [w[2:] for w in own[60:]]
+    rows = [(i, " ".join(sentences[k] for k in w), "en", "s") for i, w in enumerate(own + near)]
+    sets = {i: shingles(t) for i, t, _, _ in rows}
+    links = {a: {b for b in sets if b != a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} for a in sets}
+    assert sum(map(len, links.values())) == 60
+    got = {r.doc_id: r for r in ngram_join.join(documents(spark, rows)).collect()}
+    assert all((got[a].n_links, got[a].class_id) == (len(links[a]), min(links[a] | {a})) for a in links)
+
+
+def test_large_components_are_not_compared_within_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 4)
+    placed = spark.createDataFrame([(7, i, 0 if i < 40 else i) for i in range(47)], "bucket long, node long, own long")
+    met = defaultdict(list)
+    for r in clusters._apart(placed).collect():
+        met[r.lo, r.hi].append((r.side, r.node))
+    pairs = {frozenset((a, b)) for (lo, hi), rows in met.items() for s, a in rows for t, b in rows if a != b and (lo == hi or s != t)}
+    assert pairs == {frozenset((a, b)) for a in range(47) for b in range(40, 47) if a != b}
+
+
 def test_bands_reach_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert bands * rows <= 512 and 1 - (1 - 0.8**rows) ** bands >= 0.9999

@@ -1,6 +1,7 @@
 """Shared by the similarity operators: from buckets of an index to verified links, without emitting all pairs of a bucket.
 
-A bucket becomes a star: edges from its members to its smallest and its largest member. Edges that an operator finds plausible make candidate components. A component is cut by a
+A bucket becomes a star: edges from its members to its smallest and its largest member. Edges that an operator finds plausible make candidate components; a bucket whose members these leave
+apart is compared in full. A component is cut by a
 hash into blocks of about BLOCK members; every pair of blocks is one unit of work in which an operator counts its links. A unit returns, for each member that has links
 there, their number and one edge to the smallest member it reaches in the unit, so what is returned grows with the members and not with the pairs.
 """
@@ -11,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.common import materialize
@@ -160,3 +161,37 @@ def plausible(edges: DataFrame, sketches: DataFrame, near: Callable[[list, list]
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
     return edges.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """(component, lo, hi, side, node): the blocks of each bucket in all pairs, from (bucket, node, own); own components of BLOCK nodes or more have blocks of their own, which aren't paired with each other."""
+    groups = placed.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= BLOCK)
+    groups = groups.withColumn("part", F.when(F.col("large"), F.col("own")).otherwise(F.lit(0)))
+    parts = groups.groupBy("bucket", "large", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    of_bucket = Window.partitionBy("bucket")
+    parts = parts.withColumn("first", F.sum("blocks").over(of_bucket.orderBy("large", "part")) - F.col("blocks")).withColumn("total", F.sum("blocks").over(of_bucket))
+    dealt = placed.join(groups.drop("n"), ["bucket", "own"]).join(parts, ["bucket", "large", "part"])
+    dealt = dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
+    dealt = dealt.where(~F.col("large") | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("blocks")))
+    return dealt.select(F.col("bucket").alias("component"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("side"), "node")
+
+
+def candidates(buckets: DataFrame, sketches: DataFrame, both_ends: bool, near: Callable[[list, list], np.ndarray], prepare: Callable, links: Links) -> DataFrame:
+    """(node, component) of the candidate components: any two nodes of a bucket whose prepared sketches links() finds linked share one. From (bucket, node) and (node, sketch).
+
+    Stars whose edges are near() come first. They say nothing of two nodes that are strangers to the ends of their bucket, or of which one is: a bucket that is left in several components
+    is compared in pairs of blocks, save the pairs that share a component already. Buckets of the same nodes are compared once, those so small that the star holds all their pairs not at all.
+    """
+    stars = materialize(plausible(materialize(star_edges(buckets, both_ends)), sketches, near))
+    found = materialize(components(stars))
+    sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where(F.col("m") > (3 if both_ends else 2))
+    sets = sets.groupBy("m", "nodes").agg(F.min("bucket").alias("bucket"))
+    crowded = materialize(buckets.join(sets.select("bucket"), "bucket"))
+    placed = crowded.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
+    several = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
+    placed = materialize(placed.join(several, "bucket"))
+    if not placed.limit(1).count():
+        return found
+    work = _apart(placed).withColumn("copies", F.lit(1).cast("long")).join(sketches, "node")
+    more = count_links(work, "sketch", prepare, links).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(stars.unionAll(more))

@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by MinHash banding.
 
 Equal texts are one class. A class has the set of its five-word shingles; MinHash values in bands and rows, chosen for a target recall at the similarity asked for, give one bucket a band.
-Buckets are shuffled and turned into candidate components (see clusters), and within those the full shingle sets of all pairs are compared.
+Buckets are shuffled, their members compared by sketches and turned into candidate components (see clusters), and within those the full shingle sets of all pairs are compared.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.clusters import components, count_links, linked_components, plausible, star_edges, units
+from wardlight.llm.clusters import candidates, count_links, linked_components, units
 from wardlight.llm.common import materialize, python_batches, small
 from wardlight.llm.fertility import words_of
 
 #: Words whose hashes a Python worker keeps.
 CACHE_WORDS = 500_000
-#: MinHash values kept as a sketch, 16 bits each; star edges whose sketches agree less than this often are no candidates.
+#: MinHash values kept as a sketch, 16 bits each; texts whose sketches agree less than this often are no candidates.
 SKETCH, SKETCH_SHARE = 64, 0.5
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -111,6 +111,23 @@ def sketches_near(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
     return (x == y).mean(1) >= SKETCH_SHARE
 
 
+def sketch_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u2")
+
+
+def sketch_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Which pairs of sketches agree often enough."""
+    x = np.array(left)
+    y = x if right is None else np.array(right)
+    agree = np.zeros((len(x), len(y)), np.int16)
+    for i in range(SKETCH):
+        agree += x[:, i, None] == y[None, :, i]
+    linked = agree >= SKETCH_SHARE * SKETCH
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
 def jaccard_links(similarity: float):
     """links(left, right or None): which pairs of shingle sets have the similarity, from their full intersections."""
 
@@ -159,9 +176,8 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float
     n_classes = classes.count()
     firsts = texts.join(small(classes.select("h", F.col("first").alias("node")), n_classes), ["h", "node"]).dropDuplicates(["node"])
     firsts = materialize(firsts.select("node", "bands", "sketch"))
-    edges = materialize(star_edges(firsts.select("node", F.explode("bands").alias("bucket")), both_ends=False))
-    near = plausible(edges, firsts.select("node", "sketch"), sketches_near)
-    members = materialize(components(near))
+    buckets = firsts.select("node", F.explode("bands").alias("bucket"))
+    members = materialize(candidates(buckets, firsts.select("node", "sketch"), False, sketches_near, sketch_of, sketch_links))
     n_members = members.count()
     work = units(members).join(small(classes.select(F.col("first").alias("node"), "copies"), n_classes), "node")
     work = materialize(work)
