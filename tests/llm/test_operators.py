@@ -229,6 +229,21 @@ def test_lattice(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lattice_in_a_dense_topic(spark):
+    """Vectors of one topic at cosines of about 0.6 crowd the cells; nearly every planted pair at 0.9 has strangers at both ends of its cells."""
+    rng = np.random.default_rng(3)
+    apart = rng.normal(size=(400, 128))
+    apart[300:] = apart[200:300] + rng.normal(size=(100, 128)) * 0.5
+    x = np.sqrt(0.6) * rng.normal(size=128) + np.sqrt(0.4) * apart
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(df, tables=6, blocks=1, scale=0.15).collect()}
+    assert near.sum() >= 190 and all(got[i] <= n for i, n in enumerate(near.sum(1))) and sum(got.values()) >= 0.97 * near.sum()
+
+
 def test_e8_decoding_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * 2

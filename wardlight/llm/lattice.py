@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.clusters import components, count_links, linked_components, plausible, star_edges, units
+from wardlight.llm.clusters import candidates, count_links, linked_components, units
 from wardlight.llm.common import materialize, python_batches, small
 
-#: Star edges of a lower cosine than the wanted one less this are no candidates.
+#: Star edges of a lower cosine than the wanted one less this are no candidates; vectors that the stars leave apart are compared at the wanted one.
 SLACK = 0.12
 
 
@@ -139,10 +139,12 @@ def near_duplicates(
 
     entered = materialize(given.where("node is not null").dropDuplicates(["node"]).mapInArrow(enter, "node long, cells array<long>, unit array<double>"))
     payloads = entered.select("node", F.col("unit").alias("sketch"))
-    edges = materialize(star_edges(entered.select("node", F.explode("cells").alias("bucket")), both_ends=True))
     least = cosine - SLACK
-    near = plausible(edges, payloads, lambda xs, ys: np.fromiter((len(x) == len(y) and np.dot(x, y) >= least for x, y in zip(xs, ys, strict=True)), bool, len(xs)))
-    members = materialize(components(near))
+
+    def near(xs: list, ys: list) -> np.ndarray:
+        return np.fromiter((len(x) == len(y) and np.dot(x, y) >= least for x, y in zip(xs, ys, strict=True)), bool, len(xs))
+
+    members = materialize(candidates(entered.select("node", F.explode("cells").alias("bucket")), payloads, True, near, np.array, cosine_links(cosine)))
     n_members = members.count()
     work = units(members).join(payloads, "node").withColumn("copies", F.lit(1).cast("long"))
     found = linked_components(count_links(work, "sketch", np.array, cosine_links(cosine)))
