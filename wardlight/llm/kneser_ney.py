@@ -150,7 +150,7 @@ _LOOKUPS: dict[str, Lookup] = {}
 
 
 def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns keep, n (characters and the end) and logp of every row, from the table of log-probabilities in shards."""
+    """Columns keep, n (characters and the end) and logp of every distinct keep, which stands for one text, from the table of log-probabilities in shards."""
     spark = docs.sparkSession
     shards = max(1, -(-logs.count() // SHARD_GRAMS))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -172,12 +172,11 @@ def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> D
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], [*keep, "n", "logp"])
 
         parts.append(docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(add, f"{kinds}, n long, logp double"))
-    if shards == 1:
-        return parts[0]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionAll(p)
-    return whole.groupBy(*keep).agg((F.sum("n") / shards).cast("long").alias("n"), F.sum("logp").alias("logp"))
+    # each of a row's copies is there once a shard
+    return whole.groupBy(*keep).agg(F.max("n").alias("n"), (F.sum("logp") * shards / F.count(F.lit(1))).alias("logp"))
 
 
 def _reach(off: Column, quantile: float) -> Column:
@@ -191,7 +190,7 @@ def classify(
     """(doc_id, lang, text_key, n, perplexity, threshold, kept), one row for each distinct (doc_id, text) of docs.
 
     labels: ids with a quality (1: trusted) and, if toxic_col is given, a flag that takes the trust away. A fifth of the trusted documents, by a hash of their id, sets the thresholds, the rest
-    trains. kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that fifth, or over all of it for a null or rare language, and DEVIATIONS above the median at least; for a
+    trains. kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that fifth, or over all of it for a null or rare language, and DEVIATIONS above the median at least (repeated rows count once); for a
     text shorter than FULL_CHARS it is further from the language's median by the root of FULL_CHARS over its length. A null or empty text has no perplexity and isn't kept. Without trusted
     documents nothing can be judged: perplexity and threshold are null, every text with a character is kept. An empty table gives no rows.
     """
