@@ -68,6 +68,17 @@ def test_word_ids_are_the_tokenizers(docs):
     assert two_fit_pack.PieceIds(None).of(texts) == [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_added_token_is_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two <|endoftext|> three", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb c.", "<|<|endoftext|>", "plain <|endoftext| >", ""]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in two_fit_pack.pack(documents(spark, [(i, x, "en", "s") for i, x in enumerate(texts)])).collect()}
+    assert got == {i: (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())) for i, ids in enumerate(want)}
+
+
 def test_packing(docs, empty):
     got = [r.asDict() for r in two_fit_pack.pack(docs, capacity=64).collect()]
     by_sequence, by_doc = defaultdict(list), defaultdict(list)

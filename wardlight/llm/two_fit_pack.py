@@ -24,6 +24,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a Python worker keeps with their ids.
 CACHE_WORDS = 300_000
 END_ID = 0
+#: The public vocabulary's added token, which the tokenizers library finds in a text before it splits it, and its id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 def plain_space(text: str) -> bool:
@@ -37,11 +39,12 @@ class PieceIds:
     """Token ids of whole texts as little-endian bytes, through a bounded cache of words.
 
     Byte-level BPE splits a text before it merges, never inside a word with the blank before it, so a text's ids are its words' ids in a row.
-    A word's trailing punctuation is a split of its own too.
+    A word's trailing punctuation is a split of its own too. With added, the string of the added token is one id and parts the text; otherwise it is ordinary text.
     """
 
-    def __init__(self, rank_file: str | None):
+    def __init__(self, rank_file: str | None, added: bool = False):
         self.pairs = BytePairs(rank_file)
+        self.added = added
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -67,6 +70,14 @@ class PieceIds:
             known[w] = known[head] + tail
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if self.added and any(ADDED in t for t in texts):
+            runs = [t.split(ADDED) for t in texts]
+            ids = iter(self._of([r for run in runs for r in run]))
+            mark = np.asarray([ADDED_ID], "<u4").tobytes()
+            return [mark.join([next(ids) for _ in run]) for run in runs]
+        return self._of(texts)
+
+    def _of(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = [None if not plain_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self.learn(set().union(*[p[1:] for p in parts if p]))
         get = self.words.__getitem__
@@ -82,7 +93,7 @@ def piece_table(docs: DataFrame, rank_file: str | None, capacity: int, id_col: s
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rank_file not in _IDS:
-            _IDS[rank_file] = PieceIds(rank_file)
+            _IDS[rank_file] = PieceIds(rank_file, added=rank_file is None)  # a file of ranks names no added token
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
