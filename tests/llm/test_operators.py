@@ -276,6 +276,16 @@ def test_main_text(spark, html, want):
     assert (r.text, r.n_chars) == (want, len(want))
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<body><form action=x><div><h1>T</h1><p>The body of a page, all in one form, as some servers write.</p><p>More text, of it.</p></div><select><option>o</select></form></body>", "T\n\nThe body of a page, all in one form, as some servers write.\n\nMore text, of it."),
+    ("<main><article class='post category-privacy tag-social'><p>An article, of some length, on privacy.</p></article></main><div class=comments><p>So it is, all of it.</p></div>", "An article, of some length, on privacy."),
+    ("<nav><a href=x>Menu</a></nav><div id='discussion-article'><p>An article, of some length, about debates.</p></div>", "An article, of some length, about debates."),
+    ("<article><p>Short, but the article.</p></article><div class=comments><p>Comments, that are longer than the article, by far, and go on, and on.</p></div>", "Short, but the article."),
+])
+def test_main_text_in_doubtful_elements(html, want):
+    assert tree_extract.main_text(html) == want
+
+
 def test_language_held_out(spark):
     rnd = random.Random(5)
     stems = {"en": ["the", "ing", "tion", "er"], "de": ["sch", "ung", "keit", "ein"], "es": ["cion", "mente", "que", "ado"]}

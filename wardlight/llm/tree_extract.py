@@ -2,7 +2,7 @@
 
 Every paragraph earns points for its length and its commas and passes them to its ancestors, less with every level; an element's points are
 discounted by the share of its text that lies in links. The best container and those of its siblings that look like text are kept; what is navigation, advertising,
-a form, a script, a notice or a reader's comment by its tag, role or class earns nothing and is left out wherever it stands.
+a form, a script, a notice or a reader's comment by its tag, role or class earns nothing and is left out wherever it stands; save articles, and forms and elements with such a class that hold most of the page's text.
 """
 
 from __future__ import annotations
@@ -49,13 +49,15 @@ MARKED = 25.0
 SIBLING_SHARE, LONG_PARAGRAPH, FEW_LINKS = 0.2, 80, 0.25
 #: A list or table with more of its text in links than this is navigation.
 MOSTLY_LINKS = 0.5
+#: A form or an article with a name in NAMES stays from this share of the page's text outside links on, another named element from the second.
+MOST_TEXT, NEARLY_ALL = 0.5, 0.75
 
 
 class Node:
-    __slots__ = ("children", "dropped", "links", "parent", "score", "size", "tag")
+    __slots__ = ("children", "doubtful", "dropped", "links", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, False
         self.children: list[Node | str] = []
         self.size = self.links = 0
         self.score = MARKED if tag in ARTICLES else 0.0
@@ -65,15 +67,28 @@ class Node:
 
 
 def is_dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
+    """Whether an element is left out whatever it holds."""
+    if tag in DROPPED and tag != "form":
         return True
     if tag in ("html", "body", "main"):
         return False
     for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES and value != "form":
             return True
         if name == "style" and value and HIDDEN.search(value):
             return True
+    return False
+
+
+def is_doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element is left out unless it holds most of the page: a form, or one with a name in NAMES."""
+    if tag == "form":
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    for name, value in attrs:
+        if name == "role" and value == "form":
+            return True
         if name in ("class", "id") and value:
             words = [w.lower() for w in WORDS.findall(value)]
             if any(w in NAMES and before not in UNNAMED for before, w in zip(["", *words], words, strict=False)):
@@ -88,6 +103,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
         self.open: dict[str, int] = {}
+        self.nodes = [self.root]
 
     def _close_to(self, node: Node) -> None:
         while self.at is not node:
@@ -107,7 +123,9 @@ class Tree(HTMLParser):
                 if node.tag == ended:
                     self._close_to(node.parent)
         node = Node(tag, self.at, self.at.dropped or is_dropped(tag, attrs))
+        node.doubtful = not node.dropped and is_doubtful(tag, attrs)
         self.at.children.append(node)
+        self.nodes.append(node)
         if tag not in VOID:
             self.at = node
             self.open[tag] = self.open.get(tag, 0) + 1
@@ -129,6 +147,36 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
+def within(node: Node | None, outer: Node) -> bool:
+    while node and node is not outer:
+        node = node.parent
+    return node is outer
+
+
+def settle(nodes: list[Node]) -> None:
+    """Drop the doubtful elements that don't hold the page's main text; nodes: all elements, each before what it holds.
+
+    One stays that holds most of the text, unless an article or main element without such a name stands elsewhere; a named article stays too where no other article does.
+    """
+    if not any(n.doubtful for n in nodes):
+        return
+    weight: dict[Node, int] = {}
+    for node in reversed(nodes):
+        if not node.dropped and node.tag != "a":
+            weight[node] = sum(len(c) - c.count(" ") if isinstance(c, str) else weight.get(c, 0) for c in node.children)
+    whole = weight[nodes[0]]
+    marked = [n for n in nodes if n.tag in ARTICLES and not n.doubtful and weight.get(n)]
+    for node in nodes:
+        if node.parent and node.parent.dropped:
+            node.dropped = True
+        elif node.doubtful:
+            share = weight.get(node, 0) / whole if whole else 0.0
+            rivals = [m for m in marked if not m.dropped and not within(m, node) and not within(node, m)]
+            alone = node.tag == "article" and not any(m.tag == "article" and not within(m, node) for m in marked)
+            most = MOST_TEXT if node.tag in ("form", "article") else NEARLY_ALL
+            node.dropped = not (alone or share > most and not rivals)
+
+
 def in_order(root: Node) -> list[Node]:
     """Elements that aren't dropped, each before what it holds."""
     found, stack = [], [root]
@@ -240,6 +288,7 @@ def main_text(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    settle(tree.nodes)
     nodes = in_order(tree.root)
     score(nodes)
     return "\n\n".join(blocks(kept_parts(nodes)))
