@@ -1,8 +1,7 @@
 """Shared by the similarity operators: from buckets of an index to verified links, without emitting all pairs of a bucket.
 
 A bucket becomes a star: edges from its members to its smallest and its largest member. Edges that an operator finds plausible make candidate components; a bucket whose members these leave
-apart is compared in full. A component is cut by a
-hash into blocks of about BLOCK members; every pair of blocks is one unit of work in which an operator counts its links. A unit returns, for each member that has links
+apart is compared in full. A component is cut by a hash into blocks; every pair of blocks is one unit of work in which an operator counts its links. A unit returns, for each member that has links
 there, their number and one edge to the smallest member it reaches in the unit, so what is returned grows with the members and not with the pairs.
 """
 
@@ -15,19 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize
+from wardlight.llm.common import hot_join, materialize, scratch
 
 #: Members of a block; a unit holds two blocks at most.
 BLOCK = 256
 
 
-def star_edges(buckets: DataFrame, both_ends: bool) -> DataFrame:
-    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest node, and its largest if both_ends, from (bucket, node) rows.
+def bucket_ends(buckets: DataFrame) -> DataFrame:
+    """(bucket, low, high, n): the smallest and the largest node of each bucket of two nodes or more, from (bucket, node) rows."""
+    return buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+
+
+def star_edges(buckets: DataFrame, ends: DataFrame, both_ends: bool) -> DataFrame:
+    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest node, and its largest if both_ends, from (bucket, node) rows and bucket_ends().
 
     The second star serves an index whose buckets hold unrelated nodes, one of which may be the smallest.
     """
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    near = buckets.join(ends, "bucket")
+    total = ends.agg(F.sum("n")).first()[0] or 0
+    near = hot_join(buckets, ends.drop("n"), "bucket", counts=ends.select("bucket", F.col("n").alias("_n")), total=total)
     pairs = near.select("node", F.explode(F.array("low", "high")).alias("other")) if both_ends else near.select("node", F.col("low").alias("other"))
     pairs = pairs.where("node <> other")
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
@@ -58,31 +62,36 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge, from (a, b) edges; by large and small stars.
 
-    Before the first round every task replaces its own edges by stars to their smallest nodes.
+    Edges (u, v) have u > v. Every round each task replaces its own edges by stars to their smallest nodes; then each edge's lower end moves to that end's smallest neighbour, and each node's lower
+    neighbours are tied to the smallest of them. Joins on a node that a great part of the edges meet at are split.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").mapInArrow(_contracted, "u long, v long").distinct())
-    while True:
-        # done when every node either is a centre or has one edge, to a centre
-        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(e.select("v", F.lit(0), F.lit(1)))
-        seen = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-        if not seen.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).limit(1).count():
-            break
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialize(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(down.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct())
-
-
-def units(members: DataFrame) -> DataFrame:
+    contract = lambda e: e.select("u", "v").mapInArrow(_contracted, "u long, v long").distinct()
+    with scratch():
+        e = materialize(contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")))
+        while True:
+            low = materialize(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("out")))
+            moved = hot_join(e, low.select(F.col("u").alias("v"), "m"), "v", "left")
+            large = materialize(moved.select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")))
+            # done when every node either is a centre or has one edge, to a centre
+            if not large.where("moved").limit(1).count() and not low.where("out > 1").limit(1).count():
+                break
+            large = large.select("u", "v").distinct()
+            low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+            down = hot_join(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = materialize(contract(down.unionAll(low.select("u", F.col("m").alias("v")))))
+        return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select("v", "v").distinct()), outer=True)
+
+
+def blocked(members: DataFrame, block: int) -> DataFrame:
+    """(component, node, n, block): a block number below n, the component's number of blocks, for each member, from (node, component)."""
+    sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("_n")))
+    dealt = hot_join(members, sizes.select("component", F.ceil(F.col("_n") / block).cast("int").alias("n")), "component", counts=sizes, total=members.count())
+    return dealt.select("component", "node", "n", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"))
+
+
+def units(members: DataFrame, block: int | None = None) -> DataFrame:
     """(component, lo, hi, side, node): the blocks of each component in all pairs, from (node, component)."""
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    dealt = members.join(sizes, "component").withColumn("n", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = blocked(members, block or BLOCK).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return dealt.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("side"), "node")
 
 
@@ -128,7 +137,7 @@ def count_links(work: DataFrame, payload: str, prepare: Callable, links: Links)
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
-            for k, data in enumerate(batch.column(6).to_pylist() if payload else []):
+            for k, data in enumerate(batch.column(6).to_pylist()):
                 at = (columns[0][k], columns[1][k], columns[2][k])
                 if at != key:
                     if (done := close()) is not None:
@@ -143,16 +152,17 @@ def count_links(work: DataFrame, payload: str, prepare: Callable, links: Links)
 
 def linked_components(found: DataFrame) -> DataFrame:
     """(node, n_links, component) of the nodes with links, from count_links()."""
-    found = materialize(found)
-    groups = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
-    totals = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    return materialize(totals.join(groups, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("component")))
+    with scratch():
+        found = materialize(found)
+        groups = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
+        totals = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+        return materialize(totals.join(groups, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("component")), outer=True)
 
 
 def plausible(edges: DataFrame, sketches: DataFrame, near: Callable[[list, list], np.ndarray]) -> DataFrame:
-    """The (a, b) edges whose sketches near() finds close, from (node, sketch)."""
-    a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
-    b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    """The (a, b) edges whose sketches near() finds close, from materialized edges and (node, sketch)."""
+    first = hot_join(edges, sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    both = hot_join(first, sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b", counts=edges.groupBy("b").agg(F.count(F.lit(1)).alias("_n")), total=edges.count())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,14 +170,15 @@ def plausible(edges: DataFrame, sketches: DataFrame, near: Callable[[list, list]
                 keep = near(batch.column(2).to_pylist(), batch.column(3).to_pylist())
                 yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return edges.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """(component, lo, hi, side, node): the blocks of each bucket in all pairs, from (bucket, node, own); own components of BLOCK nodes or more have blocks of their own, which aren't paired with each other."""
-    groups = placed.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= BLOCK)
+def _apart(placed: DataFrame, block: int | None = None) -> DataFrame:
+    """(component, lo, hi, side, node): the blocks of each bucket in all pairs, from (bucket, node, own); own components of a block's nodes or more have blocks of their own, which aren't paired with each other."""
+    size = block or BLOCK
+    groups = placed.groupBy("bucket", "own").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") >= size)
     groups = groups.withColumn("part", F.when(F.col("large"), F.col("own")).otherwise(F.lit(0)))
-    parts = groups.groupBy("bucket", "large", "part").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    parts = groups.groupBy("bucket", "large", "part").agg(F.ceil(F.sum("n") / size).cast("int").alias("blocks"))
     of_bucket = Window.partitionBy("bucket")
     parts = parts.withColumn("first", F.sum("blocks").over(of_bucket.orderBy("large", "part")) - F.col("blocks")).withColumn("total", F.sum("blocks").over(of_bucket))
     dealt = placed.join(groups.drop("n"), ["bucket", "own"]).join(parts, ["bucket", "large", "part"])
@@ -176,22 +187,46 @@ def _apart(placed: DataFrame) -> DataFrame:
     return dealt.select(F.col("bucket").alias("component"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).alias("side"), "node")
 
 
-def candidates(buckets: DataFrame, sketches: DataFrame, both_ends: bool, near: Callable[[list, list], np.ndarray], prepare: Callable, links: Links) -> DataFrame:
-    """(node, component) of the candidate components: any two nodes of a bucket whose prepared sketches links() finds linked share one. From (bucket, node) and (node, sketch).
+def candidates(
+    buckets: DataFrame, sketches: DataFrame, both_ends: bool, near: Callable[[list, list], np.ndarray], prepare: Callable, links: Links, payloads: DataFrame | None = None, block: int | None = None,
+) -> DataFrame:
+    """(node, component) of the candidate components: any two nodes of a bucket whose prepared payloads links() finds linked share one. From (bucket, node), (node, sketch) and (node, payload), by default the sketches.
 
     Stars whose edges are near() come first. They say nothing of two nodes that are strangers to the ends of their bucket, or of which one is: a bucket that is left in several components
     is compared in pairs of blocks, save the pairs that share a component already. Buckets of the same nodes are compared once, those so small that the star holds all their pairs not at all.
     """
-    stars = materialize(plausible(materialize(star_edges(buckets, both_ends)), sketches, near))
-    found = materialize(components(stars))
-    sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where(F.col("m") > (3 if both_ends else 2))
-    sets = sets.groupBy("m", "nodes").agg(F.min("bucket").alias("bucket"))
-    crowded = materialize(buckets.join(sets.select("bucket"), "bucket"))
-    placed = crowded.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
-    several = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
-    placed = materialize(placed.join(several, "bucket"))
-    if not placed.limit(1).count():
-        return found
-    work = _apart(placed).withColumn("copies", F.lit(1).cast("long")).join(sketches, "node")
-    more = count_links(work, "sketch", prepare, links).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(stars.unionAll(more))
+    payloads = sketches.withColumnRenamed("sketch", "payload") if payloads is None else payloads
+    with scratch():
+        ends = materialize(bucket_ends(buckets))
+        stars = materialize(plausible(materialize(star_edges(buckets, ends, both_ends)), sketches, near))
+        found = components(stars)
+        sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where(F.col("m") > (3 if both_ends else 2))
+        sets = materialize(sets.groupBy("m", "nodes").agg(F.min("bucket").alias("bucket")))
+        sizes = sets.select("bucket", F.col("m").alias("_n"))
+        crowded = materialize(hot_join(buckets, sets.select("bucket"), "bucket", counts=sizes, total=sets.agg(F.sum("m")).first()[0] or 0))
+        placed = crowded.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
+        several = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
+        placed = materialize(placed.join(several, "bucket"))
+        if placed.limit(1).count():
+            work = _apart(placed, block).withColumn("copies", F.lit(1).cast("long")).join(payloads, "node")
+            more = count_links(work, "payload", prepare, links).select(F.col("node").alias("a"), F.col("low").alias("b"))
+            found = components(stars.unionAll(more))
+        return materialize(found, outer=True)
+
+
+def row_labels(rows: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with class_id, n_links and kept; rows: (id, key), key null for what links with nothing; classes: (key, node, first, copies), found: linked_components() of the nodes.
+
+    class_id is the smallest id of the linked classes, n_links counts the other members of the class and of those linked with it, kept marks the row whose id and class name the group.
+    """
+    linked = materialize(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    leads = linked.where("n_links is not null").groupBy("component").agg(F.min(F.struct("first", "node")).alias("lead"))
+    labels = linked.join(leads, "component", "left").select(
+        key, "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lead.first", "first").alias("class_id"),
+        F.coalesce("lead.node", "node").eqNullSafe(F.col("node")).alias("_leads"),
+    )
+    labels = materialize(labels, outer=True)
+    placed = hot_join(rows, labels.drop("copies"), key, "left", counts=labels.select(key, F.col("copies").alias("_n")), total=rows.count())
+    return placed.withColumn("kept", F.coalesce(F.col("_leads") & (F.col("class_id") == F.col("id")), F.lit(True))).withColumn(
+        "class_id", F.coalesce("class_id", "id")
+    ).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).drop("_leads")

@@ -12,14 +12,17 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.clusters import candidates, count_links, linked_components, units
-from wardlight.llm.common import materialize, python_batches, small
+from wardlight.llm.clusters import candidates, count_links, linked_components, row_labels, units
+from wardlight.llm.common import materialize, scratch, slices, small
 
 #: Star edges of a lower cosine than the wanted one less this are no candidates; vectors that the stars leave apart are compared at the wanted one.
 SLACK = 0.12
+#: Vectors of a block of the comparison of pairs.
+BLOCK = 1024
 
 
 def short_vectors() -> np.ndarray:
@@ -54,29 +57,26 @@ class Tables:
 
     def __init__(self, dim: int, tables: int, blocks: int, scale: float, probes: int, seed: int):
         rng = np.random.default_rng([seed, dim])
-        self.projections = rng.normal(size=(tables, blocks, dim, 8)) * scale * np.sqrt(dim / 64)
-        self.blocks, self.probes, self.short = blocks, probes, short_vectors()
+        projections = rng.normal(size=(tables, blocks, dim, 8)) * scale * np.sqrt(dim / 64)
+        self.projection = projections.transpose(2, 0, 1, 3).reshape(dim, -1)
+        self.shape, self.probes, self.short = (tables, blocks), probes, short_vectors()
         # a cell's hash is a sum over its doubled coordinates, so moving one block changes the hash by the move's own sum
         self.weights = rng.integers(-(1 << 62), 1 << 62, (tables, blocks, 8))
         self.seeds = rng.integers(-(1 << 62), 1 << 62, tables)
+        self.moves = (self.weights @ np.rint(2 * self.short).astype(np.int64).T).reshape(tables, -1)
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
         """Hashes of each vector's cells: its own and the nearest `probes` others in every table."""
-        out = []
-        for projection, weights, seed in zip(self.projections, self.weights, self.seeds, strict=True):
-            own, gains, moves = np.full(len(vectors), seed), [], []
-            for p, w in zip(projection, weights, strict=True):
-                y = vectors @ p
-                cell = decode_e8(y)
-                own = own + (np.rint(2 * cell).astype(np.int64) * w).sum(1)
-                gains.append((y - cell) @ self.short.T)  # the nearer a neighbour, the greater
-                moves.append((np.rint(2 * self.short).astype(np.int64) * w).sum(1))
-            out.append(own[:, None])
-            if self.probes:
-                gain, move = np.concatenate(gains, 1), np.concatenate(moves)
-                best = np.argpartition(-gain, self.probes - 1, axis=1)[:, : self.probes]
-                out.append(own[:, None] + move[best])
-        return np.concatenate(out, 1)
+        n, (tables, blocks) = len(vectors), self.shape
+        y = (vectors @ self.projection).reshape(-1, 8)
+        cell = decode_e8(y)
+        own = self.seeds + (np.rint(2 * cell).astype(np.int64).reshape(n, tables, blocks, 8) * self.weights).sum((2, 3))
+        if not self.probes:
+            return own
+        gain = ((y - cell) @ self.short.T).reshape(n, tables, -1)  # the nearer a neighbour, the greater
+        best = np.argpartition(-gain, self.probes - 1, axis=2)[:, :, : self.probes]
+        near = own[:, :, None] + np.take_along_axis(self.moves[None], best, 2)
+        return np.concatenate([own, near.reshape(n, -1)], 1)
 
 
 def unit(vector: list | None) -> np.ndarray | None:
@@ -113,42 +113,54 @@ def near_duplicates(
     """(vec_id, n_links, component_id, kept), one row for each row of vectors.
 
     n_links counts the other vectors linked directly, component_id is the smallest vec_id reachable by links, kept says that the vector is it. Vectors that are null, empty or zero or hold
-    null or non-finite numbers, rows with a null id, and vectors of another dimension link with nothing. Rows repeated with their id count as one vector. Ids are integers.
+    null or non-finite numbers, rows with a null id, and vectors of another dimension link with nothing. Rows repeated with their id and vector count as one vector; an id with two vectors is two. Ids are integers.
     With the default tables two vectors of cosine 0.9 meet in a cell with a probability of 0.99 (0.95: 0.9999); each further block in a cell lets a hundred to a thousand times as many
     unrelated vectors be told apart, at four to eight times the tables: two blocks serve up to about 10 million vectors of 64 dimensions, three beyond. An empty table gives no rows.
     """
-    python_batches(vectors.sparkSession, 2000)
-    given = vectors.select(F.col(id_col).cast("long").alias("node"), F.col(vector_col).cast("array<double>").alias("v"))
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Tables] = {}
-        for batch in batches:
-            units_ = [unit(v) for v in batch.column(1).to_pylist()]
-            nodes = batch.column(0).to_pylist()
+        for batch in slices(batches, 500):
+            ids = batch.column(0).to_pylist()
+            units_ = [unit(v) if i is not None else None for i, v in zip(ids, batch.column(1).to_pylist(), strict=True)]
+            n = len(units_)
+            cells: list[np.ndarray | None] = [None] * n
+            coarse: list[bytes | None] = [None] * n
             for dim in sorted({len(u) for u in units_ if u is not None}):
                 at = [k for k, u in enumerate(units_) if u is not None and len(u) == dim]
                 if dim not in known:
                     known[dim] = Tables(dim, tables, blocks, scale, probes, seed)
-                for i in range(0, len(at), 500):
-                    part = at[i : i + 500]
-                    x = np.array([units_[k] for k in part])
-                    cells = known[dim].cells(x)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([nodes[k] for k in part], pa.int64()), pa.array(list(cells), pa.list_(pa.int64())), pa.array(list(x), pa.list_(pa.float64()))], ["node", "cells", "unit"]
-                    )
-
-    entered = materialize(given.where("node is not null").dropDuplicates(["node"]).mapInArrow(enter, "node long, cells array<long>, unit array<double>"))
-    payloads = entered.select("node", F.col("unit").alias("sketch"))
+                x = np.array([units_[k] for k in at])
+                eighths = np.rint(x * (127 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
+                for k, c, e in zip(at, known[dim].cells(x), eighths, strict=True):
+                    cells[k], coarse[k] = c, e.tobytes()
+            payloads = [None if u is None else u.tobytes() for u in units_]
+            keys = [None if p is None else xxhash.xxh3_128_digest(p) for p in payloads]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(payloads, pa.binary()), pa.array(coarse, pa.binary())], ["id", "key", "cells", "payload", "sketch"])
+
     least = cosine - SLACK
 
-    def near(xs: list, ys: list) -> np.ndarray:
-        return np.fromiter((len(x) == len(y) and np.dot(x, y) >= least for x, y in zip(xs, ys, strict=True)), bool, len(xs))
-
-    members = materialize(candidates(entered.select("node", F.explode("cells").alias("bucket")), payloads, True, near, np.array, cosine_links(cosine)))
-    n_members = members.count()
-    work = units(members).join(payloads, "node").withColumn("copies", F.lit(1).cast("long"))
-    found = linked_components(count_links(work, "sketch", np.array, cosine_links(cosine)))
-    return given.select("node").join(small(found, n_members), "node", "left").select(
-        F.col("node").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"),
-        F.coalesce(F.coalesce("component", "node") == F.col("node"), F.lit(True)).alias("kept"),
-    )
+    def near(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+        """Of vectors rounded to bytes."""
+        out = np.zeros(len(xs), bool)
+        for dim in {len(x) for x in xs}:
+            at = [k for k, (x, y) in enumerate(zip(xs, ys, strict=True)) if len(x) == dim == len(y)]
+            a, b = (np.frombuffer(b"".join([v[k] for k in at]), np.int8).reshape(-1, dim).astype(np.float32) for v in (xs, ys))
+            out[at] = (a * b).sum(1) >= least * np.sqrt((a * a).sum(1) * (b * b).sum(1))
+        return out
+
+    with scratch():
+        entered = materialize(given.mapInArrow(enter, "id long, key binary, cells array<long>, payload binary, sketch binary"), outer=True)
+        classes = entered.where("key is not null").groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies"))
+        classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+        n_classes = classes.count()
+        named = classes.select("key", F.col("first").alias("id"), "node")
+        firsts = materialize(entered.join(small(named, n_classes), ["key", "id"]).dropDuplicates(["node"]).select("node", "cells", "payload", "sketch"))
+        payloads = firsts.select("node", "payload")
+        links = cosine_links(cosine)
+        members = candidates(firsts.select("node", F.explode("cells").alias("bucket")), firsts.select("node", "sketch"), True, near, np.frombuffer, links, payloads, BLOCK)
+        work = units(members, BLOCK).join(small(classes.select("node", "copies"), n_classes), "node").join(payloads, "node")
+        found = linked_components(count_links(work, "payload", np.frombuffer, links))
+        labelled = row_labels(entered.select("id", "key"), classes, found, "key")
+    return labelled.select(F.col("id").alias("vec_id"), "n_links", F.col("class_id").alias("component_id"), "kept")
