@@ -1,9 +1,10 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of characters, trained on trusted text.
 
-Counting: every task counts the n-grams of its documents and Spark adds them up; all n-grams of the corpus are counted, those of trusted texts apart. Model: continuation counts, discounts from counts of counts,
-context sums and back-off weights are aggregations and joins on n-grams and contexts, sharded by Spark; they end in the log-probability of every n-gram that occurs in the corpus. Scoring: that table
-is laid out in shards of a bounded number of n-grams, and each shard is applied to all documents; a document's log-probabilities add up over the shards. Thresholds: a quantile of the trusted
-documents of a language that the model didn't learn from.
+Symbols: a code point below PLAIN is a symbol of its own; any other is two symbols, its upper and its lower part, so every script keeps all of its characters. Counting: every task counts the n-grams of its
+documents and Spark adds them up; all n-grams of the corpus are counted, those of trusted texts apart. Model: continuation counts, discounts from counts of counts, context sums and
+back-off weights are aggregations and joins on n-grams and contexts, sharded by Spark; they end in the log-probability of every n-gram that occurs in the corpus. Scoring: a document's n-grams
+with their counts are joined to that table by n-gram and summed by document. The most frequent n-grams, HEAD_GRAMS at most whatever the corpus, would be hot keys of that join: these are sent to the workers
+and summed where the document is read. Thresholds: a quantile of the trusted documents of a language that the model didn't learn from.
 """
 
 from __future__ import annotations
@@ -16,36 +17,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, python_batches, small
+from wardlight.llm.common import binned_quantiles, materialize, scratch, slices, small
 
 #: Length of the n-grams, and bits of a symbol in a packed n-gram.
 ORDER, BITS = 5, 12
-#: Code points up to here are symbols of their own, the others share the rest by a hash; 0 and 1 begin and end a text.
-PLAIN = 3072
-#: N-grams of a shard of the score table: what a worker holds.
-SHARD_GRAMS = 4_000_000
+#: Symbols: 0 and 1 begin and end a text, then PLAIN code points, the upper parts (1,088 of 1,024 code points) and the lower parts of all others.
+PLAIN, LOW_BITS = 1980, 10
+UPPER = 2 + PLAIN
+LOWER = UPPER + (0x110000 >> LOW_BITS)
+#: The most frequent n-grams of the corpus that every worker holds (12 bytes each).
+HEAD_GRAMS = 2_000_000
 #: N-grams that a task gathers before it hands them on.
 GATHERED = 3_000_000
 #: Characters from which on a text's threshold is no wider, and documents that a language needs for a threshold of its own.
 FULL_CHARS, OWN_THRESHOLD = 1500, 50
-#: A threshold is no nearer to the median than so many robust deviations: a quantile of few documents is too low.
-DEVIATIONS = 5.0
 
 
-def packed_grams(text: str) -> np.ndarray:
-    """The packed n-grams of a text, one for each of its characters and its end."""
+def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    symbols = np.zeros(len(points) + ORDER, np.int64)
-    symbols[ORDER - 1 : -1] = np.where(points < PLAIN - 2, points + 2, PLAIN + (points * 40_503 >> 4) % ((1 << BITS) - PLAIN))
+    far = points >= PLAIN
+    if not far.any():
+        return points + 2
+    out = np.zeros(len(points) + int(far.sum()), np.int64)
+    at = np.arange(len(points)) + np.cumsum(far) - far
+    out[at] = np.where(far, UPPER + (points >> LOW_BITS), points + 2)
+    out[at[far] + 1] = LOWER + (points[far] & ((1 << LOW_BITS) - 1))
+    return out
+
+
+def packed_grams(text: str) -> np.ndarray:
+    """The packed n-grams of a text, one for each of its symbols and its end."""
+    own = symbols_of(text)
+    symbols = np.zeros(len(own) + ORDER, np.int64)
+    symbols[ORDER - 1 : -1] = own
     symbols[-1] = 1
-    grams = np.zeros(len(points) + 1, np.int64)
+    grams = np.zeros(len(own) + 1, np.int64)
     for i in range(ORDER):
         grams = grams << BITS | symbols[i : i + len(grams)]
     return grams
 
 
 def count_grams(docs: DataFrame, text_col: str, learn_col: str) -> DataFrame:
-    """(g, c): every n-gram of docs and its count in the documents to learn from, in parts to be added up."""
+    """(g, c, t): every n-gram of docs, its count in the documents to learn from and in all, in parts to be added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -54,29 +67,32 @@ def count_grams(docs: DataFrame, text_col: str, learn_col: str) -> DataFrame:
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+            both = np.concatenate(counts)
+            return k, np.stack([np.bincount(inverse, both[:, i]).astype(np.int64) for i in (0, 1)], 1)
 
-        for batch in batches:
+        def rows(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(k), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (k, c[:, 0], c[:, 1])], ["g", "c", "t"])
+
+        for batch in slices(batches, 300):
             for learn in (True, False):
                 grams = [packed_grams(t) for t, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and bool(own) is learn]
                 if grams:
                     k, c = np.unique(np.concatenate(grams), return_counts=True)
                     keys.append(k)
-                    counts.append(c if learn else np.zeros(len(k), np.int64))
+                    counts.append(np.stack([c if learn else np.zeros(len(k), np.int64), c], 1))
                     held += len(k)
             if held > GATHERED:
                 k, c = merged()
                 if len(k) > GATHERED // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["g", "c"])
+                    yield from rows(k, c)
                     keys, counts, held = [], [], 0
                 else:
                     keys, counts, held = [k], [c], len(k)
         if keys:
-            k, c = merged()
-            for i in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 200_000]), pa.array(c[i : i + 200_000])], ["g", "c"])
+            yield from rows(*merged())
 
-    return docs.select(text_col, learn_col).mapInArrow(count, "g long, c long")
+    return docs.select(text_col, learn_col).mapInArrow(count, "g long, c long, t long")
 
 
 def suffix(g: Column, length: int) -> Column:
@@ -84,8 +100,11 @@ def suffix(g: Column, length: int) -> Column:
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The discounts of counts 1, 2 and 3 or more, from how many n-grams have the counts 1 to 4."""
-    n = [x or 0 for x in counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()]
+    """The discounts of counts 1, 2 and 3 or more, from how many n-grams have the counts 1 to 4; fixed ones where too few have."""
+    return discounts_of([x or 0 for x in counts.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()])
+
+
+def discounts_of(n: list[int]) -> tuple[float, float, float]:
     if not n[0] or not n[1]:
         return 0.5, 0.75, 0.9
     y = n[0] / (n[0] + 2 * n[1])
@@ -94,12 +113,12 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
-    """(g, logp) for every n-gram of (g, c): interpolated modified Kneser-Ney from those with c > 0."""
-    counted = {ORDER: grams.where("c > 0")}
-    wanted = {ORDER: grams.select("g")}
+    """(g, t, logp) for every n-gram of (g, c, t): interpolated modified Kneser-Ney from those with c > 0."""
+    counted = {ORDER: grams.where("c > 0").select("g", "c")}
+    wanted = {ORDER: grams.select("g", "t")}
     for k in range(ORDER - 1, 0, -1):
         counted[k] = materialize(counted[k + 1].groupBy(suffix(F.col("g"), k).alias("g")).agg(F.count(F.lit(1)).alias("c")))
-        wanted[k] = materialize(wanted[k + 1].select(suffix(F.col("g"), k).alias("g")).distinct())
+        wanted[k] = materialize(wanted[k + 1].select(suffix(F.col("g"), k).alias("g")).distinct().withColumn("t", F.lit(0).cast("long")))
     lower = wanted[1].select(F.lit(0).cast("long").alias("tail"), F.lit(1.0 / (1 << BITS)).alias("lower")).limit(1)
     for k in range(1, ORDER + 1):
         d1, d2, d3 = discounts(counted[k])
@@ -110,13 +129,13 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
         asked = asked.join(sums, "context", "left").join(F.broadcast(lower) if k == 1 else lower, "tail")
         own = F.coalesce((F.col("c") - taken) / F.col("total"), F.lit(0.0))
         back = F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0))
-        p = materialize(asked.select("g", (own + back * F.col("lower")).alias("p")))
+        p = materialize(asked.select("g", "t", (own + back * F.col("lower")).alias("p")))
         lower = p.select(F.col("g").alias("tail"), F.col("p").alias("lower"))
-    return p.select("g", F.log("p").cast("float").alias("logp"))
+    return p.select("g", "t", F.log("p").cast("float").alias("logp"))
 
 
 class Lookup:
-    """Log-probabilities by n-gram: open addressing in arrays four times as long as the shard."""
+    """Log-probabilities by n-gram: open addressing in arrays at least two and a half times as long as the table."""
 
     def __init__(self, grams: np.ndarray, logs: np.ndarray):
         self.bits = max(8, int(np.ceil(np.log2(max(1, len(grams)) * 2.5))))
@@ -134,92 +153,118 @@ class Lookup:
     def _slots(self, grams: np.ndarray) -> np.ndarray:
         return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def sum(self, grams: np.ndarray) -> float:
-        """Of the logs of those n-grams that are in the shard."""
-        total, at = 0.0, self._slots(grams)
+    def sum(self, grams: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of the logs of those n-grams that the table has, and the others."""
+        total, at, absent = 0.0, self._slots(grams), []
         while len(grams):
             there = self.keys[at]
             hit = there == grams
             total += float(self.logs[at[hit]].sum(dtype=np.float64))
+            if len(lacking := grams[there == -1]):
+                absent.append(lacking)
             on = ~hit & (there != -1)
             grams, at = grams[on], (at[on] + 1) & ((1 << self.bits) - 1)
-        return total
+        return total, np.concatenate(absent) if absent else np.zeros(0, np.int64)
 
 
 _LOOKUPS: dict[str, Lookup] = {}
 
 
+def head_level(grams: DataFrame, most: int) -> int:
+    """The lowest level (eight to a doubling of the count t) from which on there are no more than `most` n-grams."""
+    levels = sorted(grams.groupBy(level_of()).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)  # at most 512 rows
+    least, held = 513, 0
+    for level, n in levels:
+        held += n
+        if held > most:
+            break
+        least = level
+    return least
+
+
+def level_of() -> Column:
+    return F.floor(F.log2("t") * 8).cast("int").alias("level")
+
+
 def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns keep, n (characters and the end) and logp of every distinct keep, which stands for one text, from the table of log-probabilities in shards."""
+    """Columns keep, n (characters and the end) and logp of every row of docs, from (g, t, logp), which has all of its n-grams."""
     spark = docs.sparkSession
-    shards = max(1, -(-logs.count() // SHARD_GRAMS))
+    leveled = logs.withColumn("level", level_of())
+    least = head_level(logs, HEAD_GRAMS)
+    head = leveled.where(F.col("level") >= least).select("g", "logp").toArrow()  # HEAD_GRAMS rows of 12 bytes at most
+    shared = spark.sparkContext.broadcast((head["g"].to_numpy(), head["logp"].to_numpy()))
+    mark = uuid.uuid4().hex  # workers outlive a query
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    parts = []
-    for s in range(shards):
-        own = logs.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s).toArrow()  # about SHARD_GRAMS rows of 12 bytes
-        shared = spark.sparkContext.broadcast((own["g"].to_numpy(), own["logp"].to_numpy()))
-        mark = uuid.uuid4().hex  # workers outlive a query
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared, mark=mark) -> Iterator[pa.RecordBatch]:
-            if mark not in _LOOKUPS:
-                _LOOKUPS.clear()
-                _LOOKUPS[mark] = Lookup(*shared.value)
-            lookup = _LOOKUPS[mark]
-            for batch in batches:
-                texts = batch.column(len(keep)).to_pylist()
-                sums = [lookup.sum(packed_grams(t)) if t else None for t in texts]
-                lengths = [len(t) + 1 if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lengths, pa.int64()), pa.array(sums, pa.float64())], [*keep, "n", "logp"])
-
-        parts.append(docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(add, f"{kinds}, n long, logp double"))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionAll(p)
-    # each of a row's copies is there once a shard
-    return whole.groupBy(*keep).agg(F.max("n").alias("n"), (F.sum("logp") * shards / F.count(F.lit(1))).alias("logp"))
-
-
-def _reach(off: Column, quantile: float) -> Column:
-    """How far above the median a threshold lies, from the documents' distances to the median."""
-    return F.greatest(F.percentile_approx(off, quantile, 10_000), DEVIATIONS * 1.4826 * F.percentile_approx(F.abs(off), 0.5, 10_000))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if mark not in _LOOKUPS:
+            _LOOKUPS.clear()
+            _LOOKUPS[mark] = Lookup(*shared.value)
+        lookup = _LOOKUPS[mark]
+        for batch in slices(batches, 300):
+            texts = batch.column(len(keep)).to_pylist()
+            sums, rare = [], []
+            for t in texts:
+                total, absent = lookup.sum(packed_grams(t)) if t else (None, ())
+                sums.append(total)
+                rare.append([{"g": int(g), "c": int(c)} for g, c in zip(*np.unique(absent, return_counts=True), strict=True)] if len(absent) else None)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], pa.array([len(t) + 1 if t else 0 for t in texts], pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("g", pa.int64()), ("c", pa.int64())])))],
+                [*keep, "n", "logp", "_rare"],
+            )
+
+    summed = docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(add, f"{kinds}, n long, logp double, _rare array<struct<g:bigint,c:bigint>>")
+    summed = materialize(summed.withColumn("_row", F.monotonically_increasing_id()))
+    rest = summed.where("_rare is not null").select("_row", F.inline("_rare"))
+    rest = rest.join(leveled.where(F.col("level") < least).select("g", F.col("logp").alias("_l")), "g")
+    rest = materialize(rest.groupBy("_row").agg(F.sum(F.col("c") * F.col("_l").cast("double")).alias("_more")))
+    both = summed.drop("_rare").join(small(rest, rest.count()), "_row", "left")
+    return both.select(*keep, "n", (F.col("logp") + F.coalesce("_more", F.lit(0.0))).alias("logp"))
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, quantile: float = 0.998, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str | None = "toxic",
+    docs: DataFrame, labels: DataFrame, quantile: float = 0.999, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str | None = "toxic",
 ) -> DataFrame:
-    """(doc_id, lang, text_key, n, perplexity, threshold, kept), one row for each distinct (doc_id, text) of docs.
+    """(doc_id, lang, text_key, n, perplexity, threshold, kept), one row for each row of docs; text_key is xxhash64 of the text.
 
     labels: ids with a quality (1: trusted) and, if toxic_col is given, a flag that takes the trust away. A fifth of the trusted documents, by a hash of their id, sets the thresholds, the rest
-    trains. kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that fifth, or over all of it for a null or rare language, and DEVIATIONS above the median at least (repeated rows count once); for a
-    text shorter than FULL_CHARS it is further from the language's median by the root of FULL_CHARS over its length. A null or empty text has no perplexity and isn't kept. Without trusted
-    documents nothing can be judged: perplexity and threshold are null, every text with a character is kept. An empty table gives no rows.
+    trains; every copy of a repeated row counts. perplexity is that of a character (and the end). kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that
+    fifth, or over all of it for a null language or one with fewer than OWN_THRESHOLD documents there; the quantile is taken of the distances from the language's median, each times the root of the text's length over FULL_CHARS (1 at most), and the
+    threshold of a text is divided by that root, since shorter texts scatter more. Quantiles are exact to 0.0001 of the logarithm. A null or empty text has no perplexity and isn't kept. Without
+    trusted documents nothing can be judged: perplexity and threshold are null, every text with a character is kept. An empty table gives no rows.
     """
-    python_batches(docs.sparkSession, 300)
     good = F.col(quality_col) == 1
     if toxic_col:
         good = good & (F.coalesce(F.col(toxic_col), F.lit(0)) != 1)
-    trusted = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    trusted = materialize(trusted.withColumn("_role", F.when(F.pmod(F.xxhash64("_id"), F.lit(5)) == 0, "set").otherwise("learn")))
-    n_trusted = trusted.count()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    rows = rows.join(small(trusted, n_trusted), F.col("doc_id") == F.col("_id"), "left").withColumn("_learn", F.coalesce(F.col("_role") == "learn", F.lit(False)))
-    grams = materialize(count_grams(rows, "text", "_learn").groupBy("g").agg(F.sum("c").alias("c")))
-    keep = ["doc_id", "lang", "text_key", "_role"]
-    if not grams.where("c > 0").limit(1).count():
-        return rows.select("doc_id", "lang", "text_key", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("kept")).dropDuplicates(["doc_id", "text_key"])
-    logs = materialize(log_probabilities(grams))
-    scored = materialize(score(rows, logs, "text", keep).withColumn("loss", -F.col("logp") / F.col("n")))
-    setting = scored.where("_role = 'set' and n > 0")
-    middle = materialize(setting.groupBy("lang").agg(F.percentile_approx("loss", 0.5, 10_000).alias("m"), F.count(F.lit(1)).alias("docs")))
-    n_langs = middle.count()
-    all_middle = setting.agg(F.percentile_approx("loss", 0.5, 10_000)).first()[0]
-    wide = F.sqrt(F.least(F.col("n"), F.lit(FULL_CHARS)) / FULL_CHARS)
-    off = (F.col("loss") - F.col("m")) * wide
-    by_lang = setting.join(small(middle, n_langs), "lang").groupBy("lang").agg(_reach(off, quantile).alias("up"), F.first("m").alias("m"), F.first("docs").alias("docs"))
-    by_lang = materialize(by_lang.where((F.col("docs") >= OWN_THRESHOLD) & F.col("lang").isNotNull()).select("lang", "m", "up"))
-    over_all = setting.agg(_reach((F.col("loss") - F.lit(all_middle)) * wide, quantile)).first()[0] if all_middle is not None else None
-    limit = F.coalesce("m", F.lit(all_middle)) + F.greatest(F.coalesce("up", F.lit(over_all)), F.lit(0.0)) / wide
-    judged = scored.join(small(by_lang, n_langs), "lang", "left").dropDuplicates(["doc_id", "text_key"])
+    with scratch():
+        trusted = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+        trusted = materialize(trusted.withColumn("_role", F.when(F.pmod(F.xxhash64("_id"), F.lit(5)) == 0, "set").otherwise("learn")))
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+        rows = rows.join(small(trusted, trusted.count()), F.col("doc_id") == F.col("_id"), "left").withColumn("_learn", F.coalesce(F.col("_role") == "learn", F.lit(False)))
+        grams = materialize(count_grams(rows, "text", "_learn").groupBy("g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
+        if not grams.where("c > 0").limit(1).count():
+            return docs.select(
+                F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_key"),
+                F.when(F.length(text_col) > 0, F.length(text_col) + 1).otherwise(0).cast("long").alias("n"), F.lit(None).cast("double").alias("perplexity"),
+                F.lit(None).cast("double").alias("threshold"), F.coalesce(F.length(text_col) > 0, F.lit(False)).alias("kept"),
+            )
+        logs = materialize(log_probabilities(grams))
+        scored = score(rows, logs, "text", ["doc_id", "lang", "text_key", "_role"]).withColumn("loss", -F.col("logp") / F.col("n"))
+        scored = materialize(scored.withColumn("_all", F.lit(0)), outer=True)
+        wide = F.sqrt(F.least(F.col("n"), F.lit(FULL_CHARS)) / FULL_CHARS)
+        setting = scored.where("_role = 'set' and n > 0")
+
+        def thresholds(by: str) -> DataFrame:
+            middle = materialize(binned_quantiles(setting, by, "loss", {"m": 0.5}).where(F.col(by).isNotNull()).select(by, "m"))
+            off = setting.join(small(middle, middle.count()), by).withColumn("_off", (F.col("loss") - F.col("m")) * wide)
+            up = binned_quantiles(off, by, "_off", {"up": quantile})
+            return materialize(middle.join(up, by), outer=True)
+
+        by_lang = thresholds("lang").where(F.col("texts") >= OWN_THRESHOLD).select("lang", "m", "up")
+        over_all = thresholds("_all").select("_all", F.col("m").alias("_m"), F.col("up").alias("_up"))
+        n_langs = by_lang.count()
+    judged = scored.join(small(by_lang, n_langs), "lang", "left").join(F.broadcast(over_all), "_all", "left")  # over_all is one row
+    limit = F.coalesce("m", "_m") + F.greatest(F.coalesce("up", "_up"), F.lit(0.0)) / wide
     return judged.select(
         "doc_id", "lang", "text_key", "n", F.exp("loss").alias("perplexity"), F.when(F.col("n") > 0, F.exp(limit)).alias("threshold"),
         F.coalesce((F.col("n") > 0) & F.coalesce(F.col("loss") <= limit, F.lit(True)), F.lit(False)).alias("kept"),
