@@ -16,89 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import gapless_rank, materialize, python_batches
+from wardlight.llm.common import gapless_rank, materialize, slices
 from wardlight.llm.vocab import BytePairs
 
-#: ASCII punctuation, a split of its own at the end of a word that ends in a letter.
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that a Python worker keeps with their ids.
-CACHE_WORDS = 300_000
 END_ID = 0
-#: The public vocabulary's added token, which the tokenizers library finds in a text before it splits it, and its id.
-ADDED, ADDED_ID = "<|endoftext|>", 50256
 
+_IDS: dict[str | None, BytePairs] = {}
 
-def plain_space(text: str) -> bool:
-    """Whether the only white space of a text is single blanks and single line ends between words (other unprintable characters count as white space)."""
-    if not text or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return not any(two in text for two in ("  ", " \n", "\n ", "\n\n")) and text.replace("\n", "").isprintable()
 
-
-class PieceIds:
-    """Token ids of whole texts as little-endian bytes, through a bounded cache of words.
-
-    Byte-level BPE splits a text before it merges, never inside a word with the blank before it, so a text's ids are its words' ids in a row.
-    A word's trailing punctuation is a split of its own too. With added, the string of the added token is one id and parts the text; otherwise it is ordinary text.
-    """
-
-    def __init__(self, rank_file: str | None, added: bool = False):
-        self.pairs = BytePairs(rank_file)
-        self.added = added
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Cache words; one that begins with a line end stands alone, any other follows a blank."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.tails = {}, {}
-        known = self.words
-        plain, cut = [], []
-        for w in words:
-            if w not in known:
-                head = w.rstrip(PUNCTUATION)
-                if head != w and head and head[-1].isalpha():
-                    cut.append((w, head))
-                else:
-                    plain.append(w)
-        plain += {head for _, head in cut}.difference(known, plain)
-        known.update(zip(plain, self.pairs.words([w if w[:1] == "\n" else f" {w}" for w in plain]), strict=True))
-        for w, head in cut:
-            end = w[len(head) :]
-            if (tail := self.tails.get(end)) is None:
-                tail = self.tails[end] = self.pairs.text(end)
-            known[w] = known[head] + tail
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if self.added and any(ADDED in t for t in texts):
-            runs = [t.split(ADDED) for t in texts]
-            ids = iter(self._of([r for run in runs for r in run]))
-            mark = np.asarray([ADDED_ID], "<u4").tobytes()
-            return [mark.join([next(ids) for _ in run]) for run in runs]
-        return self._of(texts)
-
-    def _of(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = [None if not plain_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        self.learn(set().union(*[p[1:] for p in parts if p]))
-        get = self.words.__getitem__
-        return [self.pairs.text(t) if p is None else self.pairs.text(p[0]) + b"".join(map(get, p[1:])) for t, p in zip(texts, parts, strict=True)]
-
-
-_IDS: dict[str | None, PieceIds] = {}
-
-
-def piece_table(docs: DataFrame, rank_file: str | None, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def piece_table(docs: DataFrame, vocabulary: str | None, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents with their end id, cut where longer than capacity."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rank_file not in _IDS:
-            _IDS[rank_file] = PieceIds(rank_file, added=rank_file is None)  # a file of ranks names no added token
-        end = np.asarray([END_ID], "<u4").tobytes()
-        for batch in batches:
+        if vocabulary not in _IDS:
+            _IDS[vocabulary] = BytePairs(vocabulary)
+        pairs, end = _IDS[vocabulary], np.asarray([END_ID], "<u4").tobytes()
+        for batch in slices(batches, 500):
             rows: list[tuple[int, int, int, int, int]] = []
-            for k, ids in enumerate(_IDS[rank_file].of([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = pairs.ids(text or "").tobytes() + end
                 n = len(ids) // 4
                 start, stop, piece = 0, n % capacity or capacity, 0
                 while start < n:
@@ -154,15 +91,14 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[in
     return plan
 
 
-def pack(docs: DataFrame, capacity: int = 2048, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     A document is its token ids and one end id. A longer one than capacity is cut into pieces of capacity, its first piece may be shorter. A null
     or empty text is one end id. Repeated rows and null ids are documents of their own (which of two pieces of one length takes which place is decided by their ids);
-    an empty table gives no rows. rank_file: the ranks of a byte-level vocabulary, at the same path on every machine; None: the public one.
+    an empty table gives no rows. vocabulary: a byte-level vocabulary file of the tokenizers library, at the same path on every machine; None: the public one. A text's added tokens are one id each.
     """
-    python_batches(docs.sparkSession)
-    pieces = materialize(piece_table(docs, rank_file, capacity, id_col, text_col))
+    pieces = materialize(piece_table(docs, vocabulary, capacity, id_col, text_col))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots, sequence, used = [], 0, dict.fromkeys(counts, 0)
     for bin_, times in plan_bins(counts, capacity):
