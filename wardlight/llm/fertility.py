@@ -1,9 +1,8 @@
 """Quality rules by tokeniser fertility.
 
 Two public vocabularies measure every text: a byte-level BPE gives characters per token and the entropy of the text's tokens, a BPE with byte fallback gives the
-share of tokens that are bare bytes. A text outside the wide fixed limits of its main script is rejected, and so is one whose characters per token lie outside the
-band of its language: the language's median over all documents, give or take so many robust deviations, wider for short texts. Texts are tokenised word by word,
-through a bounded cache of words.
+share of tokens that are bare bytes. Both read the text whole, its blanks and line ends included. A text outside the wide fixed limits of its main script is rejected, and so is one whose characters per token
+lie outside the band of its language: the language's median over all documents, give or take so many robust deviations, wider for short texts.
 """
 
 from __future__ import annotations
@@ -17,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, python_batches, small
+from wardlight.llm.common import binned_quantiles, materialize, scratch, slices, small
 from wardlight.llm.vocab import BytePairs
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space to str.split() that isn't a word break here.
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
-CACHE_WORDS = 200_000
 #: Word windows that must not repeat.
 WINDOW = 8
 
@@ -92,53 +90,31 @@ def script_of(text: str) -> str:
 
 
 class Vocabularies:
-    """(byte-level token ids, tokens and bare-byte tokens under byte fallback) for each word, in a bounded cache."""
+    """A byte-level vocabulary and one with byte fallback."""
 
-    def __init__(self, rank_file: str | None, piece_file: str | None):
+    def __init__(self, vocabulary: str | None, piece_file: str | None):
         import public_tokenizers
         import sentencepiece
 
-        self.pairs = BytePairs(rank_file)
-        piece_file = piece_file or public_tokenizers.path("piece_bpe_32k.model")
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file)
+        self.pairs = BytePairs(vocabulary)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_file or public_tokenizers.path("piece_bpe_32k.model"))
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.words: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.words.clear()
-        self.ids: list[bytes] = []
-        self.table = np.zeros((0, 4), np.int64)  # characters, BPE tokens, pieces, bare bytes
-
-    def number(self, texts_words: list[list[str]]) -> list[np.ndarray]:
-        """Words as numbers of rows of the table."""
-        if len(self.words) > CACHE_WORDS:
-            self._reset()
-        missing = [w for w in set().union(*texts_words) if w not in self.words]
-        if missing:
-            plain = not OTHER_SPACE.search("".join(missing))
-            ids = self.pairs.words([f" {w}" for w in missing]) if plain else [self.pairs.text(f" {w}") for w in missing]
-            pieces = self.pieces.encode(missing, num_threads=1)
-            n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            bare = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(pieces), np.int64, n_pieces.sum())])])
-            ends = np.cumsum(n_pieces)
-            rows = np.stack([np.fromiter(map(len, missing), np.int64), np.fromiter(map(len, ids), np.int64) // 4, n_pieces, bare[ends] - bare[ends - n_pieces]], 1)
-            self.words.update(zip(missing, range(len(self.ids), len(self.ids) + len(missing)), strict=True))
-            self.ids += ids
-            self.table = np.concatenate([self.table, rows])
-        get = self.words.__getitem__
-        return [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in texts_words]
-
-    def measure(self, numbers: np.ndarray) -> tuple[int, int, int, int, float]:
-        """(characters, tokens, pieces, bare bytes, entropy of the tokens in bits) of one text."""
-        if not len(numbers):
-            return 0, 0, 0, 0, 0.0
-        distinct, times = np.unique(numbers, return_counts=True)
-        chars, tokens, pieces, bare = (self.table[distinct] * times[:, None]).sum(0)
-        ids = np.frombuffer(b"".join([self.ids[k] for k in distinct.tolist()]), "<u4")
-        per_id = np.bincount(ids, np.repeat(times, self.table[distinct, 1]))
-        share = per_id[per_id > 0] / tokens
-        return int(chars), int(tokens), int(pieces), int(bare), float(-(share * np.log2(share)).sum())
+
+    def bare_bytes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, bare-byte tokens) of each text under byte fallback."""
+        found = self.pieces.encode(texts, num_threads=1)
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        bare = np.concatenate([[0], np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(found), np.int64, n.sum())])])
+        ends = np.cumsum(n)
+        return n, bare[ends] - bare[ends - n]
+
+    def tokens_and_entropy(self, text: str) -> tuple[int, float]:
+        """Byte-level tokens of a text and the entropy of their distribution in bits."""
+        ids = self.pairs.ids(text)
+        if not len(ids):
+            return 0, 0.0
+        share = np.unique(ids, return_counts=True)[1] / len(ids)
+        return len(ids), float(-(share * np.log2(share)).sum())
 
 
 _VOCABULARIES: dict[tuple[str | None, str | None], Vocabularies] = {}
@@ -146,31 +122,32 @@ _VOCABULARIES: dict[tuple[str | None, str | None], Vocabularies] = {}
 
 def measure(
     docs: DataFrame, limits: dict[str, tuple[float, float, float, float]] | None = None, min_words: int = 20, max_repeat_percent: int = 30,
-    rank_file: str | None = None, piece_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
+    vocabulary: str | None = None, piece_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
 ) -> DataFrame:
     """The columns NAMES for every row: counts, base_failed, within (the script's limits), the three figures (null without a token), and band (language or else script)."""
     limits = limits or LIMITS
-    python_batches(docs.sparkSession, 300)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = rank_file, piece_file
+        files = vocabulary, piece_file
         if files not in _VOCABULARIES:
             _VOCABULARIES[files] = Vocabularies(*files)
         vocabularies = _VOCABULARIES[files]
-        for batch in batches:
+        for batch in slices(batches, 300):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
-            for text, lang, numbers in zip(texts, batch.column(2).to_pylist(), vocabularies.number([words_of(t) for t in texts]), strict=True):
-                n = len(numbers)
-                chars, tokens, pieces, bare, entropy = vocabularies.measure(numbers)
-                repeats = repeated_window_words(np.unique(numbers, return_inverse=True)[1]) if n else 0
+            for text, lang, n_pieces, bare in zip(texts, batch.column(2).to_pylist(), *vocabularies.bare_bytes(texts), strict=True):
+                words = words_of(text)
+                n, chars = len(words), sum(map(len, words))
+                tokens, entropy = vocabularies.tokens_and_entropy(text)
+                number: dict[str, int] = {}
+                repeats = repeated_window_words(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n))
                 script = script_of(text)
                 low, high, most_bytes, least_entropy = limits[script]
-                within = n > 0 and low <= chars / tokens <= high and bare <= most_bytes * pieces and (tokens < ENTROPY_TOKENS or entropy >= least_entropy)
-                figures = (chars / tokens, bare / pieces, entropy) if n else (None, None, None)
+                within = n > 0 and low <= len(text) / tokens <= high and bare <= most_bytes * n_pieces and (tokens < ENTROPY_TOKENS or entropy >= least_entropy)
+                figures = (len(text) / tokens, float(bare / n_pieces) if n_pieces else None, entropy) if tokens else (None, None, None)
                 failed = n < min_words or 100 * repeats > max_repeat_percent * n
-                rows.append((n, chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeats, tokens, failed, within, lang or script, *figures))
+                rows.append((n, chars, len(SYMBOLS.findall(text)), repeated_lines(text), repeats, tokens, failed, bool(within), lang or script, *figures))
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 12
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], NAMES)
@@ -184,18 +161,18 @@ def apply_rules(docs: DataFrame, deviations: float = 4.0, **settings) -> DataFra
     """measure()'s columns and kept, for every row of docs; settings as for measure().
 
     kept is false if base_failed, if the text is outside its script's limits, or if its characters per token are more than so many robust
-    deviations (1.4826 times the median absolute one) from the median of its language. A null text is an empty one: no words, base_failed.
+    deviations (1.4826 times the median absolute one) from the median of its language; both medians are exact to 0.0001. A null text is an empty one: no words, base_failed.
     A null language takes its script for a language. Repeated rows give repeated results; an empty table gives no rows.
     """
-    rows = materialize(measure(docs, **settings))
-    wide = F.sqrt(F.least(F.col("n_tokens"), F.lit(FULL_TOKENS)) / FULL_TOKENS)
-    usual = rows.where("not base_failed and within")
-    middle = usual.groupBy("band").agg(F.percentile_approx("chars_per_token", 0.5, 10_000).alias("middle"), F.count(F.lit(1)).alias("texts"))
-    middle = materialize(middle.where(F.col("texts") >= BAND_TEXTS))
-    n_bands = middle.count()
-    off = F.abs(F.col("chars_per_token") - F.col("middle")) * wide
-    spread = usual.join(small(middle, n_bands), "band").groupBy("band").agg(F.percentile_approx(off, 0.5, 10_000).alias("spread"), F.first("middle").alias("middle"))
-    spread = materialize(spread)
+    with scratch():
+        rows = materialize(measure(docs, **settings), outer=True)
+        wide = F.sqrt(F.least(F.col("n_tokens"), F.lit(FULL_TOKENS)) / FULL_TOKENS)
+        usual = rows.where("not base_failed and within")
+        middle = materialize(binned_quantiles(usual, "band", "chars_per_token", {"middle": 0.5}).where(F.col("texts") >= BAND_TEXTS).select("band", "middle"))
+        n_bands = middle.count()
+        off = F.abs(F.col("chars_per_token") - F.col("middle")) * wide
+        spread = binned_quantiles(usual.join(small(middle, n_bands), "band").withColumn("off", off), "band", "off", {"spread": 0.5}).select("band", "spread")
+        spread = materialize(spread.join(small(middle, n_bands), "band"), outer=True)
     inside = F.coalesce(off <= deviations * 1.4826 * F.col("spread") + 1e-9, F.lit(True))
     return rows.join(small(spread, n_bands), "band", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("within") & inside).alias("kept"),
