@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import python_batches
+from wardlight.llm.common import slices
 
 #: Hashed n-grams.
 WIDTH = 1 << 13
@@ -117,14 +117,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     A text that is null or has no letter is 'und' with score 0, as is every text without a model; score is the cosine with the nearest centroid. A text nearer to no centroid than the
     language's reject_quantile has its nearest language all the same, and rejected true.
     """
-    python_batches(docs.sparkSession, 200)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages * k centroids of WIDTH numbers
     cols = [id_col, *keep]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, 200):
             texts, letters = batch.column("_text").to_pylist(), batch.column("_letters").to_pylist()
             n = len(texts)
             lang, score, out = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)

@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wardlight.llm.common import python_batches
+from wardlight.llm.common import slices
 
 #: Fixed values of HTML: elements without content, elements that are blocks of their own, and what starting one element closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,11 +300,10 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     A null or empty page, or one without main text, has an empty text. Every page is read whole and by itself: repeated rows give repeated results, broken markup is read as
     browsers do as far as ends of elements go, an empty table gives no rows.
     """
-    python_batches(pages.sparkSession, 200)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             found = [main_text(h or "") for h in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], [*keep, "text", "n_chars"])
 
