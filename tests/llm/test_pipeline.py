@@ -47,7 +47,7 @@ def test_stages(spark, folder, tmp_path):
         assert name == names[-1] or docs.columns == COLUMNS
 
     judged = {r.doc_id for r in stages["quality classifier"]}
-    assert len(judged & set(range(260))) >= 255 and not judged & set(range(260, 270))
+    assert len(judged & set(range(260))) >= 240 and not judged & set(range(260, 270))  # some forty texts set the threshold
 
     sets = {r.doc_id: shingles(r.text) for r in stages["quality classifier"]}
     group = {a: a for a in sets}
@@ -67,14 +67,14 @@ def test_stages(spark, folder, tmp_path):
         assert r.n_chars == len(r.text)
 
     drawn = Counter(r.doc_id for r in stages["source mixing"])
-    assert set(drawn) == {r.doc_id for r in stages["PII surrogates"]} and max(drawn.values()) <= 3
+    assert set(drawn) == {r.doc_id for r in stages["PII surrogates"]} and max(drawn.values()) <= 2
 
-    from wardlight.llm.two_fit_pack import PieceIds
+    from wardlight.llm.vocab import BytePairs
 
     text = {r.doc_id: r.text for r in stages["source mixing"]}
-    ids, filled = PieceIds(None), defaultdict(int)
+    pairs, filled = BytePairs(), defaultdict(int)
     for r in stages["best-fit packing"]:
-        own = ids.of([text[r.doc_id]])[0] + np.asarray([0], "<u4").tobytes()
+        own = pairs.ids(text[r.doc_id]).tobytes() + np.asarray([0], "<u4").tobytes()
         assert zlib.crc32(own[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 2048 and len(filled) <= -(-sum(filled.values()) // 2048) + 1
@@ -89,6 +89,23 @@ def test_filters_keep_rows_without_an_id(spark, folder):
         assert stage(spark, given, folder).where("doc_id is null").count() == 4
 
 
+def test_dedup_keeps_both_texts_of_an_id(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id in (40, 41)")
+    other = docs.where("doc_id = 41").withColumn("doc_id", F.lit(40).cast("long"))
+    more = docs.where("doc_id = 40").withColumn("text", F.concat(F.lit("another text of this id with words of its own "), F.reverse("text")))
+    got = corpus_pipeline.ngram_dedup(spark, docs.unionByName(other).unionByName(more).unionByName(more), folder).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == 3 and {r.text for r in got} == {*texts.values(), more.first().text}
+
+
+def test_stages_on_empty_and_unlabelled_tables(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).count() == docs.where("length(text) > 0").count()
+
+
 def test_run_is_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
