@@ -14,25 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import hot_join, materialize, scratch
+from wardlight.llm.common import BROADCAST_BYTES, hot_join, materialize, scratch, width
 
 #: Members of a block; a unit holds two blocks at most.
 BLOCK = 256
 
 
 def bucket_ends(buckets: DataFrame) -> DataFrame:
-    """(bucket, low, high, n): the smallest and the largest node of each bucket of two nodes or more, from (bucket, node) rows."""
-    return buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    """(bucket, low, high, n, nodes): the smallest and the largest node, the number and a hash of the nodes of each bucket of two nodes or more, from (bucket, node) rows."""
+    aggs = F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes")
+    return buckets.groupBy("bucket").agg(*aggs).where("low < high")
 
 
-def star_edges(buckets: DataFrame, ends: DataFrame, both_ends: bool) -> DataFrame:
-    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest node, and its largest if both_ends, from (bucket, node) rows and bucket_ends().
+def star_edges(shared: DataFrame, both_ends: bool) -> DataFrame:
+    """(a, b), a > b, distinct: every node of a bucket with the bucket's smallest node, and its largest if both_ends, from (bucket, node, low, high) rows.
 
     The second star serves an index whose buckets hold unrelated nodes, one of which may be the smallest.
     """
-    total = ends.agg(F.sum("n")).first()[0] or 0
-    near = hot_join(buckets, ends.drop("n"), "bucket", counts=ends.select("bucket", F.col("n").alias("_n")), total=total)
-    pairs = near.select("node", F.explode(F.array("low", "high")).alias("other")) if both_ends else near.select("node", F.col("low").alias("other"))
+    pairs = shared.select("node", F.explode(F.array("low", "high")).alias("other")) if both_ends else shared.select("node", F.col("low").alias("other"))
     pairs = pairs.where("node <> other")
     return pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
@@ -198,12 +197,16 @@ def candidates(
     payloads = sketches.withColumnRenamed("sketch", "payload") if payloads is None else payloads
     with scratch():
         ends = materialize(bucket_ends(buckets))
-        stars = materialize(plausible(materialize(star_edges(buckets, ends, both_ends)), sketches, near))
+        n_ends, total = ends.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if n_ends * width(ends) <= BROADCAST_BYTES:
+            shared = buckets.join(F.broadcast(ends), "bucket")
+        else:
+            shared = hot_join(buckets, ends, "bucket", counts=ends.select("bucket", F.col("n").alias("_n")), total=total)
+        shared = materialize(shared.select("bucket", "node", "low", "high", "n", "nodes"))
+        stars = materialize(plausible(materialize(star_edges(shared, both_ends)), sketches, near))
         found = components(stars)
-        sets = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("nodes")).where(F.col("m") > (3 if both_ends else 2))
-        sets = materialize(sets.groupBy("m", "nodes").agg(F.min("bucket").alias("bucket")))
-        sizes = sets.select("bucket", F.col("m").alias("_n"))
-        crowded = materialize(hot_join(buckets, sets.select("bucket"), "bucket", counts=sizes, total=sets.agg(F.sum("m")).first()[0] or 0))
+        sets = ends.where(F.col("n") > (3 if both_ends else 2)).groupBy("n", "nodes").agg(F.min("bucket").alias("_first"))
+        crowded = materialize(shared.join(F.broadcast(sets.select("_first")) if n_ends * 32 <= BROADCAST_BYTES else sets.select("_first"), F.col("bucket") == F.col("_first"), "left_semi").select("bucket", "node"))
         placed = crowded.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("own"))
         several = placed.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
         placed = materialize(placed.join(several, "bucket"))

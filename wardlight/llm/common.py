@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 #: Bytes of a side that may be broadcast, by its counted rows and the width of its columns; beyond it a shuffled join is planned. A query has some ten such sides.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 16 << 20
 #: A join splits keys with more than this share of the rows off, which are then fewer than its inverse.
 HOT_SHARE, HOT_ROWS = 0.001, 256
 #: A word of a text: a run of characters other than the six ASCII white-space characters.

@@ -156,7 +156,7 @@ def near_duplicates(
         classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
         n_classes = classes.count()
         named = classes.select("key", F.col("first").alias("id"), "node")
-        firsts = materialize(entered.join(small(named, n_classes), ["key", "id"]).dropDuplicates(["node"]).select("node", "cells", "payload", "sketch"))
+        firsts = materialize(entered.join(small(named, n_classes), ["key", "id"]).dropDuplicates(["key", "id"]).select("node", "cells", "payload", "sketch"))
         payloads = firsts.select("node", "payload")
         links = cosine_links(cosine)
         members = candidates(firsts.select("node", F.explode("cells").alias("bucket")), firsts.select("node", "sketch"), True, near, np.frombuffer, links, payloads, BLOCK)

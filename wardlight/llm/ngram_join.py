@@ -218,17 +218,15 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float
         classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
         n_classes = classes.count()
         named = classes.select("h", F.col("first").alias("id"), "node")
-        firsts = materialize(texts.join(small(named, n_classes), ["h", "id"]).dropDuplicates(["node"]).select("node", "bands", "sketch"))
+        firsts = materialize(texts.join(small(named, n_classes), ["h", "id"]).dropDuplicates(["h", "id"]).select("node", "bands", "sketch"))
         buckets = firsts.select("node", F.explode("bands").alias("bucket"))
         members = candidates(buckets, firsts.select("node", "sketch"), False, sketches_near, sketch_of, sketch_links)
-        wanted = materialize(members.join(named, "node").select("h", "id", "node", "component"))
+        wanted = materialize(blocked(members, MEASURED_TOGETHER).join(named, "node").select("h", "id", "node", "component", "n", "block"))
         own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_hash(text_col).alias("h"))
-        own = own.join(small(wanted, wanted.count()), ["h", "id"]).dropDuplicates(["node"]).select("node", "component", "text")
-        placed = materialize(blocked(members, MEASURED_TOGETHER))
-        own = materialize(own)
-        first = own.where("node = component").select("component", "text").join(placed.groupBy("component").agg(F.max("n").alias("n")), "component")
-        first = first.select("component", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(True).alias("is_first"), F.lit(None).cast("long").alias("node"), "text")
-        all_ = own.select("node", "text").join(placed, "node").select("component", F.col("block").alias("part"), F.lit(False).alias("is_first"), "node", "text").unionByName(first)
+        own = materialize(own.join(small(wanted, wanted.count()), ["h", "id"]).dropDuplicates(["h", "id"]).select("node", "component", "n", "block", "text"))
+        parts = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
+        first = own.where("node = component").select("component", parts, F.lit(True).alias("is_first"), F.lit(None).cast("long").alias("node"), "text")
+        all_ = own.select("component", F.col("block").alias("part"), F.lit(False).alias("is_first"), "node", "text").unionByName(first)
         payloads = materialize(differences(all_, width))
         work = units(members).join(small(classes.select("node", "copies"), n_classes), "node").join(payloads, "node")
         found = linked_components(count_links(work, "payload", difference_of, jaccard_links(similarity)))
