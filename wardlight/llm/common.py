@@ -71,6 +71,18 @@ def scratch():
 atexit.register(lambda: [_remove(tables) for tables in _SCOPES])
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = 300):
+    """Arrow batches of at most so many rows in the jobs that run inside; the session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches (Spark bounds their bytes) in parts of so many rows."""
     for batch in batches:

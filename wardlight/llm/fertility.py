@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import binned_quantiles, materialize, scratch, slices, small
+from wardlight.llm.common import batch_rows, binned_quantiles, materialize, scratch, slices, small
 from wardlight.llm.vocab import BytePairs
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,7 +165,8 @@ def apply_rules(docs: DataFrame, deviations: float = 4.0, **settings) -> DataFra
     A null language takes its script for a language. Repeated rows give repeated results; an empty table gives no rows.
     """
     with scratch():
-        rows = materialize(measure(docs, **settings), outer=True)
+        with batch_rows(docs.sparkSession):
+            rows = materialize(measure(docs, **settings), outer=True)
         wide = F.sqrt(F.least(F.col("n_tokens"), F.lit(FULL_TOKENS)) / FULL_TOKENS)
         usual = rows.where("not base_failed and within")
         middle = materialize(binned_quantiles(usual, "band", "chars_per_token", {"middle": 0.5}).where(F.col("texts") >= BAND_TEXTS).select("band", "middle"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import binned_quantiles, materialize, scratch, slices, small
+from wardlight.llm.common import batch_rows, binned_quantiles, materialize, scratch, slices, small
 
 #: Length of the n-grams, and bits of a symbol in a packed n-gram.
 ORDER, BITS = 5, 12
@@ -28,7 +28,7 @@ LOWER = UPPER + (0x110000 >> LOW_BITS)
 #: The most frequent n-grams of the corpus that every worker holds (12 bytes each).
 HEAD_GRAMS = 2_000_000
 #: N-grams that a task gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 1_500_000
 #: Characters from which on a text's threshold is no wider, and documents that a language needs for a threshold of its own.
 FULL_CHARS, OWN_THRESHOLD = 1500, 50
 
@@ -214,7 +214,8 @@ def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> D
             )
 
     summed = docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(add, f"{kinds}, n long, logp double, _rare array<struct<g:bigint,c:bigint>>")
-    summed = materialize(summed.withColumn("_row", F.monotonically_increasing_id()))
+    with batch_rows(spark):
+        summed = materialize(summed.withColumn("_row", F.monotonically_increasing_id()))
     rest = summed.where("_rare is not null").select("_row", F.inline("_rare"))
     rest = rest.join(leveled.where(F.col("level") < least).select("g", F.col("logp").alias("_l")), "g")
     rest = materialize(rest.groupBy("_row").agg(F.sum(F.col("c") * F.col("_l").cast("double")).alias("_more")))
@@ -241,7 +242,8 @@ def classify(
         trusted = materialize(trusted.withColumn("_role", F.when(F.pmod(F.xxhash64("_id"), F.lit(5)) == 0, "set").otherwise("learn")))
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
         rows = rows.join(small(trusted, trusted.count()), F.col("doc_id") == F.col("_id"), "left").withColumn("_learn", F.coalesce(F.col("_role") == "learn", F.lit(False)))
-        grams = materialize(count_grams(rows, "text", "_learn").groupBy("g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
+        with batch_rows(docs.sparkSession):
+            grams = materialize(count_grams(rows, "text", "_learn").groupBy("g").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
         if not grams.where("c > 0").limit(1).count():
             return docs.select(
                 F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_key"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.clusters import blocked, candidates, count_links, linked_components, row_labels, units
-from wardlight.llm.common import materialize, scratch, slices, small
+from wardlight.llm.common import batch_rows, materialize, scratch, slices, small
 from wardlight.llm.fertility import words_of
 
 #: Words whose hashes a Python worker keeps.
@@ -212,7 +212,8 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float
     """
     bands, rows = choose_bands(similarity, recall)
     with scratch():
-        signed = materialize(signatures(docs, width, bands, rows, id_col, text_col), outer=True)
+        with batch_rows(docs.sparkSession):
+            signed = materialize(signatures(docs, width, bands, rows, id_col, text_col), outer=True)
         texts = signed.where("bands is not null and id is not null")
         classes = texts.groupBy("h").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies"))
         classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -227,7 +228,8 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float
         parts = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
         first = own.where("node = component").select("component", parts, F.lit(True).alias("is_first"), F.lit(None).cast("long").alias("node"), "text")
         all_ = own.select("component", F.col("block").alias("part"), F.lit(False).alias("is_first"), "node", "text").unionByName(first)
-        payloads = materialize(differences(all_, width))
+        with batch_rows(docs.sparkSession):
+            payloads = materialize(differences(all_, width))
         work = units(members).join(small(classes.select("node", "copies"), n_classes), "node").join(payloads, "node")
         found = linked_components(count_links(work, "payload", difference_of, jaccard_links(similarity)))
         usable = F.col("bands").isNotNull() & F.col("id").isNotNull()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import gapless_rank, materialize, slices
+from wardlight.llm.common import batch_rows, gapless_rank, materialize, slices
 from wardlight.llm.vocab import BytePairs
 
 END_ID = 0
@@ -98,7 +98,8 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, i
     or empty text is one end id. Repeated rows and null ids are documents of their own (which of two pieces of one length takes which place is decided by their ids);
     an empty table gives no rows. vocabulary: a byte-level vocabulary file of the tokenizers library, at the same path on every machine; None: the public one. A text's added tokens are one id each.
     """
-    pieces = materialize(piece_table(docs, vocabulary, capacity, id_col, text_col))
+    with batch_rows(docs.sparkSession):
+        pieces = materialize(piece_table(docs, vocabulary, capacity, id_col, text_col))
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     slots, sequence, used = [], 0, dict.fromkeys(counts, 0)
     for bin_, times in plan_bins(counts, capacity):
