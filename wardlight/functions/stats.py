@@ -27,11 +27,29 @@ def pearson(x: Column, y: Column, least: int = 2, otherwise: Column | None = Non
     return F.coalesce(F.when(F.count(a) >= least, r), F.lit(0.0) if otherwise is None else otherwise)
 
 
+def running_total(df: DataFrame, order: str, amount: str | Column, out: str, then: list[str] | None = None, buckets: int = 256) -> DataFrame:
+    """df with the sum of amount over all rows up to and including each, in the order of a numeric column without nulls (and the columns `then`).
+
+    Rows are dealt to ranges of the order column between approximate quantiles, which only balance the work: a window spans one range, the sums of the ranges before it are at most so many rows.
+    """
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    found = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in found})
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    t = df.withColumn("_range", at).withColumn("_amount", amount)
+    sums = t.groupBy("_range").agg(F.sum("_amount").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `buckets` rows
+    inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(order, *(then or [])).rowsBetween(Window.unboundedPreceding, 0))
+    return t.withColumn("_in", inside).join(F.broadcast(sums.select("_range", before.alias("_before"))), "_range").withColumn(out, F.col("_before") + F.col("_in")).drop("_range", "_amount", "_in", "_before")
+
+
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Ranks from 1, ties at their mean. Values are ranked after counting, so copies of a value cost one row."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    ranked = counts.select(F.col(col).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(out))
+    valued = running_total(counts.where(F.col(col).isNotNull()), col, "_n", "_upto")
+    nulls = F.broadcast(counts.agg(F.coalesce(F.sum(F.when(F.col(col).isNull(), F.col("_n"))), F.lit(0)).alias("_nulls")))  # nulls come first
+    whole = valued.join(nulls).select(F.col(col).alias("_v"), (F.col("_nulls") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    ranked = whole.unionByName(nulls.where("_nulls > 0").select(F.lit(None).cast(df.schema[col].dataType).alias("_v"), ((F.col("_nulls") + 1) / 2).alias(out)))
     return df.join(ranked, df[col].eqNullSafe(ranked["_v"])).drop("_v")
 
 
@@ -39,7 +57,7 @@ def cumulative_weights(df: DataFrame, value: str, weight: str) -> DataFrame:
     """(value, cum, total): one row for each value, with the weight up to and including it."""
     w = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(weight).alias("_w"))
     t = with_totals(w, F.sum("_w").alias("total"))
-    return t.withColumn("cum", F.sum("_w").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).select(value, "cum", "total")
+    return running_total(t, value, "_w", "cum").select(value, "cum", "total")
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, out: str = "weighted_median") -> DataFrame:
@@ -68,14 +86,14 @@ def chunk_quartiles(df: DataFrame, value: str, tie: str, out: str = "quartile")
     """Quartiles as four runs of max(1, n // 4) rows in order, what is left over in the fourth; null values out."""
     t = with_totals(df.where(F.col(value).isNotNull()), F.count(F.lit(1)).alias("_n"))
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
-    place = F.row_number().over(Window.orderBy(value, tie)) - 1
-    return t.withColumn(out, (F.least(F.lit(3), F.floor(place / size)) + 1).cast("int")).drop("_n")
+    placed = running_total(t, value, F.lit(1), "_place", [tie])
+    return placed.withColumn(out, (F.least(F.lit(3), F.floor((F.col("_place") - 1) / size)) + 1).cast("int")).drop("_n", "_place")
 
 
 def sorted_pick(df: DataFrame, value: str, index: Column, out: str) -> DataFrame:
     """One row: the value at a place (from 0, given by an expression of n) of the sorted non-null values, found by counts and not by collecting."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    t = with_totals(counts, F.sum("_c").alias("n")).withColumn("_upto", F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    t = running_total(with_totals(counts, F.sum("_c").alias("n")), value, "_c", "_upto")
     return t.agg(F.min(F.when(F.col("_upto") > index, F.col(value))).alias(out))
 
 
@@ -84,6 +102,11 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in the given order."""
-    return top_per_group(df, key, order, 1)
+def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first by ascending columns, nulls first; an aggregation with a part on the map side, no sort."""
+    return df.groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def last_wins(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
+    """One row for each key: the last by ascending expressions, nulls first."""
+    return df.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_row")).select("_row.*")

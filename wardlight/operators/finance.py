@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.stats import first_wins, top_per_group
+from wardlight.functions.stats import last_wins, top_per_group
 
 CRORE = 1e7
 
@@ -32,11 +32,13 @@ def head_totals_of_top(lines: DataFrame, doc: str, head: str, per_doc: int = 5,
     return top.groupBy(head).agg(F.sum("amount").alias("amount")).orderBy(F.desc("amount"), head).limit(k)
 
 
-def flow_links(lines: DataFrame, k: int = 8) -> DataFrame:
-    """(source, target, amount): from 'total' to each section, and from the sections to the k greatest heads."""
+def flow_links(lines: DataFrame, k: int | None = 8) -> DataFrame:
+    """(source, target, amount): from 'total' to each section, and from the sections to the k greatest heads, or to all."""
     sections = lines.groupBy("section").agg(F.sum("amount").alias("amount")).select(F.lit("total").alias("source"), F.col("section").alias("target"), "amount")
-    heads = lines.groupBy("head").agg(F.sum("amount").alias("t")).orderBy(F.desc("t"), "head").limit(k)
-    inner = lines.join(F.broadcast(heads.select("head")), "head", "left_semi").groupBy("section", "head").agg(F.sum("amount").alias("amount"))
+    if k is not None:
+        heads = lines.groupBy("head").agg(F.sum("amount").alias("t")).orderBy(F.desc("t"), "head").limit(k)
+        lines = lines.join(F.broadcast(heads.select("head")), "head", "left_semi")
+    inner = lines.groupBy("section", "head").agg(F.sum("amount").alias("amount"))
     return sections.unionByName(inner.select(F.col("section").alias("source"), F.col("head").alias("target"), "amount"))
 
 
@@ -48,8 +50,8 @@ def node_values(links: DataFrame) -> DataFrame:
 
 
 def best_line(lines: DataFrame, key: list[str], rank: list[Column], tie: str) -> DataFrame:
-    """One line a key: the greatest rank, the first of several."""
-    return first_wins(lines, key, [*[r.desc_nulls_last() for r in rank], F.col(tie)])
+    """One line a key: the greatest rank, of several the one with the smallest number `tie`."""
+    return last_wins(lines, key, [*rank, -F.col(tie)])
 
 
 def complete_years(lines: DataFrame, key: list[str], least: int = 4) -> DataFrame:
@@ -61,7 +63,7 @@ def complete_years(lines: DataFrame, key: list[str], least: int = 4) -> DataFram
 def deflate(amounts: DataFrame, index: DataFrame, to_year: int) -> DataFrame:
     """amounts with real: amount * index(to) / index(own year); a year without an index raises."""
     to = index.where(F.col("fy_start") == to_year).select(F.col("index_value").alias("_to"))
-    joined = amounts.join(F.broadcast(index.withColumnRenamed("index_value", "_own")), "fy_start", "left").join(F.broadcast(to))
+    joined = amounts.join(index.withColumnRenamed("index_value", "_own"), "fy_start", "left").join(F.broadcast(to))
     own = F.when(F.col("_own").isNull(), F.raise_error(F.concat(F.lit("no index for "), F.col("fy_start").cast("string"))).cast("double")).otherwise(F.col("_own"))
     return joined.withColumn("real", F.col("amount") * F.col("_to") / own).drop("_own", "_to")
 

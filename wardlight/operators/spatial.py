@@ -9,6 +9,8 @@ from wardlight.functions import geo
 
 #: Rows of a side that may be broadcast as one array; beyond it a grid join is planned.
 ARRAY_ROWS = 64
+#: Targets (nine rows of 40 bytes each) that may be broadcast with their cells, and how many of them set the width of the cells.
+BROADCAST_TARGETS, CELL_SAMPLE = 50_000, 20_000
 
 
 def with_bbox(polys: DataFrame) -> DataFrame:
@@ -90,8 +92,9 @@ def _celled(targets: DataFrame, width: float) -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar, round_to: int | None = None) -> DataFrame:
     """points with near, an array of the k nearest targets as structs (d, target_id, value), by distance (rounded if asked for) and then id; targets: (target_id, x, y, value).
 
-    Up to ARRAY_ROWS targets are broadcast as one array. More of them are found on a grid whose cells hold a few targets at first: a point's candidates are the targets of its cell and those around it, the
-    answer is final when the k-th lies nearer than anything outside them can, and the rest is asked again on cells four times as wide.
+    Up to ARRAY_ROWS targets are broadcast as one array. More of them are found on a grid whose cells hold a few targets at first, by the counts of the targets' own cells: a target stands in its cell and those around it,
+    a point is held against the targets of its cell, the answer is final when the k-th lies nearer than anything outside them can, and the rest is asked again on cells four times as wide. Points for which that takes cells as
+    wide as all targets are held against all targets, in blocks.
     """
     from wardlight.plans.session import cut_lineage
 
@@ -102,25 +105,51 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar,
         scored = F.transform("_targets", lambda t: F.struct(measure(t["x"], t["y"]).alias("d"), t["target_id"].alias("target_id"), t["value"].alias("value")))
         return points.join(F.broadcast(all_)).withColumn("near", F.slice(F.array_sort(scored), 1, k)).drop("_targets")
     k = min(k, n)
-    width = 1.5 * max(1e-9, (x1 - x0) * (y1 - y0) * k / n) ** 0.5
+    own = targets.select("target_id", "value", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    near_target = F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), "target_id", "value")
+
+    def k_best(pairs: DataFrame) -> DataFrame:
+        """(point_id, near) from (point_id, t); more than one in two steps, so that no array holds all candidates of a crowded cell."""
+        if k == 1:
+            return pairs.groupBy("point_id").agg(F.array(F.min("t")).alias("near"))
+        some = F.slice(F.array_sort(F.collect_list("t")), 1, k)
+        parts = pairs.groupBy("point_id", F.pmod(F.xxhash64("t.target_id"), F.lit(16)).alias("_p")).agg(some.alias("_some"))
+        return parts.groupBy("point_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, k).alias("near"))
+
+    extent = max(x1 - x0, y1 - y0, 1e-9)
+    width = _cell_width(targets, n, extent, k)
     left, found = points, None
-    while True:
-        whole = width >= 2 * max(x1 - x0, y1 - y0)  # the cells around a point within the targets' extent hold all of them
-        asked = _around(left.select("point_id", "x", "y"), width)
-        if whole:
-            asked = left.select("point_id", "x", "y").withColumn("_cx", F.lit(0)).withColumn("_cy", F.lit(0))
-        own = _celled(targets, width).withColumns({"_cx": F.lit(0), "_cy": F.lit(0)}) if whole else _celled(targets, width)
-        pairs = asked.join(own, ["_cx", "_cy"]).select("point_id", F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), "target_id", "value").alias("t"))
-        best = pairs.groupBy("point_id").agg(F.slice(F.array_sort(F.collect_list("t")), 1, k).alias("near"))
-        done = left.join(best, "point_id")
-        if not whole:
-            done = done.where((F.size("near") == k) & (F.element_at("near", -1)["d"] < distance.bound(F.col("x"), F.col("y"), width)))
-        done = cut_lineage(done)
-        found = done if found is None else found.unionByName(done)
-        left = cut_lineage(left.join(done.select("point_id"), "point_id", "left_anti"))
-        if whole or not left.limit(1).count():
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    while width < 2 * extent:
+        cells = own.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+        cells = cells.select("target_id", "value", "_x", "_y", (F.floor(F.col("_x") / width) + F.col("_i")).alias("_cx"), (F.floor(F.col("_y") / width) + F.col("_j")).alias("_cy"))
+        cells = F.broadcast(cells) if n <= BROADCAST_TARGETS else cells
+        asked = left.select("point_id", "x", "y", F.floor(F.col("x") / width).alias("_cx"), F.floor(F.col("y") / width).alias("_cy"))
+        best = k_best(asked.join(cells, ["_cx", "_cy"]).select("point_id", near_target.alias("t")))
+        tried = cut_lineage(left.join(best, "point_id", "left"))
+        final = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["d"] < distance.bound(F.col("x"), F.col("y"), width)), F.lit(False))
+        found = tried.where(final) if found is None else found.unionByName(tried.where(final))
+        left = tried.where(~final).drop("near")
+        if left.isEmpty():
             return found
         width *= 4
+    salts = 64
+    dealt = left.select("point_id", "x", "y", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("_salt"))
+    blocks = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    last = left.join(k_best(dealt.join(blocks, "_salt").select("point_id", near_target.alias("t"))), "point_id")
+    return last if found is None else found.unionByName(last)
+
+
+def _cell_width(targets: DataFrame, n: int, extent: float, k: int) -> float:
+    """The width of square cells such that half of the targets stand in a cell with some k to 4 k of them: halved from the extent on while cells are fuller."""
+    powers = range(1, 25)
+    width = lambda p: extent / 2**p
+    few = targets.sample(min(1.0, CELL_SAMPLE / n), 7).select("x", "y")  # sets the width only
+    cells = few.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.floor(F.col("x") / width(p)).alias("i"), F.floor(F.col("y") / width(p)).alias("j")) for p in powers])).alias("c"))
+    share = cells.groupBy("c").agg(F.count(F.lit(1)).alias("m")).groupBy("c.p").agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("fill")).collect()  # a row for each power
+    scale = max(1.0, n / CELL_SAMPLE)
+    ample = [r["p"] for r in share if r["fill"] * scale >= 2 * k]
+    return width(max(ample, default=1))
 
 
 def count_within(points: DataFrame, targets: DataFrame, radii: dict[str, float]) -> DataFrame:

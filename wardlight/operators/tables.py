@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds of reachable() after which the tables of its rounds are written as one.
+COMPACT = 16
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, pos: str) -> DataFrame:
     """old with rows of the same key replaced in place and the other new rows after them; (key, value, pos), pos gapless from 0 on both sides and in the result."""
+    from wardlight.functions.stats import running_total
+
     n_old = old.agg(F.coalesce(F.max(pos) + 1, F.lit(0)).alias("_n"))
     o = old.select(F.col(key), F.col("value").alias("_ov"), F.col(pos).alias("_op"))
     n = new.select(F.col(key), F.col("value").alias("_nv"), F.col(pos).alias("_np"))
-    both = o.join(n, key, "full").join(F.broadcast(n_old))
-    added = F.col("_op").isNull()
-    place = F.row_number().over(Window.partitionBy(added).orderBy(F.coalesce("_op", "_np"))) - 1
-    return both.select(key, F.coalesce("_nv", "_ov").alias("value"), F.when(added, F.col("_n") + place).otherwise(F.col("_op")).cast("long").alias(pos))
+    both = o.join(n, key, "full")
+    stay = both.where(F.col("_op").isNotNull()).select(key, F.coalesce("_nv", "_ov").alias("value"), F.col("_op").cast("long").alias(pos))
+    added = running_total(both.where(F.col("_op").isNull()), "_np", F.lit(1), "_place").join(F.broadcast(n_old))
+    return stay.unionByName(added.select(key, F.col("_nv").alias("value"), (F.col("_n") + F.col("_place") - 1).cast("long").alias(pos)))
 
 
 def missing(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -49,26 +55,31 @@ def blocks(lines: DataFrame, by: str, order: str, starts: Column, text: str) ->
 
 def html_links(pages: DataFrame) -> DataFrame:
     """(page_id, href, label) of the anchors of a page, in text order kept by ordinal."""
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>.*?</a>'), F.lit(0))
+    href = r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all("html", F.lit(rf"(?is)<a\s(?:[^>]*?\s)?{href}[^>]*>.*?</a>"), F.lit(0))
     one = pages.select("page_id", F.posexplode(found).alias("ordinal", "a"))
-    return one.select("page_id", "ordinal", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("label"))
+    return one.select("page_id", "ordinal", F.regexp_replace(F.regexp_extract("a", rf"(?is){href}", 1), "^[\"']|[\"']$", "").alias("href"), F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("label"))
+
 
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, depth): nodes that can be reached from the start nodes and their least number of steps, by frontiers until none is left; edges: (src, dst).
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, depth): nodes within `rounds` steps of the start nodes, by frontiers; edges: (src, dst)."""
+    A round writes its own nodes only; every COMPACT rounds these tables are put together.
+    """
     from wardlight.plans.session import cut_lineage
 
-    seen = cut_lineage(start.select("node", F.lit(0).alias("depth")).distinct())
-    frontier = seen
+    frontier = cut_lineage(start.select("node", F.lit(0).alias("depth")).distinct())
     e = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
-    for depth in range(1, rounds + 1):
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
         fresh = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        fresh = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        if not fresh.limit(1).count():
-            break
-        seen = cut_lineage(seen.unionByName(fresh))
-        frontier = fresh
-    return seen
+        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:
+            seen = cut_lineage(seen)
 
 
 def terminal(edges: DataFrame, nodes: DataFrame) -> DataFrame:

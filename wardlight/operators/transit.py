@@ -66,10 +66,67 @@ def token_match(queries: DataFrame, names: DataFrame) -> DataFrame:
 
     Equal word lists score 2. Otherwise the score is shared words over the longer list, and must be 0.67, or 0.5 with two shared words; the first name wins ties.
     """
-    q = queries.select("query_id", F.size("words").alias("qn"), F.array_sort("words").alias("qw"), F.explode("words").alias("w"))
-    n = names.select("name_id", "ordinal", F.size("words").alias("nn"), F.array_sort("words").alias("nw"), F.explode("words").alias("w"))
-    shared = q.join(n, "w").groupBy("query_id", "name_id", "ordinal").agg(F.count(F.lit(1)).alias("shared"), F.first("qn").alias("qn"), F.first("nn").alias("nn"), F.first(F.col("qw") == F.col("nw")).alias("same"))
-    score = F.when(F.col("same"), 2.0).otherwise(F.col("shared") / F.greatest("qn", "nn"))
-    scored = shared.withColumn("score", score).where((F.col("score") >= 0.67) | ((F.col("shared") >= 2) & (F.col("score") >= 0.5)))
+    # Half of the longer list must be shared, so of each list the rarest words, all but half of them and one more, hold a shared one if there is a match: only these are joined.
+    rarity = names.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("often"))
+
+    def rare(df: DataFrame, id_: str) -> DataFrame:
+        each = df.select(id_, F.size("words").alias("n"), F.explode("words").alias("w")).join(rarity, "w")
+        ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(id_).orderBy("often", "w")))
+        return ranked.withColumn("unknown", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy(id_))).where(F.col("r") + F.col("unknown") <= F.col("n") - F.ceil(F.col("n") / 2) + 1).select(id_, "w")
+
+    pairs = rare(queries, "query_id").join(rare(names, "name_id"), "w").select("query_id", "name_id").distinct()
+    both = pairs.join(queries.select("query_id", F.col("words").alias("qw")), "query_id").join(names.select("name_id", "ordinal", F.col("words").alias("nw")), "name_id")
+    both = both.withColumn("shared", F.size(F.array_intersect("qw", "nw")))
+    score = F.when(F.array_sort("qw") == F.array_sort("nw"), 2.0).otherwise(F.col("shared") / F.greatest(F.size("qw"), F.size("nw")))
+    scored = both.withColumn("score", score).where((F.col("score") >= 0.67) | ((F.col("shared") >= 2) & (F.col("score") >= 0.5)))
     best = scored.groupBy("query_id").agg(F.min_by(F.struct("name_id", "score"), F.struct(-F.col("score"), "ordinal")).alias("b"))
     return best.select("query_id", "b.name_id", "b.score")
+
+
+def feed_gates(feed: dict[str, DataFrame], least_stops: int = 2) -> DataFrame:
+    """(gate, bad): how many faults each gate of a feed finds: a required table that is missing or empty counts one, then trips of too few stops, and stop times, trips without their stop, trip or route."""
+    spark = next(iter(feed.values())).sparkSession
+    required = ("routes", "trips", "stop_times", "stops")
+    gates = [
+        feed[name].limit(1).agg(F.lit(f"has_{name}").alias("gate"), (1 - F.count(F.lit(1))).alias("bad")) if name in feed else spark.range(1).select(F.lit(f"has_{name}").alias("gate"), F.lit(1).cast("long").alias("bad"))
+        for name in required
+    ]
+    if all(name in feed for name in required):
+        n = feed["stop_times"].groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
+        short = feed["trips"].join(n, "trip_id", "left").where(F.coalesce("n", F.lit(0)) < least_stops)
+        lost = {"stop_times_without_stop": ("stop_times", "stops", "stop_id"), "stop_times_without_trip": ("stop_times", "trips", "trip_id"), "trips_without_route": ("trips", "routes", "route_id")}
+        count = lambda df, gate: df.agg(F.lit(gate).alias("gate"), F.count(F.lit(1)).alias("bad"))
+        gates += [count(short, "short_trips"), *[count(feed[a].join(feed[b], key, "left_anti"), gate) for gate, (a, b, key) in lost.items()]]
+    out = gates[0]
+    for g in gates[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def ward_stops(stops: DataFrame, wards: DataFrame, buffer_m: float, lat: float) -> DataFrame:
+    """(point_id, poly_id, strict): the first ward that holds a stop, else the one whose vertex lies nearest within the buffer; other stops are left out."""
+    from wardlight.operators import spatial
+
+    inside = spatial.first_containing(stops, wards)
+    near = spatial.nearest_vertex(stops.join(inside, "point_id", "left_anti"), wards, buffer_m, lat)
+    return inside.withColumn("strict", F.lit(True)).unionByName(near.withColumn("strict", F.lit(False)))
+
+
+def both_directions(paths_: DataFrame, first_minute: int = 360, minutes: int = 5) -> DataFrame:
+    """(trip, direction, stop_sequence, stop_id, arrival): a trip along each path and one back, with times at a fixed pace; from (trip_id, stops)."""
+    there = F.struct(F.lit(0).alias("direction"), F.col("stops"))
+    back = F.struct(F.lit(1).alias("direction"), F.reverse("stops").alias("stops"))
+    each = paths_.select("trip_id", F.explode(F.array(there, back)).alias("d")).select("trip_id", "d.direction", F.posexplode("d.stops").alias("stop_sequence", "stop_id"))
+    at = F.col("stop_sequence") * minutes + first_minute
+    arrival = F.format_string("%02d:%02d:00", F.floor(at / 60).cast("int"), (at % 60).cast("int"))
+    return each.select(F.format_string("%d_%d", F.col("trip_id"), F.col("direction")).alias("trip"), "direction", "stop_sequence", "stop_id", arrival.alias("arrival"))
+
+
+def assembled_line(members: Column) -> Column:
+    """The nodes of a line from its ways in order, an array of (a, b) ends: each is turned so that it begins where the one before ends; one that touches nothing stands as it is."""
+
+    def add(line: Column, way: Column) -> Column:
+        end = F.element_at(line, -1)
+        return F.when(F.size(line) == 0, F.array(way["a"], way["b"])).when(end == way["a"], F.concat(line, F.array(way["b"]))).when(end == way["b"], F.concat(line, F.array(way["a"]))).otherwise(F.concat(line, F.array(way["a"], way["b"])))
+
+    return F.aggregate(members, F.array().cast("array<long>"), add)

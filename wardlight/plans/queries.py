@@ -394,7 +394,7 @@ def _(v):
     i as (select t node, sum(a) a from l group by 1), o as (select s node, sum(a) a from l group by 1)
     select coalesce(i.node,o.node) node, round(greatest(coalesce(i.a,0),coalesce(o.a,0)),1) as value from i full join o on i.node=o.node""")
 def _(v):
-    return finance.node_values(finance.flow_links(v.budget(), 1000)).withColumn("value", F.round("value", 1))
+    return finance.node_values(finance.flow_links(v.budget(), None)).withColumn("value", F.round("value", 1))
 
 
 @query("A23_threshold_shares", "people libraries", f"""
@@ -487,7 +487,7 @@ def _(v):
 
 @query("W1_first_writer_wins", "budget", "select section, head, fy_start, min(line_id) line_id from budget group by 1,2,3")
 def _(v):
-    return stats.first_wins(v.budget(), ["section", "head", "fy_start"], [F.col("line_id"), F.col("amount")]).select("section", "head", "fy_start", "line_id")
+    return stats.first_wins(v.budget(), ["section", "head", "fy_start"], ["line_id", "amount"]).select("section", "head", "fy_start", "line_id")
 
 
 @query("W2_W3_best_line", "budget", "select section, fy_start, line_id, amount from (select *, row_number() over (partition by section, fy_start order by basis desc, confidence desc, amount desc, line_id) r from budget) where r=1")
@@ -766,7 +766,7 @@ def _(v):
 @query("G2_reachable", "", "with recursive e as (select distinct c_custkey%200 s, (c_custkey*7+3)%200 d from customer), r as (select 1::bigint node union select d from r join e on s=node) select node from r")
 def _(v):
     start = v.spark.createDataFrame([(1,)], "node long")
-    return tables.reachable(_graph(v), start, 200).select("node")
+    return tables.reachable(_graph(v), start).select("node")
 
 
 @query("G3_terminal", "", f"with {GRAPH} select distinct d node from e where d not in (select s from e where s<>d)")
@@ -1163,7 +1163,7 @@ def _(v):
 def _(v):
     part = lambda basis, k: v.budget().where(F.col("basis") == basis).groupBy("section", "fy_start").agg(F.sum("amount").alias("a")).withColumn("loader", F.lit(k))
     u = part("A", 0).unionByName(part("R", 1))
-    return stats.first_wins(u, ["section", "fy_start"], [F.col("loader")]).select("section", "fy_start", "loader", F.round("a", 2).alias("amount"))
+    return stats.first_wins(u, ["section", "fy_start"], ["loader"]).select("section", "fy_start", "loader", F.round("a", 2).alias("amount"))
 
 
 @query("T17_X19_rank_dedupe", "", "select p_name, arg_min(p_partkey, (-p_retailprice, p_partkey)) kept, count(*) seen from part group by 1")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder in spark.checkpoint.dir and read again; a temporary folder where that is unset, as in tests."""
+    """df written as Parquet to the folder in spark.checkpoint.dir and read again; where that is unset, a temporary folder in local mode, an error on a cluster."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="wardlight-")
         spark.conf.set("spark.checkpoint.dir", named)
     path = f"{named.rstrip('/')}/wardlight-{uuid.uuid4().hex}"

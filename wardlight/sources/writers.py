@@ -34,3 +34,22 @@ def run_log(df: DataFrame, path: str) -> None:
     """Append (started, scope, n, ...) rows as JSON lines with id: the first 16 hex digits of SHA-256 of started:scope:n."""
     ids = F.substring(F.sha2(F.concat_ws(":", "started", "scope", F.col("n").cast("string")), 256), 1, 16)
     df.withColumn("id", ids).write.mode("append").json(path)
+
+
+#: The order of a feed table's fields; others follow in alphabetical order.
+FEED_FIELDS = {
+    "routes": ["route_id", "agency_id", "route_short_name", "route_long_name", "route_desc", "route_type"], "trips": ["route_id", "service_id", "trip_id", "shape_id"],
+    "stop_times": ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence"], "stops": ["stop_id", "stop_name", "stop_code", "stop_lat", "stop_lon"],
+}
+
+
+def feed(tables: dict[str, DataFrame], folder: str) -> None:
+    """A transit feed as CSV tables, a folder each; raises, and writes nothing, if a gate of transit.feed_gates finds a fault."""
+    from wardlight.operators.transit import feed_gates
+
+    faults = {r["gate"]: r["bad"] for r in feed_gates(tables).where("bad > 0").collect()}  # a row for each of eight gates at most
+    if faults:
+        raise ValueError(f"feed not written: {faults}")
+    for name, df in tables.items():
+        known = [c for c in FEED_FIELDS.get(name, []) if c in df.columns]
+        csv(df, f"{folder}/{name}", [*known, *sorted(set(df.columns) - set(known))])
