@@ -3,6 +3,7 @@
 Every paragraph earns points for its length and its commas and passes them to its ancestors, less with every level; an element's points are
 discounted by the share of its text that lies in links. The best container and those of its siblings that look like text are kept; what is navigation, advertising,
 a form, a script, a notice or a reader's comment by its tag, role or class earns nothing and is left out wherever it stands; save articles, and forms and elements with such a class that hold most of the page's text.
+An article's own header, lists of links and tables are its text; of several articles all that hold prose are kept, and a page's first heading before the container is kept where the container has none.
 """
 
 from __future__ import annotations
@@ -33,8 +34,16 @@ NAMES = frozenset(
     "disclaimer discussion disqus donate footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup "
     "privacy promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
-#: A name after one of these is said of another element, as in "has-sidebar".
-UNNAMED = frozenset("has no with without after before".split())
+#: A class that begins with one of these says something of the element, not what it is ("has-sidebar", "category-privacy"); one with a preposition is a title ("comments-on-policy").
+UNNAMED = frozenset("has no with without after before category tag tagged topic type format is".split())
+PREPOSITIONS = frozenset("on of about for to in from at".split())
+#: Words for a part of an element: a name's head is the last other word.
+PART_WORDS = frozenset("area bar block body bottom box button buttons column container content group header heading holder inner item items left link links list main outer panel region right row section slot title top unit wrap wrapper".split())
+#: A single paragraph, heading or cell is left out by these names alone.
+ADVERTS = frozenset("ad ads adslot advert advertisement adverts advertorial promo promotion sponsor sponsored".split())
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption span b i em strong".split())
+#: A header with one of these in its class is that of the text.
+TITLED = frozenset("article content entry page post story title".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ARTICLES = ("article", "main")
@@ -66,8 +75,24 @@ class Node:
         return self.links / self.size if self.size else 0.0
 
 
-def is_dropped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def head_words(value: str) -> list[str]:
+    """What the names in a class or id say that an element is: the last word of each that isn't a word for a part."""
+    heads = []
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if not words or words[0] in UNNAMED or PREPOSITIONS.intersection(words):
+            continue
+        rest = [w for w in words if w not in PART_WORDS] or words
+        heads.append(rest[-1])
+    return heads
+
+
+def is_dropped(tag: str, attrs: list[tuple[str, str | None]], in_article: bool = False) -> bool:
     """Whether an element is left out whatever it holds."""
+    if tag == "header":
+        named = " ".join(value for name, value in attrs if name in ("class", "id") and value)
+        if in_article or TITLED.intersection(w.lower() for w in WORDS.findall(named)):
+            return False
     if tag in DROPPED and tag != "form":
         return True
     if tag in ("html", "body", "main"):
@@ -90,8 +115,7 @@ def is_doubtful(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "role" and value == "form":
             return True
         if name in ("class", "id") and value:
-            words = [w.lower() for w in WORDS.findall(value)]
-            if any(w in NAMES and before not in UNNAMED for before, w in zip(["", *words], words, strict=False)):
+            if any(w in (ADVERTS if tag in SINGLE else NAMES) for w in head_words(value)):
                 return True
     return False
 
@@ -122,7 +146,7 @@ class Tree(HTMLParser):
                     node = node.parent
                 if node.tag == ended:
                     self._close_to(node.parent)
-        node = Node(tag, self.at, self.at.dropped or is_dropped(tag, attrs))
+        node = Node(tag, self.at, self.at.dropped or is_dropped(tag, attrs, bool(self.open.get("article") or self.open.get("main"))))
         node.doubtful = not node.dropped and is_doubtful(tag, attrs)
         self.at.children.append(node)
         self.nodes.append(node)
@@ -240,6 +264,10 @@ def kept_parts(nodes: list[Node]) -> list[Node]:
             best = up
             break
         up = up.parent
+    if best.tag == "article":
+        prose = lambda n: (n.score - MARKED) * (1 - n.density())
+        top = [n for n in nodes if n.tag == "article" and not held_by(n, "article")]
+        return headed(nodes, [n for n in top if n is best or prose(n) >= SIBLING_SHARE * prose(best) and n.density() < MOSTLY_LINKS])
     if best.tag in ARTICLES or not best.parent:
         around = [best]
     else:
@@ -251,7 +279,23 @@ def kept_parts(nodes: list[Node]) -> list[Node]:
         heading = node.tag in HEADINGS and node.density() < FEW_LINKS
         if node is best or text_like or heading or node.score * (1 - node.density()) >= max(least, 1e-9) and node.tag in PARAGRAPHS:
             parts.append(node)
-    return parts
+    return headed(nodes, parts)
+
+
+def held_by(node: Node, tag: str) -> bool:
+    node = node.parent
+    while node and node.tag != tag:
+        node = node.parent
+    return node is not None
+
+
+def headed(nodes: list[Node], parts: list[Node]) -> list[Node]:
+    """The parts with the last first-level heading before them, where they hold none."""
+    first = next(i for i, n in enumerate(nodes) if n is parts[0])
+    if any(n.tag == "h1" and any(within(n, p) for p in parts) for n in nodes):
+        return parts
+    before = [n for n in nodes[:first] if n.tag == "h1" and n.size and n.density() < MOSTLY_LINKS]
+    return before[-1:] + parts
 
 
 def blocks(parts: list[Node]) -> list[str]:
@@ -264,6 +308,7 @@ def blocks(parts: list[Node]) -> list[str]:
         run.clear()
 
     for part in parts:
+        whole = part.tag == "article" or held_by(part, "article")  # an article's lists are its text
         stack: list[Node | str | None] = [part]
         while stack:
             c = stack.pop()
@@ -273,7 +318,7 @@ def blocks(parts: list[Node]) -> list[str]:
                 run.append(c)
             elif c.tag == "br":
                 run.append(" ")
-            elif not c.dropped and not (c.tag in ("ul", "ol", "table", "dl") and c.density() > MOSTLY_LINKS):
+            elif not c.dropped and not (not whole and c.tag in ("ul", "ol", "table", "dl") and c.density() > MOSTLY_LINKS):
                 if c.tag in BLOCKS:
                     end()
                     stack.append(None)
