@@ -378,6 +378,72 @@ def test_main_text_in_doubtful_elements(html, want):
     assert tree_extract.main_text(html) == want
 
 
+PROSE = ["A first paragraph, with commas, and some length to it, so that it counts.", "A second one, shorter, of the same text.", "Third, and last, it ends the article here."]
+LINKS = "<ul><li><a href=1>First source, of the year</a></li><li><a href=2>Second source</a></li></ul><table><tr><td><a href=3>Name</a></td><td><a href=4>Other</a></td></tr></table>"
+BODY = "".join(f"<p>{p}</p>" for p in PROSE)
+#: Around the title and the body: (html, whether an article stands around the body).
+LAYOUTS = [
+    ("<article><header><h1>{t}</h1></header>{b}</article>", True), ("<article><h1>{t}</h1>{b}</article>", True), ("<main><article><div><h1>{t}</h1></div><div>{b}</div></article></main>", True),
+    ("<h1>{t}</h1><div class=text><div>{b}</div></div>", False), ("<div><h1>{t}</h1></div><div class=body>{b}</div>", False), ("<header class=entry-header><h1>{t}</h1></header><div class='entry-content'>{b}</div>", False),
+    ("<main><header><h1>{t}</h1></header><section id='comments-on-policy'>{b}</section></main>", False), ("<article class='post category-privacy tag-social'><h1>{t}</h1>{b}</article>", True),
+    ("<div id=page><div id=content><h1>{t}</h1>{b}</div></div>", False), ("<body><div role=main><h1>{t}</h1><div class=article-content>{b}</div></div>", False),
+]
+#: Around the page: what must not be in the text.
+NOISE = [
+    ("", ""), ("<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<footer>Made by us, in a footer, with commas.</footer>"),
+    ("<header><a href=/>Site</a></header><div class='cookie-notice'>We use cookies, yes, really.</div>", "<div class='user comments'><p>I, too, think so, and, more, of it.</p></div><script>var p='<p>x</p>'</script>"),
+    ("<div class=ad>Buy, now, a thing.</div><aside><p>Related, things, are here.</p></aside>", "<div id=comment-list><article class=comment><p>A comment, marked as an article, as some do.</p></article></div>"),
+    ("<style>p{}</style><form><input name=q><p>Search, here.</p></form>", "<div class='newsletter-box'><p>Subscribe, to our letter, please.</p></div>"),
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+@pytest.mark.parametrize("noise", range(len(NOISE)))
+def test_main_text_of_layouts(layout, noise):
+    (html, marked), (before, after) = LAYOUTS[layout], NOISE[noise]
+    blocks = ["The title", *PROSE]
+    page = lambda body: before + html.format(t="The title", b=body) + after
+    assert tree_extract.main_text(page(BODY)) == "\n\n".join(blocks)
+    if marked:  # link lists and tables are an article's text
+        assert tree_extract.main_text(page(BODY + LINKS)) == "\n\n".join([*blocks, "First source, of the year", "Second source", "Name Other"])
+
+
+def test_main_text_keeps_all_articles_and_notes():
+    one, two = "".join(f"<p>{p}</p>" for p in PROSE), "<p>Another article, of the same page, with text of its own.</p><p class=notice>A note of the author, to keep.</p>"
+    teaser = "<article><a href=x>Read on, there is more, much more, of this to read in another place</a></article>"
+    got = tree_extract.main_text(f"<div><article>{one}</article><article>{two}</article>{teaser}</div>")
+    assert got == "\n\n".join([*PROSE, "Another article, of the same page, with text of its own.", "A note of the author, to keep."])
+
+
+def test_scores_are_sums_over_paragraphs():
+    """Every element's score against a sum over all paragraphs below it, on random trees."""
+    rnd = random.Random(7)
+
+    def random_html(depth):
+        if depth == 0 or rnd.random() < 0.2:
+            return "<p>" + ", ".join("word" * rnd.randint(1, 4) for _ in range(rnd.randint(1, 30))) + rnd.choice(["", "<a href=x>a link, here</a>"]) + "</p>"
+        tag = rnd.choice(["div", "section", "article", "div"])
+        return f"<{tag}>" + "".join(random_html(depth - 1) for _ in range(rnd.randint(1, 4))) + f"</{tag}>"
+
+    for _ in range(15):
+        tree = tree_extract.Tree()
+        tree.feed(random_html(4))
+        tree.close()
+        nodes = tree_extract.in_order(tree.root)
+        tree_extract.score(nodes)
+        want = {id(n): 25.0 if n.tag == "article" else 0.0 for n in nodes}
+        for p in (n for n in nodes if n.tag == "p"):
+            text = "".join(c if isinstance(c, str) else "".join(c.children) for c in p.children)
+            linked = sum(len(t) - t.count(" ") for c in p.children if not isinstance(c, str) for t in c.children)
+            points = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else len(text) / 25
+            points *= 1 - linked / (len(text) - text.count(" "))
+            up, away = p.parent, 0
+            while up:
+                want[id(up)] += points if away == 0 else points / 2 if away == 1 else points / (3 * away)
+                up, away = up.parent, away + 1
+        assert all(n.score == pytest.approx(want[id(n)]) for n in nodes)
+
+
 def test_language_held_out(spark):
     rnd = random.Random(5)
     stems = {"en": ["the", "ing", "tion", "er"], "de": ["sch", "ung", "keit", "ein"], "es": ["cion", "mente", "que", "ado"]}
