@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {(r.day, r.mean, r.n) for r in tables.daily_mean(rows, 0, 1200).collect()}
     assert {(r.day, r.mean, r.n) for r in spark.table("daily").collect()} == want
+
+
+def test_nearest_line_is_the_nearest_of_all(spark):
+    rng = np.random.default_rng(4)
+    paths = [rng.uniform(0, 1, (int(rng.integers(2, 5)), 2)).tolist() for _ in range(120)] + [[[-40.0, -40.0], [60.0, 61.0]], [[0.5, 0.5], [0.5, 0.5]], [[0.2, 0.2]], None]
+    paths += [paths[3]]  # a line twice: the smaller id
+    points = [(k, *map(float, p)) for k, p in enumerate(np.concatenate([rng.uniform(0, 1, (300, 2)), rng.normal(0, 300, (6, 2))]))]
+    lines = spark.createDataFrame([(k, p and [(x, y) for x, y in p]) for k, p in enumerate(paths)], "line_id int, path array<struct<x:double,y:double>>")
+    frame = spark.createDataFrame([*points, (900, None, 0.5), (901, 0.5, None)], "point_id int, x double, y double")
+    got = {r["point_id"]: (r["line_id"], r["d"]) for r in spatial.nearest_line(frame, lines).collect()}
+    assert len(got) == len(points) + 2 and got[900] == got[901] == (None, None)
+    for k, x, y in points:
+        best = []
+        for line, path in enumerate(paths):
+            for a, b in zip((path or [])[:-1], (path or [])[1:], strict=True):
+                a, b, p = np.array(a), np.array(b), np.array([x, y])
+                t = min(1.0, max(0.0, float((p - a) @ (b - a) / max((b - a) @ (b - a), 1e-300))))
+                best.append((round(float(np.hypot(*(p - a - t * (b - a)))), 9), line))
+        d, line = min(best)
+        assert got[k][0] == line and abs(got[k][1] - d) < 1e-8
+    none = spatial.nearest_line(frame.limit(3), lines.where("false")).collect()
+    assert [tuple(r)[1:] for r in none] == [(None, None)] * 3
+    assert spatial.nearest_line(frame.where("false"), lines).count() == 0

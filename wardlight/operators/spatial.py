@@ -152,6 +152,49 @@ def _cell_width(targets: DataFrame, n: int, extent: float, k: int) -> float:
     return width(max(ample, default=1))
 
 
+def nearest_line(points: DataFrame, lines: DataFrame, round_to: int = 9) -> DataFrame:
+    """(point_id, line_id, d): the line that each point lies nearest to on the plane, by the rounded distance and then the id; lines: (line_id, path), a path being an array of points like a ring.
+
+    A side of a line stands in the cells that it passes and those around them, a point is held against the sides of its cell; the answer is final when it lies nearer than a cell's width, the rest is asked again on
+    cells four times as wide. A point without a coordinate, or with no line to be near to, has nulls. A path of one point or a null path has no side.
+    """
+    from wardlight.plans.session import cut_lineage
+
+    e = F.explode(geo.edges(F.col("path"))).alias("e")
+    sides = lines.where(F.size("path") > 1).select("line_id", e).select("line_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).distinct()
+    sides = cut_lineage(sides)
+    span = lambda k: F.abs(F.col("b")[k] - F.col("a")[k])
+    low, high = lambda k: F.least(F.col("a")[k], F.col("b")[k]), lambda k: F.greatest(F.col("a")[k], F.col("b")[k])
+    n, reach, x0, x1, y0, y1 = sides.agg(
+        F.count(F.lit(1)), F.avg(F.greatest(span("x"), span("y"))), F.min(low("x")), F.max(high("x")), F.min(low("y")), F.max(high("y"))
+    ).first()
+    placed = points.where("x is not null and y is not null").select("point_id", "x", "y")
+    px0, px1, py0, py1 = placed.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n or px0 is None:
+        return points.select("point_id", F.lit(None).cast(lines.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("d"))
+    middles = sides.select(((F.col("a.x") + F.col("b.x")) / 2).alias("x"), ((F.col("a.y") + F.col("b.y")) / 2).alias("y"))
+    width = max(_cell_width(middles, n, max(x1 - x0, y1 - y0, 1e-9), 1), reach / 4)  # so a side has some four pieces on average
+    farthest = 2 * max(px1, x1) - 2 * min(px0, x0) + 2 * max(py1, y1) - 2 * min(py0, y0)
+    d = F.round(geo.segment_distance(F.col("x"), F.col("y"), F.col("a"), F.col("b")), round_to)
+    left, found = placed, None
+    while True:
+        pieces = F.greatest(F.ceil(F.greatest(span("x"), span("y")) / width), F.lit(1))
+        cut = sides.withColumn("_m", pieces).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+        ends = lambda k: [F.col("a")[k] + (F.col("b")[k] - F.col("a")[k]) * (F.col("_k") - i) / F.col("_m") for i in (0, 1)]
+        passed = lambda k: F.explode(F.sequence(F.floor(F.least(*ends(k)) / width) - 1, F.floor(F.greatest(*ends(k)) / width) + 1))
+        cells = cut.withColumn("_cx", passed("x")).withColumn("_cy", passed("y")).select("line_id", "a", "b", "_cx", "_cy").distinct()
+        asked = left.withColumn("_cx", F.floor(F.col("x") / width)).withColumn("_cy", F.floor(F.col("y") / width))
+        best = asked.join(cells, ["_cx", "_cy"]).groupBy("point_id").agg(F.min(F.struct(d.alias("d"), "line_id")).alias("near"))
+        tried = cut_lineage(left.join(best, "point_id", "left"))
+        final = F.coalesce(F.col("near.d") < width * 0.999999, F.lit(False))
+        found = tried.where(final) if found is None else found.unionByName(tried.where(final))
+        left = tried.where(~final).drop("near")
+        if width > farthest or left.isEmpty():
+            break
+        width *= 4
+    return points.select("point_id").join(found.select("point_id", "near.line_id", "near.d"), "point_id", "left")
+
+
 def count_within(points: DataFrame, targets: DataFrame, radii: dict[str, float]) -> DataFrame:
     """(point_id, a column for each radius): targets within it on the plane."""
     width = max(radii.values())

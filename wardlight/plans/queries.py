@@ -167,12 +167,10 @@ def _(v):
 
 
 @query("J17_nearest_line", "people wards", """
-    select point_id, round(case when x between x0 and x1 and y between y0 and y1 then least(x-x0,x1-x,y-y0,y1-y) else sqrt(pow(greatest(x0-x,0,x-x1),2)+pow(greatest(y0-y,0,y-y1),2)) end,9) d from people cross join wards where poly_id=12""")
+    with e as (select point_id, poly_id, round(case when x between x0 and x1 and y between y0 and y1 then least(x-x0,x1-x,y-y0,y1-y) else sqrt(pow(greatest(x0-x,0,x-x1),2)+pow(greatest(y0-y,0,y-y1),2)) end,9) d from people cross join wards)
+    select point_id, arg_min(poly_id, (d, poly_id)) line_id, min(d) d from e group by 1""")
 def _(v):
-    one = v.wards().where("poly_id = 12").select(F.explode(geo.edges(F.col("ring"))).alias("e"))
-    sides = one.agg(F.collect_list("e").alias("sides"))  # four sides
-    d = F.array_min(F.transform("sides", lambda e: geo.segment_distance(F.col("x"), F.col("y"), e["a"], e["b"])))
-    return v.people().join(F.broadcast(sides)).select("point_id", F.round(d, 9).alias("d"))
+    return spatial.nearest_line(v.people(), v.wards().select(F.col("poly_id").alias("line_id"), F.col("ring").alias("path")))
 
 
 @query("J18_F4_idw", "people libraries", """
@@ -732,10 +730,9 @@ def _(v):
     return tables.upsert(old, new, "k", "pos")
 
 
-@query("U3_difference", "", "select n_nationkey from nation except select s_nationkey from supplier where s_suppkey%3=0")
+@query("U3_difference", "", "select c_custkey from customer except select o_custkey from orders")
 def _(v):
-    s = v.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
-    return tables.missing(v.table("nation").select("n_nationkey"), s, "n_nationkey")
+    return tables.missing(v.table("customer").select("c_custkey"), v.table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("U5_exact_dedupe", "", "select distinct p_brand, p_type, p_size from part")
@@ -813,19 +810,19 @@ def _(v):
 # --- text tables, catalogues, composites ---------------------------------------------------------------------------------------------------
 
 @query("T1_wide_to_long", "", """
-    select l_orderkey id, h.h::int as slot, v.v as reading from (select l_orderkey, l_linenumber, [l_quantity, l_discount*100, l_tax*100] cells from lineitem where l_linenumber=1) t, (select unnest(range(0,3)) h) h, lateral (select cells[h.h+1] v) v where v.v>0 and v.v<=1000""")
+    select l_orderkey id, l_linenumber line, h.h::int as slot, v.v as reading from (select l_orderkey, l_linenumber, [l_quantity, l_discount*100, l_tax*100] cells from lineitem) t, (select unnest(range(0,3)) h) h, lateral (select cells[h.h+1] v) v where v.v>0 and v.v<=1000""")
 def _(v):
-    li = v.table("lineitem").where("l_linenumber = 1").select("l_orderkey", F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("cells"))
-    long = li.select(F.col("l_orderkey").alias("id"), F.posexplode("cells").alias("slot", "reading"))
+    li = v.table("lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100).alias("cells"))
+    long = li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.posexplode("cells").alias("slot", "reading"))
     return long.where((F.col("reading") > 0) & (F.col("reading") <= 1000))
 
 
 @query("T4_densified_series", "budget", """
-    with t as (select ward, fy_start, count(*) n from budget where fy_start%3<>0 group by 1,2), y as (select unnest(range(1994,2000)) y)
+    with t as (select ward, fy_start, count(*) n from budget group by 1,2), y as (select unnest(range(1990,2000)) y)
     select n_name ward, y.y::int fy_start, n, case when n is null then 'missing' else 'reported' end status from nation cross join y left join t on ward=n_name and fy_start=y.y""")
 def _(v):
-    t = v.budget().where("fy_start % 3 <> 0").groupBy("ward", "fy_start").agg(F.count(F.lit(1)).alias("n"))
-    years = v.spark.range(1994, 2000).select(F.col("id").cast("int").alias("fy_start"))
+    t = v.budget().groupBy("ward", "fy_start").agg(F.count(F.lit(1)).alias("n"))
+    years = v.spark.range(1990, 2000).select(F.col("id").cast("int").alias("fy_start"))
     d = finance.densify(v.table("nation").select(F.col("n_name").alias("ward")), years, t, ["ward", "fy_start"])
     return d.withColumn("status", F.when(F.col("n").isNull(), "missing").otherwise("reported"))
 
@@ -1048,17 +1045,17 @@ def _(v):
     return s.join(F.broadcast(by_code), "code", "left").join(F.broadcast(by_name), "k", "left").select("s_suppkey", F.coalesce("a", "b").alias("nation"))
 
 
-@query("J13_within_else_nearest", "people wards", f"""
-    with w as (select * from wards where poly_id%2=0), i as (select point_id, min(poly_id) poly_id from people p join w on {IN_WARD} group by 1),
-    d as (select p.point_id, arg_min(poly_id, (round(sqrt(pow(x-(x0+x1)/2,2)+pow(y-(y0+y1)/2,2)),9), poly_id)) poly_id from people p cross join w group by 1)
+@query("J13_within_else_nearest", "people", f"""
+    with {BOXES}, i as (select point_id, min(id) poly_id from people join b on x>=x0 and x<x1 and y>=y0 and y<y1 group by 1),
+    d as (select point_id, arg_min(id, (round(sqrt(pow(greatest(x0-x,0,x-x1),2)+pow(greatest(y0-y,0,y-y1),2)),9), id)) poly_id from people cross join b group by 1)
     select d.point_id, coalesce(i.poly_id, d.poly_id) poly_id from d left join i using (point_id)""")
 def _(v):
-    w = v.wards().where("poly_id % 2 = 0")
-    inside = spatial.first_containing(v.people(), w)
+    box = geo.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring")
+    polys = _boxes(v)[0].select(F.col("id").alias("poly_id"), F.col("id").alias("ordinal"), box)
+    inside = spatial.first_containing(v.people(), polys)
     rest = v.people().join(inside, "point_id", "left_anti")
-    centres = w.select(F.col("poly_id").alias("target_id"), geo.centroid(F.col("ring")).alias("c"), F.lit(0.0).alias("value")).select("target_id", "c.x", "c.y", "value")
-    near = spatial.nearest(rest, centres, round_to=9).select("point_id", F.col("near")[0]["target_id"].alias("poly_id"))
-    return inside.unionByName(near)
+    near = spatial.nearest_line(rest, polys.select(F.col("poly_id").alias("line_id"), F.col("ring").alias("path")))
+    return inside.unionByName(near.select("point_id", F.col("line_id").alias("poly_id")))
 
 
 @query("J28_members_and_unmatched", "", """
