@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.functions import coerce, geo, stats
+from wardlight.functions import coerce, forms, geo, stats
 from wardlight.operators import finance, spatial, tables, transit
 from wardlight.sources import readers, writers
 from wardlight.streaming.daily import daily_mean_stream
@@ -171,3 +171,35 @@ def test_nearest_line_is_the_nearest_of_all(spark):
     none = spatial.nearest_line(frame.limit(3), lines.where("false")).collect()
     assert [tuple(r)[1:] for r in none] == [(None, None)] * 3
     assert spatial.nearest_line(frame.where("false"), lines).count() == 0
+
+
+def test_stations_by_code_or_name(spark):
+    stations = spark.createDataFrame([("a", "X1", "park", 2), ("b", None, "park lane", 1), ("c", " ", "", 0), ("d", "X1", None, 9)], "station string, code string, name string, position int")
+    rows = spark.createDataFrame([(1, "x1 ", "lane"), (2, None, "old park"), (3, "", "park lane"), (4, "Z", None), (5, None, " "), (6, None, "zoo"), (6, None, "zoo")], "id int, code string, name string")
+    got = sorted(tuple(r) for r in transit.code_or_name(rows, stations).collect())
+    want = [(1, "a", "code"), (2, "a", "name"), (3, "b", "name"), (4, None, None), (5, None, None), (6, None, None), (6, None, None)]
+    assert got == want
+    assert transit.code_or_name(rows.where("false"), stations).count() == 0
+    assert {r.station for r in transit.code_or_name(rows, stations.where("false")).collect()} == {None}
+    assert transit.code_or_name(rows.where("id < 4"), stations, strict=True).count() == 3
+    with pytest.raises(Exception, match="no station for zoo"):
+        transit.code_or_name(rows.where("id = 6"), stations, strict=True).collect()
+
+
+def test_forms_of_odd_cells(spark):
+    one = lambda **c: spark.range(1).select(*[e.alias(n) for n, e in c.items()]).first().asDict()
+    null, text = F.lit(None).cast("string"), F.lit
+    years = one(
+        a=forms.year_of_file_name(null), b=forms.year_of_link(text("31_03_21")), c=forms.year_of_estimate(null), d=forms.year_written_out(text("202023")), e=forms.earliest_year(null),
+        f=forms.earliest_year(text("2019-21-22 then 2011/2012")), g=forms.year_of_link(text("19-21")), h=forms.earliest_year(text("2016-123, 15_16")),
+    )
+    assert years == {"a": None, "b": "2020-21", "c": "", "d": None, "e": None, "f": "2021-22", "g": None, "h": "2015-16"}
+    names = one(a=forms.key_without(text("ﬁrst Čapek Rd")), b=forms.key_without(null), c=forms.key_expanded(text("A&B jcn")), d=forms.numbered_name(null), e=forms.first_class(null, {"x": "x"}, "other"))
+    assert names == {"a": "first capek", "b": None, "c": "a and b junction", "d": ("", ""), "e": "other"}
+    checks = one(
+        a=forms.is_day(null), b=forms.is_day(text("20240229")), c=forms.is_day(text("20230229")), d=forms.is_clock(text("25:00:59")), e=forms.is_clock(text("1:60:00")), f=forms.is_whole(text("2.0"), 0), g=forms.is_whole(text("7"), 1),
+        h=forms.is_number(text("nan"), -1, 1), i=forms.are_points(F.lit(None).cast("array<array<double>>")), j=forms.are_points(F.array(F.array(F.lit(181.0), F.lit(0.0)))),
+    )
+    assert [k for k, ok in checks.items() if ok] == ["b", "d", "g"]
+    colours = one(a=forms.colour(F.lit(None)), b=forms.colour(F.lit(float("nan"))), c=forms.colour(F.lit(31.5)), d=forms.colour(F.lit(99)))
+    assert [tuple(c) for c in colours.values()] == [(0, 80, 30, 0), (0, 80, 30, 0), (60, 130, 35, 220), (90, 0, 25, 220)]

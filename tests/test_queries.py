@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wardlight.plans import composites  # noqa: F401  registers its queries
+from wardlight.plans import composites, forms  # noqa: F401  register their queries
 from wardlight.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"

@@ -44,6 +44,12 @@ def ring_area_m2(ring: Column) -> Column:
     return F.abs(signed_area(ring)) * degree * degree * F.cos(F.radians(middle))
 
 
+def polygon_area_m2(rings: Column) -> Column:
+    """Area in square metres of an array of rings: the first one's less those of its holes."""
+    areas = F.transform(rings, ring_area_m2)
+    return F.aggregate(areas, 2 * F.get(areas, F.lit(0)), lambda s, a: s - a)
+
+
 def centroid(ring: Column) -> Column:
     """Struct (x, y): the centre of a ring's area, relative to its first point for precision."""
     o = ring[0]

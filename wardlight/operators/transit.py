@@ -130,3 +130,24 @@ def assembled_line(members: Column) -> Column:
         return F.when(F.size(line) == 0, F.array(way["a"], way["b"])).when(end == way["a"], F.concat(line, F.array(way["b"]))).when(end == way["b"], F.concat(line, F.array(way["a"]))).otherwise(F.concat(line, F.array(way["a"], way["b"])))
 
     return F.aggregate(members, F.array().cast("array<long>"), add)
+
+
+def code_or_name(rows: DataFrame, stations: DataFrame, strict: bool = False) -> DataFrame:
+    """(id, station, by) for rows (id, code, name): the station (station, code, name, position) of that code, else the first by position whose name is, holds or lies in the row's name.
+
+    by is 'code' or 'name'. A row without either has nulls, or with strict ends the query. Blank names match nothing; names are compared as they are, so normalise them first.
+    Containment is an equality of one name with a piece of the other: a name of n characters has n * (n + 1) / 2 pieces, so names should be names. Distinct names are matched, then joined back.
+    """
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(i, F.length(c)), lambda j: F.substring(c, i, j - i + 1)))))
+    rows = rows.select("id", F.upper(F.trim("code")).alias("code"), "name")
+    by_code = stations.where("trim(code) <> ''").groupBy(F.upper(F.trim("code")).alias("code")).agg(F.min_by("station", "position").alias("_coded"))
+    wanted = rows.where("trim(name) <> ''").select("name").distinct()
+    known = stations.where("trim(name) <> ''").groupBy(F.col("name").alias("other")).agg(F.min(F.struct("position", "station")).alias("_place"))
+    inside = wanted.withColumn("piece", F.explode(pieces(F.col("name")))).join(known.withColumnRenamed("other", "piece"), "piece")
+    around = known.withColumn("name", F.explode(pieces(F.col("other")))).join(wanted, "name")
+    named = inside.select("name", "_place").unionByName(around.select("name", "_place")).groupBy("name").agg(F.min("_place")["station"].alias("_named"))
+    found = rows.join(by_code, "code", "left").join(named, "name", "left")
+    station = F.coalesce("_coded", "_named")
+    if strict:
+        station = F.coalesce(station, F.raise_error(F.concat(F.lit("no station for "), F.coalesce("name", F.lit("")))).cast(stations.schema["station"].dataType))
+    return found.select("id", station.alias("station"), F.when(F.col("_coded").isNotNull(), "code").when(F.col("_named").isNotNull(), "name").alias("by"))
