@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import centroid_lang, fertility, kneser_ney, lattice, minimax_shard, mixing, ngram_join, surrogate, tree_extract, two_fit_pack
+from wardlight.llm import centroid_lang, fertility, fill_middle, kneser_ney, lattice, minimax_shard, mixing, ngram_join, piece_codec, surrogate, tree_extract, turn_repair, two_fit_pack
 from wardlight.llm.common import materialize
 
 
@@ -59,6 +59,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.round_trip(_table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digests(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokeniser_fertility": op1_tokeniser_fertility,
     "op2_temperature_mixing": op2_temperature_mixing,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_surrogate_generation": op9_surrogate_generation,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_piece_round_trip": op11_piece_round_trip,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: What SQL can state: the exact links and components that the two similarity joins must find.
 ORACLE_SQL: dict[str, str] = {
