@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.functions import shapes as shapes_of
+
 
 def stop_events_by_agency(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, agencies: list[str]) -> DataFrame:
     """(stop_id, a column for each agency, other): events of stops, '?' and unlisted agencies together."""
@@ -151,3 +153,37 @@ def code_or_name(rows: DataFrame, stations: DataFrame, strict: bool = False) ->
     if strict:
         station = F.coalesce(station, F.raise_error(F.concat(F.lit("no station for "), F.coalesce("name", F.lit("")))).cast(stations.schema["station"].dataType))
     return found.select("id", station.alias("station"), F.when(F.col("_coded").isNotNull(), "code").when(F.col("_named").isNotNull(), "name").alias("by"))
+
+
+def shape_paths(shapes: DataFrame) -> DataFrame:
+    """(shape_id, path): the points of each shape in order, from (shape_id, sequence, x, y); shapes of fewer than two points are left out."""
+    gathered = shapes.where("x is not null and y is not null").groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("_p"))
+    return gathered.where(F.size("_p") >= 2).select("shape_id", F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("path"))
+
+
+def longest_shape(trips: DataFrame, shaped: DataFrame) -> DataFrame:
+    """(route_id, trip_id, metres, path): the trip of each route whose shape is longest along itself, the first trip of equals (lengths to the millimetre); trips are (trip_id, route_id, shape_id), shaped is shape_paths()."""
+    measured = shaped.withColumn("metres", F.round(shapes_of.haversine_length(F.col("path")), 3))
+    # the choice is made on ids and lengths, the path comes after it
+    best = trips.join(measured.select("shape_id", "metres"), "shape_id").groupBy("route_id").agg(F.min_by(F.struct("trip_id", "shape_id", "metres"), F.struct(-F.col("metres"), "trip_id")).alias("_b"))
+    return best.select("route_id", "_b.*").join(shaped, "shape_id").select("route_id", "trip_id", "metres", "path")
+
+
+def city_lines(feed: dict[str, DataFrame], shaped: DataFrame, box: tuple[float, float, float, float], keywords: list[str], name: str = "route_name", least_hits: int = 2) -> DataFrame:
+    """(route_id, trip_id, hits, line, pieces): for each route with a keyword in its name (any route without keywords), its first trip by id that stops at least so often in the box and has a line there.
+
+    line: the points of the trip's shape inside the box, or of its stops there where it has no shape; it has two points at least. pieces: the shape clipped where it crosses the box, a path for each stay. Feed: routes,
+    trips (trip_id, route_id, shape_id), stop_times and stops (stop_id, x, y).
+    """
+    x0, y0, x1, y1 = box
+    wanted = F.lit(True) if not keywords else F.coalesce(F.lower(name).rlike("|".join(k.lower() for k in keywords)), F.lit(False))
+    kept = feed["trips"].join(feed["routes"].where(wanted).select("route_id"), "route_id", "left_semi")
+    inside = feed["stops"].where(in_box(*box)).select("stop_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    stops = feed["stop_times"].join(inside, "stop_id").groupBy("trip_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(F.struct("stop_sequence", "x", "y"))).alias("_stops")).where(F.col("hits") >= least_hits)
+    xy = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    held = F.filter("path", lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))
+    line = F.when(F.col("path").isNotNull(), held).otherwise(F.transform("_stops", xy))
+    lined = kept.join(stops, "trip_id").join(shaped, "shape_id", "left").withColumn("line", line).where(F.size("line") >= 2)
+    pieces = F.coalesce(shapes_of.clipped(F.col("path"), *box), F.array("line"))
+    first = lined.groupBy("route_id").agg(F.min("trip_id").alias("trip_id"))
+    return lined.join(first, ["route_id", "trip_id"]).select("route_id", "trip_id", "hits", "line", pieces.alias("pieces"))

@@ -34,8 +34,9 @@ def query(name: str, views: str = "", sql: str | None = None):
         if sql:
             text = " ".join(sql.split())
             used = ", ".join(WITH[v] for v in views.split())
-            if used and text.startswith("with "):
-                ORACLE_SQL[name] = f"with {used}, {text[5:]}"
+            head = "with recursive " if text.startswith("with recursive ") else "with "
+            if used and text.startswith(head):
+                ORACLE_SQL[name] = f"{head}{used}, {text[len(head):]}"
             else:
                 ORACLE_SQL[name] = f"with {used} {text}" if used else text
         return f
