@@ -28,8 +28,8 @@ LOWER = UPPER + (0x110000 >> LOW_BITS)
 #: The most frequent n-grams of the corpus that every worker holds (12 bytes each).
 HEAD_GRAMS = 2_000_000
 #: N-grams that a task gathers before it hands them on.
-GATHERED = 1_500_000
-#: Characters from which on a text's threshold is no wider, and documents that a language needs for a threshold of its own.
+GATHERED = 700_000
+#: Characters from which on a text's threshold is no wider, and the number of a language's set-aside documents at which its own quantile weighs as much as that of all languages.
 FULL_CHARS, OWN_THRESHOLD = 1500, 50
 
 
@@ -135,12 +135,12 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Log-probabilities by n-gram: open addressing in arrays at least two and a half times as long as the table."""
+    """Log-probabilities by n-gram: open addressing in arrays 1.7 times as long as the table."""
 
     def __init__(self, grams: np.ndarray, logs: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(max(1, len(grams)) * 2.5))))
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.logs = np.zeros(1 << self.bits, np.float32)
+        self.size = 256 + int(1.7 * len(grams))
+        self.keys = np.full(self.size, -1, np.int64)
+        self.logs = np.zeros(self.size, np.float32)
         left, values = grams, logs
         at = self._slots(left)
         while len(left):
@@ -148,10 +148,10 @@ class Lookup:
             self.keys[at[free]] = left[free]  # of several for one slot the last stays
             mine = self.keys[at] == left
             self.logs[at[mine]] = values[mine]
-            left, values, at = left[~mine], values[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
+            left, values, at = left[~mine], values[~mine], (at[~mine] + 1) % self.size
 
     def _slots(self, grams: np.ndarray) -> np.ndarray:
-        return (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
 
     def sum(self, grams: np.ndarray) -> tuple[float, np.ndarray]:
         """The sum of the logs of those n-grams that the table has, and the others."""
@@ -163,7 +163,7 @@ class Lookup:
             if len(lacking := grams[there == -1]):
                 absent.append(lacking)
             on = ~hit & (there != -1)
-            grams, at = grams[on], (at[on] + 1) & ((1 << self.bits) - 1)
+            grams, at = grams[on], (at[on] + 1) % self.size
         return total, np.concatenate(absent) if absent else np.zeros(0, np.int64)
 
 
@@ -203,20 +203,22 @@ def score(docs: DataFrame, logs: DataFrame, text_col: str, keep: list[str]) -> D
         lookup = _LOOKUPS[mark]
         for batch in slices(batches, 300):
             texts = batch.column(len(keep)).to_pylist()
-            sums, rare = [], []
+            sums, rare, often, ends = [], [], [], [0]
             for t in texts:
-                total, absent = lookup.sum(packed_grams(t)) if t else (None, ())
+                total, absent = lookup.sum(packed_grams(t)) if t else (None, np.zeros(0, np.int64))
                 sums.append(total)
-                rare.append([{"g": int(g), "c": int(c)} for g, c in zip(*np.unique(absent, return_counts=True), strict=True)] if len(absent) else None)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array([len(t) + 1 if t else 0 for t in texts], pa.int64()), pa.array(sums, pa.float64()), pa.array(rare, pa.list_(pa.struct([("g", pa.int64()), ("c", pa.int64())])))],
-                [*keep, "n", "logp", "_rare"],
-            )
+                g, c = np.unique(absent, return_counts=True)
+                rare.append(g)
+                often.append(c)
+                ends.append(ends[-1] + len(g))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rare, often)], ["g", "c"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([len(t) + 1 if t else 0 for t in texts], pa.int64()), pa.array(sums, pa.float64()), lists], [*keep, "n", "logp", "_rare"])
 
     summed = docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(add, f"{kinds}, n long, logp double, _rare array<struct<g:bigint,c:bigint>>")
     with batch_rows(spark):
         summed = materialize(summed.withColumn("_row", F.monotonically_increasing_id()))
-    rest = summed.where("_rare is not null").select("_row", F.inline("_rare"))
+    rest = summed.where("size(_rare) > 0").select("_row", F.inline("_rare"))
     rest = rest.join(leveled.where(F.col("level") < least).select("g", F.col("logp").alias("_l")), "g")
     rest = materialize(rest.groupBy("_row").agg(F.sum(F.col("c") * F.col("_l").cast("double")).alias("_more")))
     both = summed.drop("_rare").join(small(rest, rest.count()), "_row", "left")
@@ -230,7 +232,7 @@ def classify(
 
     labels: ids with a quality (1: trusted) and, if toxic_col is given, a flag that takes the trust away. A fifth of the trusted documents, by a hash of their id, sets the thresholds, the rest
     trains; every copy of a repeated row counts. perplexity is that of a character (and the end). kept: the perplexity is at most the threshold; threshold: for a language the quantile over its share of that
-    fifth, or over all of it for a null language or one with fewer than OWN_THRESHOLD documents there; the quantile is taken of the distances from the language's median, each times the root of the text's length over FULL_CHARS (1 at most), and the
+    fifth, drawn towards that over all of it the more the fewer documents it has there (n of them weigh n against OWN_THRESHOLD; a null language has none); the quantile is taken of the distances from the language's median, each times the root of the text's length over FULL_CHARS (1 at most), and the
     threshold of a text is divided by that root, since shorter texts scatter more. Quantiles are exact to 0.0001 of the logarithm. A null or empty text has no perplexity and isn't kept. Without
     trusted documents nothing can be judged: perplexity and threshold are null, every text with a character is kept. An empty table gives no rows.
     """
@@ -262,11 +264,13 @@ def classify(
             up = binned_quantiles(off, by, "_off", {"up": quantile})
             return materialize(middle.join(up, by), outer=True)
 
-        by_lang = thresholds("lang").where(F.col("texts") >= OWN_THRESHOLD).select("lang", "m", "up")
+        by_lang = thresholds("lang").select("lang", "m", "up", (F.col("texts") / (F.col("texts") + OWN_THRESHOLD)).alias("_own"))
         over_all = thresholds("_all").select("_all", F.col("m").alias("_m"), F.col("up").alias("_up"))
         n_langs = by_lang.count()
     judged = scored.join(small(by_lang, n_langs), "lang", "left").join(F.broadcast(over_all), "_all", "left")  # over_all is one row
-    limit = F.coalesce("m", "_m") + F.greatest(F.coalesce("up", "_up"), F.lit(0.0)) / wide
+    own = F.coalesce("_own", F.lit(0.0))
+    shrunk = lambda of_lang, of_all: own * F.coalesce(F.col(of_lang), F.col(of_all)) + (1 - own) * F.col(of_all)
+    limit = shrunk("m", "_m") + F.greatest(shrunk("up", "_up"), F.lit(0.0)) / wide
     return judged.select(
         "doc_id", "lang", "text_key", "n", F.exp("loss").alias("perplexity"), F.when(F.col("n") > 0, F.exp(limit)).alias("threshold"),
         F.coalesce((F.col("n") > 0) & F.coalesce(F.col("loss") <= limit, F.lit(True)), F.lit(False)).alias("kept"),

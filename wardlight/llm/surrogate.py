@@ -13,7 +13,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import materialize, scratch, small
+from wardlight.llm.common import hot_join, materialize, scratch, small
 
 #: Private-use characters that mark what was found; where a text has them itself they are escaped.
 OPEN, CLOSE, ESCAPE, MALE, FEMALE, EITHER, BARE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006"
@@ -34,17 +34,24 @@ PATTERNS = {
 CALLED = r"(?=[TtPpCcMmFfWwHh])(?<![\p{L}\p{N}])((?i:telephone|telefon|teléfono|phone|tel|call|mobile|móvil|cell|fax|whatsapp|handy)[.: ]{1,3})(\d{7,12})(?![\p{L}\p{N}.,-]\d|[\p{L}\p{N}])"
 #: A secret after its name: the name and sign, the value.
 KEYED = r"(?=[PpSsTtAa])((?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)[ \t]{0,2}[=:][ \t]{0,2}[\"']?)([^\s\"'=:-]{6,255})"
-NAME = r"\p{Lu}[\p{Ll}'’]{1,30}(?:[ -]\p{Lu}[\p{Ll}'’]{1,30}){0,2}"
+#: A word of a name (O'Brien, McAllen, Li; an apostrophe and one letter, as in Li's, is not of it), names of them, and names in capitals.
+WORD = r"(?:\p{Lu}['’]\p{L}{2,30}|\p{Lu}\p{Ll}{1,30}(?:\p{Lu}\p{Ll}{1,30})?(?:['’](?!(?:ll|ve|re)(?!\p{L}))\p{L}{2,30})?)"
+CAPITALS = r"\p{Lu}{1,30}(?:['’-]\p{Lu}{2,30}|\p{Lu})(?!\p{L})"
+NAME = rf"(?:{WORD}(?:[ -]{WORD}){{0,2}}|{CAPITALS}(?: {CAPITALS})?)"
 MALE_TITLES = r"Mr|Sir|Lord|Herrn|Herr|Monsieur|Señor|Sr|Don|Господин|господин|Г-н|г-н|Κύριος|κύριος|Κύριο|κύριο|κ"
 FEMALE_TITLES = r"Mrs|Miss|Ms|Madame|Madam|Lady|Frau|Mme|Mlle|Señorita|Señora|Srta|Sra|Doña|Госпожа|госпожа|Г-жа|г-жа|Κυρία|κυρία|κα"
+#: Titles of either gender, which may also follow another title.
+ANY_TITLES = r"Professor|Prof|Doctor|Dr|Dra|Judge|Rev|Captain|Capt|Доктор|доктор|Профессор|профессор|Δρ"
+#: Words of two letters that begin sentences, which are no mentions of a name that is spelt like one.
+SHORT_WORDS = "Al Am An As At Be By Da De Do Du El En Er Es Et Go He If Il Im In Is It La Le Lo Me My No Of On Or Se So To Tu Un Up Us We Zu"
 #: Phrases that a name of either gender follows.
 PHRASES = r"[Mm]y name is|[Nn]ame is|[Nn]ame:|[Hh]eiße|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут|[Μμ]ε λένε"
 #: Scripts without capitals: titles before one word, and titles after a common Chinese family name and up to two more characters.
 BEFORE = {MALE: "السيد|श्री", FEMALE: "السيدة|श्रीमती"}
 AFTER = {MALE: "先生", FEMALE: "女士|小姐|太太"}
 FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许邓冯韩曹曾彭萧蔡潘田董袁于余叶蒋杜苏魏程吕丁任卢姚钟姜崔谭陆范汪廖石金韦贾夏付方邹熊白孟秦邱江尹薛阎段雷侯龙史陶黎贺顾毛郝龚邵万钱严"
-NAMES = {tag: rf"(?=[DFHLMSГгΚκ])(?<![\p{{L}}\p{{N}}])((?:{titles})\.? )({NAME})" for tag, titles in ((MALE, MALE_TITLES), (FEMALE, FEMALE_TITLES))}
-NAMES[EITHER] = rf"(?=[MmNnHhJjМмΜμ])(?<![\p{{L}}\p{{N}}])((?:{PHRASES}) )({NAME})"
+NAMES = {tag: rf"(?=[DFHLMSГгΚκ])(?<![\p{{L}}\p{{N}}])((?:{titles})\.? (?:(?:{ANY_TITLES})\.? )*)({NAME})" for tag, titles in ((MALE, MALE_TITLES), (FEMALE, FEMALE_TITLES))}
+NAMES[EITHER] = rf"(?=[CDJMmNnHhjPRДдПпМмΔΜμ])(?<![\p{{L}}\p{{N}}])((?:(?:{ANY_TITLES})\.?(?: (?:{ANY_TITLES})\.?)*|{PHRASES}) )({NAME})"
 UNCASED = {tag: rf"(?<![\p{{L}}\p{{M}}])((?:{BEFORE[tag]}) )([\p{{IsArabic}}\p{{IsDevanagari}}\p{{M}}]{{2,20}})" for tag in BEFORE}
 CHINESE = {tag: rf"()([{FAMILY}]\p{{IsHan}}{{0,2}})(?={AFTER[tag]})" for tag in AFTER}
 
@@ -55,7 +62,7 @@ def has_entity(text: Column) -> Column:
     known = text.contains("AKIA") | text.contains("sk-") | text.contains("xox") | text.contains("gho_") | text.contains("ghp_") | text.contains("ghu_") | text.contains("ghs_") | text.contains("ghr_") | (digit & text.rlike("[0-9a-f]{32}"))
     numbers = "(?=[0-9+(A-Z])(?:" + "|".join(PATTERNS[k] for k in ("IP", "IBAN", "CARD", "SSN", "PHONE")) + ")"
     paired = (text.contains(":") | text.contains("-")) & text.rlike("[0-9A-Fa-f]{1,4}[:-][0-9A-Fa-f]{0,4}[:-]") & text.rlike(PATTERNS["MAC"] + "|" + PATTERNS["IP6"])
-    named = text.rlike(r"[DFHLMSГгΚκ][\p{L}-]{0,8}\.? \p{Lu}|(?:ame(?: is|:)|eiße|appelle|llamo|зовут|λένε) \p{Lu}")
+    named = text.rlike(r"[CDFHJLMPRSГгДдПпΚκΔ][\p{L}-]{0,8}\.? \p{Lu}|(?:ame(?: is|:)|eiße|appelle|llamo|зовут|λένε) \p{Lu}")
     uncased = text.rlike("السيد|श्री|先生|女士|小姐|太太") & text.rlike("|".join([*UNCASED.values(), *CHINESE.values()]))
     found = (digit & text.rlike(numbers)) | (text.contains("@") & text.rlike(PATTERNS["EMAIL"])) | (known & text.rlike(PATTERNS["SECRET"]))
     found = found | ((text.contains("=") | text.contains(":")) & text.rlike(KEYED)) | (named & text.rlike("|".join(NAMES.values())))
@@ -209,7 +216,7 @@ def _in_format(found: Column, kind: Column, surrogate: Column) -> Column:
     spread = F.concat(spread, F.substring(surrogate, letters + 1, F.length(surrogate)))
     spread = F.when((kind == "MAC") & found.rlike("[A-F]"), F.upper(spread)).otherwise(spread)
     upper = F.transform(F.split(surrogate, ""), lambda c, i: F.when(F.substring(found, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    capital = F.when(found.rlike(r"^\p{Lu}+$") & (F.length(found) > 1), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
+    capital = F.when(found.rlike(r"^[\p{Lu}'’-]{2,}$"), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return F.when(kind.isin(*JOINED), spread).when(kind == "EMAIL", F.array_join(upper, "")).when(kind.isin(*ENDINGS["latin"]), capital).otherwise(surrogate)
 
 
@@ -246,13 +253,17 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     of_person = f"[{MALE}{FEMALE}{EITHER}]"
     # a name's words, wherever else they stand in the text
     names = F.regexp_extract_all(F.col("_marked"), F.lit(f"{OPEN}{of_person}([^{CLOSE}]*){CLOSE}"), F.lit(1))
-    words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda n: F.split(n, " "))), lambda w: (F.length(w) > 2) | w.rlike(r"^\p{IsHan}{2}")))
+    words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda n: F.split(n, " "))), lambda w: ((F.length(w) > 1) & ~w.isin(SHORT_WORDS.split()) & ~w.rlike(r"^\p{IsHan}$")) | w.rlike(r"^\p{IsHan}{2}")))
+    # as the name writes them, in capitals, or without them if it is, with either apostrophe
+    forms = lambda w: F.array(w, F.upper(w), F.when(w == F.upper(w), F.initcap(w)).otherwise(w))
+    words = F.array_distinct(F.transform(F.flatten(F.transform(words, forms)), lambda w: F.regexp_replace(w, "['’]", "['’]")))
     split_ = lambda han: F.filter("_names", lambda w: w.rlike(r"\p{IsHan}") if han else ~w.rlike(r"\p{IsHan}"))
     again = F.concat(
         F.lit(as_is), F.when(F.size(split_(False)) > 0, F.concat(F.lit(r"|(?<![\p{L}\p{N}])(?:"), F.array_join(split_(False), "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(""),
         F.when(F.size(split_(True)) > 0, F.concat(F.lit("|"), F.array_join(split_(True), "|"))).otherwise(""),
     )
     repeated = once(F.regexp_replace("_marked", again, F.lit(f"{OPEN}{BARE}$0{CLOSE}")), OPEN + BARE)
+    entity = F.concat_ws(":", "kind", "canon").alias("_entity")
     with scratch():
         found = docs.where(has).select(F.struct(*columns).alias("_doc"), marked.alias("_marked"), F.monotonically_increasing_id().alias("_row"))
         found = found.withColumn("_names", words).withColumn("_marked", F.when(F.size("_names") > 0, repeated).otherwise(F.col("_marked")))
@@ -268,13 +279,16 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
         role = F.when(F.col("_tag") == BARE, F.lit(None).cast("string")).when((F.col("_k") == F.col("_n") - 1) & ~F.col("_found").rlike(r"\p{IsHan}"), "SURNAME").otherwise(given)
         parts = parts.withColumn("kind", F.when(F.col("_tag").isNotNull(), role).otherwise(_kind(F.col("_found"))))
         bare = F.regexp_replace("_found", r"[^\p{L}\p{N}]", "")
-        canon = F.when(F.col("kind") == "MAC", F.lower(bare)).when(F.col("kind").isin(*JOINED), F.upper(bare)).when(F.col("kind").isin("SECRET", "IP"), F.col("_found")).otherwise(F.lower("_found"))
+        canon = F.when(F.col("kind") == "MAC", F.lower(bare)).when(F.col("kind").isin(*JOINED), F.upper(bare)).when(F.col("kind").isin("SECRET", "IP"), F.col("_found")).otherwise(F.lower(F.regexp_replace("_found", "’", "'")))
         parts = parts.withColumn("canon", canon).where(is_valid(F.col("kind"), F.col("canon")) | F.col("kind").isNull())
         parts = materialize(parts.select("_row", "_at", "_k", "_tag", "_found", "kind", "canon"))
         of_row = parts.where(F.col("_tag").isNotNull() & (F.col("_tag") != BARE)).groupBy("_row", "canon").agg(F.min("kind").alias("_named"))
         parts = materialize(parts.join(of_row, ["_row", "canon"], "left").withColumn("kind", F.coalesce("kind", "_named")).drop("_named", "_tag"))
-        known = materialize(dictionary(parts, key))
-        drawn = parts.join(small(known, known.count()), ["kind", "canon"]).withColumn("_new", _in_format(F.col("_found"), F.col("kind"), F.col("surrogate")))
+        known = materialize(dictionary(parts, key).select(entity, "surrogate"))
+        n_known = known.count()
+        mentions = parts.select("*", entity)
+        drawn = mentions.join(F.broadcast(known), "_entity") if small(known, n_known) is not known else hot_join(materialize(mentions), known, "_entity")  # a frequent entity is not one task
+        drawn = drawn.withColumn("_new", _in_format(F.col("_found"), F.col("kind"), F.col("surrogate")))
         whole = drawn.groupBy("_row", "_at").agg(F.array_sort(F.collect_list(F.struct("_k", "_new"))).alias("_w"))
         whole = whole.select("_row", "_at", F.array_join(F.transform("_w", lambda w: w["_new"]), " ").alias("_new"))
         maps = materialize(whole.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_new"))).alias("_map")), outer=True)
