@@ -77,7 +77,7 @@ def test_deflate(spark):
         finance.deflate(spark.createDataFrame([(1990, 1.0)], "fy_start int, amount double"), index, 2012).collect()
 
 
-@pytest.mark.parametrize("text, want", [("Balance Sheet 31-03-2021", "2020-21"), ("amc 2021-22.pdf", "2021-22"), ("nothing", None)])
+@pytest.mark.parametrize("text, want", [("Closing figures at 31-03-2018", "2017-18"), ("ward works 2014-15 v2", "2014-15"), ("no year", None)])
 def test_fiscal_year(spark, text, want):
     assert one(spark, coerce.fiscal_in_text(F.lit(text))) == want
 
@@ -203,3 +203,31 @@ def test_forms_of_odd_cells(spark):
     assert [k for k, ok in checks.items() if ok] == ["b", "d", "g"]
     colours = one(a=forms.colour(F.lit(None)), b=forms.colour(F.lit(float("nan"))), c=forms.colour(F.lit(31.5)), d=forms.colour(F.lit(99)))
     assert [tuple(c) for c in colours.values()] == [(0, 80, 30, 0), (0, 80, 30, 0), (60, 130, 35, 220), (90, 0, 25, 220)]
+
+
+def test_years_in_their_forms(spark):
+    """By form: the text, then what each reader makes of it."""
+    rows = {
+        "plan 2014-15 b": ("2014-15", "2014-15", "2014-15", "2014-15", "2014-15"),
+        "x_2014_2015": ("2014-20", "2014-20", "", "2014-15", "2014-15"),
+        "note 12-13": ("2012-13", "2012-13", "", None, "2012-13"),
+        "note12-13": (None, None, "", None, "2012-13"),
+        "03-04 and 08-09": ("2003-04", "2008-09", "", None, None),
+        "at 31 - 03 - 2019": (None, "2018-19", "", None, None),
+        "RBE 2017-18, BE_18-19": ("2017-18", "2017-18", "2018-19", "2017-18", "2017-18"),
+        "v201617 a": (None, None, "", "2016-17", None),
+        "v201618": (None, None, "", None, None),
+        "no 5, 123-456": (None, None, "", None, None),
+        "": (None, None, "", None, None),
+    }
+    table = spark.createDataFrame([(t,) for t in rows], "t string")
+    readers_ = [forms.year_of_file_name, forms.year_of_link, forms.year_of_estimate, forms.year_written_out, forms.earliest_year]
+    for r in table.select("t", *[f(F.col("t")).alias(f"y{i}") for i, f in enumerate(readers_)]).collect():
+        assert tuple(r)[1:] == rows[r.t], r.t
+    assert one(spark, forms.year_of_estimate(F.lit(None).cast("string"))) == "" and one(spark, forms.year_of_link(F.lit(None).cast("string"))) is None
+
+
+def test_numbered_names(spark):
+    names = {"007 New Town Ward": ("7", "newtown"), "12 ward": ("12", "ward"), "000  A-b": ("0", "ab"), "Old Ward": ("", "oldward"), "12": ("", ""), None: ("", "")}
+    for name, want in names.items():
+        assert tuple(one(spark, forms.numbered_name(F.lit(name).cast("string")))) == want
