@@ -85,18 +85,24 @@ def token_match(queries: DataFrame, names: DataFrame) -> DataFrame:
     return best.select("query_id", "b.name_id", "b.score")
 
 
-def feed_gates(feed: dict[str, DataFrame], least_stops: int = 2) -> DataFrame:
-    """(gate, bad): how many faults each gate of a feed finds: a required table that is missing or empty counts one, then trips of too few stops, and stop times, trips without their stop, trip or route."""
+#: The tables that hold a feed together.
+CHAIN = ("routes", "trips", "stop_times", "stops")
+
+
+def feed_gates(feed: dict[str, DataFrame], least_stops: int = 2, required: tuple[str, ...] = CHAIN) -> DataFrame:
+    """(gate, bad): how many faults each gate of a feed finds: a required table that is missing or empty counts one, then trips of too few stops, and stop times, trips without their stop, trip or route; trips of an
+    unknown service and routes of an unknown agency where the feed has a calendar, an agency table and the columns that name them."""
     spark = next(iter(feed.values())).sparkSession
-    required = ("routes", "trips", "stop_times", "stops")
     gates = [
         feed[name].limit(1).agg(F.lit(f"has_{name}").alias("gate"), (1 - F.count(F.lit(1))).alias("bad")) if name in feed else spark.range(1).select(F.lit(f"has_{name}").alias("gate"), F.lit(1).cast("long").alias("bad"))
         for name in required
     ]
-    if all(name in feed for name in required):
+    if all(name in feed for name in CHAIN):
         n = feed["stop_times"].groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
         short = feed["trips"].join(n, "trip_id", "left").where(F.coalesce("n", F.lit(0)) < least_stops)
         lost = {"stop_times_without_stop": ("stop_times", "stops", "stop_id"), "stop_times_without_trip": ("stop_times", "trips", "trip_id"), "trips_without_route": ("trips", "routes", "route_id")}
+        more = {"trips_without_service": ("trips", "calendar", "service_id"), "routes_without_agency": ("routes", "agency", "agency_id")}
+        lost |= {gate: (a, b, key) for gate, (a, b, key) in more.items() if b in feed and key in feed[a].columns and key in feed[b].columns}
         count = lambda df, gate: df.agg(F.lit(gate).alias("gate"), F.count(F.lit(1)).alias("bad"))
         gates += [count(short, "short_trips"), *[count(feed[a].join(feed[b], key, "left_anti"), gate) for gate, (a, b, key) in lost.items()]]
     out = gates[0]
