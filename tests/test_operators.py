@@ -231,3 +231,64 @@ def test_numbered_names(spark):
     names = {"007 New Town Ward": ("7", "newtown"), "12 ward": ("12", "ward"), "000  A-b": ("0", "ab"), "Old Ward": ("", "oldward"), "12": ("", ""), None: ("", "")}
     for name, want in names.items():
         assert tuple(one(spark, forms.numbered_name(F.lit(name).cast("string")))) == want
+
+
+@pytest.mark.parametrize("distance", [spatial.planar, spatial.spherical])
+def test_nearest_of_many_targets(spark, distance):
+    """Two levels of cells, crowds at one place, ties, and points far from all targets or without a coordinate."""
+    rnd = np.random.default_rng(3)
+    xy = np.round(np.concatenate([rnd.normal((77, 28), 0.05, (1800, 2)), rnd.uniform((70, 20), (80, 30), (600, 2)), np.tile([[77.0, 28.0]], (150, 1))]), 4)
+    targets = spark.createDataFrame([(i, float(x), float(y), float(i % 7)) for i, (x, y) in enumerate(xy)], "target_id long, x double, y double, value double")
+    asked = [(0, 77.0, 28.0), (1, -120.0, -60.0), (2, 179.0, 85.0), (3, 75.0, 25.0), (4, None, 25.0), *[(10 + i, float(x), float(y)) for i, (x, y) in enumerate(rnd.uniform((69, 19), (81, 31), (60, 2)))]]
+    points = spark.createDataFrame(asked, "point_id long, x double, y double")
+
+    def away(x, y):
+        if distance is spatial.planar:
+            return np.hypot(xy[:, 0] - x, xy[:, 1] - y)
+        p, q = np.radians(y), np.radians(xy[:, 1])
+        a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(xy[:, 0] - x) / 2) ** 2
+        return 2 * 6_371_000 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+    for k in (1, 6, 200):
+        found = {r.point_id: r.near for r in spatial.nearest(points, targets, k, distance, round_to=3).collect()}
+        assert found[4] is None and len(found) == len(asked)
+        for i, x, y in asked:
+            if x is not None:
+                d = np.round(away(x, y), 3)
+                want = sorted(zip(d.tolist(), range(len(d)), strict=True))[:k]
+                assert [round(t.d, 3) for t in found[i]] == pytest.approx([w[0] for w in want], abs=2e-3)
+                if distance is spatial.planar:
+                    assert [t.target_id for t in found[i]] == [w[1] for w in want]
+
+
+def test_points_of_one_tile_and_large_polygons(spark, monkeypatch):
+    """All points in one place, and polygons of very different sizes; with and without a broadcast."""
+    points = spark.range(500).select(F.col("id").alias("point_id"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    polys = square(spark, [(f"p{i}", i, -float(i), -float(i), 1.0 + i, 1.0 + i) for i in range(40)] + [("off", 99, 900.0, 900.0, 901.0, 901.0)])
+    want = {f"p{i}": 500 for i in range(40)} | {"off": 0}
+    for limit in (spatial.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_BYTES", limit)
+        assert {r.poly_id: r.n for r in spatial.count_per_polygon(points, polys).collect()} == want
+    assert spatial.count_per_polygon(points, polys.limit(0)).count() == 0
+
+
+def test_running_totals(spark):
+    """Copies of one value, nulls, negative amounts, dates and texts, in one range or many."""
+    rnd = np.random.default_rng(1)
+    rows = [(int(i), int(v), None if a == 0 else int(a)) for i, (v, a) in enumerate(zip(np.where(rnd.random(3000) < 0.4, 7, rnd.integers(0, 500, 3000)), rnd.integers(-3, 9, 3000), strict=True))]
+    table = spark.createDataFrame(rows, "id long, v long, a long")
+    total, want = 0, {}
+    for i, _, a in sorted(rows, key=lambda r: (r[1], r[0])):
+        total += a or 0
+        want[i] = total
+    for partitions in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {r.id: r.s for r in stats.running_total(table, "v", "a", "s", ["id"]).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    texts = stats.running_total(table.select(F.concat(F.lit("t"), F.lpad("v", 4, "0")).alias("v"), "id"), "v", F.lit(0.5), "s", ["id"])
+    assert texts.agg(F.max("s")).first()[0] == 1500.0 and texts.schema["s"].dataType.simpleString() == "double"
+    assert stats.running_total(table.limit(0), "v", "a", "s").count() == 0

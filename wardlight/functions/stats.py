@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, IntegralType, LongType, StructField, StructType
 
 
 def with_totals(df: DataFrame, *aggs: Column, by: list[str] | None = None) -> DataFrame:
@@ -27,20 +33,33 @@ def pearson(x: Column, y: Column, least: int = 2, otherwise: Column | None = Non
     return F.coalesce(F.when(F.count(a) >= least, r), F.lit(0.0) if otherwise is None else otherwise)
 
 
-def running_total(df: DataFrame, order: str, amount: str | Column, out: str, then: list[str] | None = None, buckets: int = 256) -> DataFrame:
-    """df with the sum of amount over all rows up to and including each, in the order of a numeric column without nulls (and the columns `then`).
+def running_total(df: DataFrame, order: str, amount: str | Column, out: str, then: list[str] | None = None) -> DataFrame:
+    """df with the sum of amount over all rows up to and including each, in the order of a column (and the columns `then`); a null amount adds nothing.
 
-    Rows are dealt to ranges of the order column between approximate quantiles, which only balance the work: a window spans one range, the sums of the ranges before it are at most so many rows.
+    Rows are dealt to ranges of all these columns, so that copies of one value are split by the others, and sorted there; each range is summed in one pass and written once. The sums of the ranges before are as many as there are partitions.
     """
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    found = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    cuts = sorted({float(c) for c in found})
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    t = df.withColumn("_range", at).withColumn("_amount", amount)
-    sums = t.groupBy("_range").agg(F.sum("_amount").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `buckets` rows
-    inside = F.sum("_amount").over(Window.partitionBy("_range").orderBy(order, *(then or [])).rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("_in", inside).join(F.broadcast(sums.select("_range", before.alias("_before"))), "_range").withColumn(out, F.col("_before") + F.col("_in")).drop("_range", "_amount", "_in", "_before")
+    from wardlight.plans.session import cut_lineage
+
+    t = df.withColumn("_amount", F.col(amount) if isinstance(amount, str) else amount)
+    whole = isinstance(t.schema["_amount"].dataType, IntegralType)
+    kind = "long" if whole else "double"
+    t = t.withColumn("_amount", F.coalesce(F.col("_amount").cast(kind), F.lit(0).cast(kind)))
+    ranged = t.repartitionByRange(order, *(then or [])).sortWithinPartitions(order, *(then or []))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, total = context.partitionId() if context else 0, 0
+        for batch in batches:
+            upto = total + np.cumsum(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            if len(upto):
+                total = upto[-1]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto), pa.array(np.full(len(upto), part, np.int32))], [*batch.schema.names, "_in", "_part"])
+
+    schema = StructType([*t.schema.fields, StructField("_in", LongType() if whole else DoubleType()), StructField("_part", IntegerType())])
+    held = cut_lineage(ranged.mapInArrow(summed, schema))
+    sums = held.groupBy("_part").agg(F.sum("_amount").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(kind))  # a row a partition
+    return held.join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part").withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_amount", "_in", "_before")
 
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:

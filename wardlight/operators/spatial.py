@@ -11,6 +11,8 @@ from wardlight.functions import geo
 ARRAY_ROWS = 64
 #: Targets (nine rows of 40 bytes each) that may be broadcast with their cells, and how many of them set the width of the cells.
 BROADCAST_TARGETS, CELL_SAMPLE = 50_000, 20_000
+#: Bytes of polygons, tiled, that may be broadcast; cells to a side of the cell above.
+BROADCAST_BYTES, FAN = 16 << 20, 8
 
 
 def with_bbox(polys: DataFrame) -> DataFrame:
@@ -23,29 +25,40 @@ def _tiles(low: Column, high: Column, tile: float) -> Column:
     return F.explode(F.sequence(F.floor(low / tile), F.floor(high / tile)))
 
 
-def containing(points: DataFrame, polys: DataFrame, tile: float = 0.25) -> DataFrame:
+def _measured(boxes: DataFrame, corners: Column) -> tuple[float, int]:
+    """The side of square tiles that fits boxes (bx0, by0, bx1, by1), their mean extent, and the bytes that they take on such tiles, about."""
+    extent, n, total = boxes.agg(F.avg(F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"))), F.count(F.lit(1)), F.sum(corners)).first()
+    return extent or 1.0, 4 * (64 * n + 24 * (total or 0))
+
+
+def containing(points: DataFrame, polys: DataFrame, tile: float | None = None) -> DataFrame:
     """Every pair of a point and a polygon that holds it (lower and left sides belong to it): all columns of both.
 
-    Both sides are dealt to square tiles and joined on them; the bounding box and then the ring are tested within a tile.
+    Both sides are dealt to square tiles, as wide as the polygons are on average unless a width is given, and joined on them; the bounding box and then the ring are tested within a tile. Polygons whose counted tiles take
+    BROADCAST_BYTES at most are broadcast, so points aren't shuffled and a crowded tile is no task; beyond that a tile is a key, and one with very many points is left to the skew join.
     """
-    tiled = with_bbox(polys).withColumn("_tx", _tiles(F.col("bx0"), F.col("bx1"), tile)).withColumn("_ty", _tiles(F.col("by0"), F.col("by1"), tile))
+    boxed = with_bbox(polys)
+    width, bytes_ = _measured(boxed, F.size("ring"))
+    tile = tile or width
+    tiled = boxed.withColumn("_tx", _tiles(F.col("bx0"), F.col("bx1"), tile)).withColumn("_ty", _tiles(F.col("by0"), F.col("by1"), tile))
+    tiled = F.broadcast(tiled) if bytes_ * max(1.0, width / tile) ** 2 <= BROADCAST_BYTES else tiled
     own = points.withColumn("_tx", F.floor(F.col("x") / tile)).withColumn("_ty", F.floor(F.col("y") / tile))
     near = own.join(tiled, ["_tx", "_ty"]).where(F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1")))
     return near.where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_tx", "_ty", "bx0", "by0", "bx1", "by1")
 
 
-def first_containing(points: DataFrame, polys: DataFrame, tile: float = 0.25) -> DataFrame:
+def first_containing(points: DataFrame, polys: DataFrame, tile: float | None = None) -> DataFrame:
     """(point_id, poly_id): the first polygon by ordinal that holds each point; points in none are left out."""
     return containing(points, polys, tile).groupBy("point_id").agg(F.min_by("poly_id", "ordinal").alias("poly_id"))
 
 
-def strictly_within(points: DataFrame, polys: DataFrame, tile: float = 0.25) -> DataFrame:
+def strictly_within(points: DataFrame, polys: DataFrame, tile: float | None = None) -> DataFrame:
     """containing() without points on a side of the ring."""
     on_side = F.exists(geo.edges(F.col("ring")), lambda e: geo.segment_distance(F.col("x"), F.col("y"), e["a"], e["b"]) < 1e-12)
     return containing(points, polys, tile).where(~on_side)
 
 
-def count_per_polygon(points: DataFrame, polys: DataFrame, out: str = "n", tile: float = 0.25) -> DataFrame:
+def count_per_polygon(points: DataFrame, polys: DataFrame, out: str = "n", tile: float | None = None) -> DataFrame:
     """(poly_id, out) for every polygon, 0 where no point lies in it."""
     n = containing(points, polys, tile).groupBy("poly_id").agg(F.count(F.lit(1)).alias(out))
     return polys.select("poly_id").join(n, "poly_id", "left").na.fill(0, [out])
@@ -58,11 +71,6 @@ class planar:
     def between(x: Column, y: Column, tx: Column, ty: Column) -> Column:
         return F.hypot(x - tx, y - ty)
 
-    @staticmethod
-    def bound(x: Column, y: Column, width: float) -> Column:
-        """What a target outside of a point's cell and the eight around it is away at least."""
-        return F.lit(width)
-
 
 class spherical:
     """Great-circle distances in metres between longitudes x and latitudes y."""
@@ -71,11 +79,6 @@ class spherical:
     def between(x: Column, y: Column, tx: Column, ty: Column) -> Column:
         return geo.haversine(y, x, ty, tx)
 
-    @staticmethod
-    def bound(x: Column, y: Column, width: float) -> Column:
-        east = F.asin(F.cos(F.radians(y)) * F.sin(F.radians(F.lit(min(width, 90.0)))))
-        return F.least(F.radians(F.lit(width)), east) * (0.999999 * geo.EARTH_M)
-
 
 def _around(df: DataFrame, width: float) -> DataFrame:
     """Each row once for its cell and the eight around it."""
@@ -89,15 +92,23 @@ def _celled(targets: DataFrame, width: float) -> DataFrame:
     return own.withColumn("_cx", F.floor(F.col("_x") / width)).withColumn("_cy", F.floor(F.col("_y") / width))
 
 
+def _cells(targets: DataFrame, distance, level: int, side: float, x0: float, y0: float) -> DataFrame:
+    """(_cell, parent, cell): the cells of a level that hold targets; cell is a struct (id, x, y, r, n): the mean place of its targets, the distance within which all of them lie, their number."""
+    at = lambda p: F.struct(F.floor((F.col("x") - x0) * (FAN**p / side)).alias("i"), F.floor((F.col("y") - y0) * (FAN**p / side)).alias("j"))
+    placed = targets.select("x", "y", at(level).alias("_cell"), at(level - 1).alias("parent"))
+    middles = placed.groupBy("_cell").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    r = F.max(distance.between(F.col("x"), F.col("y"), F.col("mx"), F.col("my")))
+    sized = placed.join(middles, "_cell").groupBy("_cell", "parent", "mx", "my").agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
+    return sized.select("_cell", "parent", F.struct(F.col("_cell").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("r").alias("r"), F.col("n").alias("n")).alias("cell"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar, round_to: int | None = None) -> DataFrame:
-    """points with near, an array of the k nearest targets as structs (d, target_id, value), by distance (rounded if asked for) and then id; targets: (target_id, x, y, value).
+    """points with near, an array of the k nearest targets as structs (d, target_id, value), by distance (rounded if asked for) and then id; targets: (target_id, x, y, value). A point without a coordinate has null.
 
-    Up to ARRAY_ROWS targets are broadcast as one array. More of them are found on a grid whose cells hold a few targets at first, by the counts of the targets' own cells: a target stands in its cell and those around it,
-    a point is held against the targets of its cell, the answer is final when the k-th lies nearer than anything outside them can, and the rest is asked again on cells four times as wide. Points for which that takes cells as
-    wide as all targets are held against all targets, in blocks.
+    Up to ARRAY_ROWS targets are broadcast as one array. More of them are gathered in cells, FAN by FAN to a cell of the level above, until a cell holds few. A point goes down the levels: a cell lies between d - r and d + r away,
+    d being the distance to its mean place and r its radius (so any metric will do); the nearest cells that hold k targets together set the bound, and cells that begin beyond it are left out. Only the targets of the cells left
+    at the end are measured. A point far from all targets is like any other.
     """
-    from wardlight.plans.session import cut_lineage
-
     n, x0, x1, y0, y1 = targets.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     measure = lambda tx, ty: F.round(distance.between(F.col("x"), F.col("y"), tx, ty), round_to) if round_to is not None else distance.between(F.col("x"), F.col("y"), tx, ty)
     if n <= ARRAY_ROWS:
@@ -105,39 +116,42 @@ def nearest(points: DataFrame, targets: DataFrame, k: int = 1, distance=planar,
         scored = F.transform("_targets", lambda t: F.struct(measure(t["x"], t["y"]).alias("d"), t["target_id"].alias("target_id"), t["value"].alias("value")))
         return points.join(F.broadcast(all_)).withColumn("near", F.slice(F.array_sort(scored), 1, k)).drop("_targets")
     k = min(k, n)
-    own = targets.select("target_id", "value", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    near_target = F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), "target_id", "value")
-
-    def k_best(pairs: DataFrame) -> DataFrame:
-        """(point_id, near) from (point_id, t); more than one in two steps, so that no array holds all candidates of a crowded cell."""
-        if k == 1:
-            return pairs.groupBy("point_id").agg(F.array(F.min("t")).alias("near"))
+    side = max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9)
+    levels = 1
+    while n / FAN ** (2 * levels) > 32 and levels < 8:
+        levels += 1
+    # distances are rounded, then ids decide: a cell that begins within a rounding of the bound still counts
+    slack = 1e-9 + (10.0**-round_to if round_to is not None else 0.0)
+
+    def kept(cells: Column, bound: Column) -> tuple[Column, Column]:
+        """The cells that may hold one of the k nearest, and the bound."""
+        away = F.transform(cells, lambda c: F.struct((distance.between(F.col("x"), F.col("y"), c["x"], c["y"]) + c["r"]).alias("upto"), c["n"].alias("n"), c["r"].alias("r"), c["id"].alias("id")))
+        state = F.struct(F.lit(0).cast("long").alias("held"), bound.alias("bound"))
+        least = F.aggregate(F.array_sort(away), state, lambda s, c: F.struct((s["held"] + c["n"]).alias("held"), F.when((s["held"] < k) & (s["held"] + c["n"] >= k), F.least(s["bound"], c["upto"])).otherwise(s["bound"]).alias("bound")), lambda s: s["bound"])
+        return away, least
+
+    own = points.select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    top = _cells(targets, distance, 1, side, x0, y0).agg(F.collect_list("cell").alias("_cells"))  # FAN * FAN + 2 * FAN + 1 cells at most
+    asked = own.join(F.broadcast(top)).withColumn("_bound", F.lit(float("inf")))
+    for level in range(1, levels + 1):
+        if level > 1:
+            below = _cells(targets, distance, level, side, x0, y0).groupBy(F.col("parent").alias("_cell")).agg(F.collect_list("cell").alias("_cells"))
+            below = F.broadcast(below) if n <= BROADCAST_TARGETS else below
+            asked = asked.join(below, "_cell")
+        away, least = kept(F.col("_cells"), F.col("_bound"))
+        asked = asked.select("point_id", "x", "y", away.alias("_away"), least.alias("_bound"))
+        near = F.filter("_away", lambda c: c["upto"] - 2 * c["r"] <= F.col("_bound") * (1 + 1e-9) + slack)
+        asked = asked.select("point_id", "x", "y", "_bound", F.explode(F.transform(near, lambda c: c["id"])).alias("_cell"))
+    at = F.struct(F.floor((F.col("x") - x0) * (FAN**levels / side)).alias("i"), F.floor((F.col("y") - y0) * (FAN**levels / side)).alias("j"))
+    leaves = targets.select("target_id", "value", F.col("x").alias("_x"), F.col("y").alias("_y"), at.alias("_cell"))
+    pairs = asked.join(F.broadcast(leaves) if n <= BROADCAST_TARGETS else leaves, "_cell").select("point_id", F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), "target_id", "value").alias("t"))
+    if k == 1:
+        best = pairs.groupBy("point_id").agg(F.array(F.min("t")).alias("near"))
+    else:  # in two steps, so that no array holds all targets of a crowded place
         some = F.slice(F.array_sort(F.collect_list("t")), 1, k)
         parts = pairs.groupBy("point_id", F.pmod(F.xxhash64("t.target_id"), F.lit(16)).alias("_p")).agg(some.alias("_some"))
-        return parts.groupBy("point_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, k).alias("near"))
-
-    extent = max(x1 - x0, y1 - y0, 1e-9)
-    width = _cell_width(targets, n, extent, k)
-    left, found = points, None
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    while width < 2 * extent:
-        cells = own.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
-        cells = cells.select("target_id", "value", "_x", "_y", (F.floor(F.col("_x") / width) + F.col("_i")).alias("_cx"), (F.floor(F.col("_y") / width) + F.col("_j")).alias("_cy"))
-        cells = F.broadcast(cells) if n <= BROADCAST_TARGETS else cells
-        asked = left.select("point_id", "x", "y", F.floor(F.col("x") / width).alias("_cx"), F.floor(F.col("y") / width).alias("_cy"))
-        best = k_best(asked.join(cells, ["_cx", "_cy"]).select("point_id", near_target.alias("t")))
-        tried = cut_lineage(left.join(best, "point_id", "left"))
-        final = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["d"] < distance.bound(F.col("x"), F.col("y"), width)), F.lit(False))
-        found = tried.where(final) if found is None else found.unionByName(tried.where(final))
-        left = tried.where(~final).drop("near")
-        if left.isEmpty():
-            return found
-        width *= 4
-    salts = 64
-    dealt = left.select("point_id", "x", "y", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("_salt"))
-    blocks = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    last = left.join(k_best(dealt.join(blocks, "_salt").select("point_id", near_target.alias("t"))), "point_id")
-    return last if found is None else found.unionByName(last)
+        best = parts.groupBy("point_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, k).alias("near"))
+    return points.join(best, "point_id", "left")
 
 
 def _cell_width(targets: DataFrame, n: int, extent: float, k: int) -> float:
@@ -228,10 +242,16 @@ def nearest_vertex(points: DataFrame, polys: DataFrame, buffer_m: float, lat: fl
     return pairs.groupBy("point_id").agg(F.min_by("poly_id", F.struct("d2", "ordinal")).alias("poly_id"))
 
 
-def box_overlaps(a: DataFrame, b: DataFrame, tile: float = 0.25) -> DataFrame:
-    """(a_id, b_id, overlap, share_of_a, share_of_b) of axis-parallel boxes (id, x0, y0, x1, y1) that share area, joined on tiles."""
-    tiled = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")], _tiles(F.col("x0"), F.col("x1"), tile).alias("_tx"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1")).select("*", _tiles(F.col("_y0"), F.col("_y1"), tile).alias("_ty")).drop("_y0", "_y1")
-    pairs = tiled(a, "a_").join(tiled(b, "b_"), ["_tx", "_ty"]).drop("_tx", "_ty").distinct()
+def box_overlaps(a: DataFrame, b: DataFrame, tile: float | None = None) -> DataFrame:
+    """(a_id, b_id, overlap, share_of_a, share_of_b) of axis-parallel boxes (id, x0, y0, x1, y1) that share area, joined on tiles as wide as the wider side's mean box; a pair is made in the tile of the lower left corner of what it shares."""
+    sides = [df.select(*[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")]) for df in (a, b)]
+    (wa, bytes_a), (wb, bytes_b) = (_measured(df, F.lit(2)) for df in sides)
+    width = tile or max(wa, wb)
+    tiled = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "x0", "y0", "x1", "y1")], _tiles(F.col("x0"), F.col("x1"), width).alias("_tx"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1")).select("*", _tiles(F.col("_y0"), F.col("_y1"), width).alias("_ty")).drop("_y0", "_y1")
+    left, right = tiled(a, "a_"), tiled(b, "b_")
+    right = F.broadcast(right) if bytes_b * max(1.0, wb / width) ** 2 <= BROADCAST_BYTES else right
+    corner = lambda k: F.floor(F.greatest(F.col(f"a_{k}0"), F.col(f"b_{k}0")) / width)
+    pairs = left.join(right, ["_tx", "_ty"]).where((F.col("_tx") == corner("x")) & (F.col("_ty") == corner("y"))).drop("_tx", "_ty")
     w = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     h = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     area = lambda p: (F.col(p + "x1") - F.col(p + "x0")) * (F.col(p + "y1") - F.col(p + "y0"))
