@@ -43,7 +43,7 @@ def _(v):
     u as (unpivot m on customers, balance, richest into name metric value val)
     select metric, round(max(val) filter (where r=0),4) own, round(max(val) filter (where r=1),4) other, round(max(val) filter (where r=0)/nullif(max(val) filter (where r=1),0),6) ratio from u group by 1""")
 def _(v):
-    j = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     m = j.groupBy(F.col("n_regionkey").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("customers"), F.avg("c_acctbal").alias("balance"), F.max("c_acctbal").alias("richest"))
     by_metric = m.unpivot("r", ["customers", "balance", "richest"], "metric", "val").groupBy("metric").agg(F.map_from_entries(F.collect_list(F.struct("r", "val"))).alias("of"))  # an entry for each region
     own, other = F.try_element_at("of", F.lit(0)), F.try_element_at("of", F.lit(1))

@@ -116,6 +116,6 @@ def _(v):
     k, n = F.col("s_suppkey") % 4, F.col("s_nationkey")
     name = F.when(k == 0, F.concat(F.lit("old "), F.col("known"), F.lit(" north"))).when(k == 1, F.left("known", 7 + n % 2)).when(k == 2, F.col("known")).otherwise("elsewhere")
     code = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" n"), n.cast("string"), F.lit(" ")))
-    rows = v.table("supplier").join(F.broadcast(nations), "s_nationkey").select(F.col("s_suppkey").alias("id"), code.alias("code"), name.alias("name"))
+    rows = v.table("supplier").join(nations, "s_nationkey").select(F.col("s_suppkey").alias("id"), code.alias("code"), name.alias("name"))
     stations = nations.select(F.col("s_nationkey").alias("station"), F.when(n % 2 == 0, F.concat(F.lit("N"), n.cast("string"))).alias("code"), F.col("known").alias("name"), F.col("s_nationkey").alias("position"))
     return transit.code_or_name(rows, stations)

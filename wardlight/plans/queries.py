@@ -256,7 +256,7 @@ def _(v):
 @query("J27_roster", "", """
     with r as (select n_nationkey k, string_agg(s_name, '; ' order by s_suppkey) members from supplier join nation on cast(regexp_extract(n_name,'([0-9]+)',1) as int)=s_nationkey group by 1) select k ward, members from r""")
 def _(v):
-    s = v.table("supplier").join(F.broadcast(v.table("nation").withColumn("k", coerce.digits_only(F.col("n_name")))), F.col("k") == F.col("s_nationkey"))
+    s = v.table("supplier").join(v.table("nation").withColumn("k", coerce.digits_only(F.col("n_name"))), F.col("k") == F.col("s_nationkey"))
     names = F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name")))
     return s.groupBy(F.col("n_nationkey").alias("ward")).agg(F.array_join(F.transform(names, lambda x: x["s_name"]), "; ").alias("members"))
 
@@ -286,7 +286,7 @@ def _(v):
 
 @query("A5_weighted_parent_mean", "", "select n_regionkey region, round(sum(c_acctbal*c_custkey)/sum(c_custkey),4) mean, count(distinct n_nationkey) units from customer join nation on c_nationkey=n_nationkey group by 1")
 def _(v):
-    j = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy(F.col("n_regionkey").alias("region")).agg(F.round(F.sum(F.col("c_acctbal") * F.col("c_custkey")) / F.sum("c_custkey"), 4).alias("mean"), F.count_distinct("n_nationkey").alias("units"))
 
 
@@ -438,7 +438,7 @@ def _(v):
 @query("A30_scorecard", "", """
     select n_regionkey region, count(*) filter (where c_mktsegment='BUILDING') city, count(*) filter (where c_mktsegment in ('MACHINERY','FURNITURE')) state, count(*) total, round(count(*) filter (where c_mktsegment='BUILDING')*100e0/count(*),4) pct from customer join nation on c_nationkey=n_nationkey group by 1""")
 def _(v):
-    j = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     seg = F.col("c_mktsegment")
     return j.groupBy(F.col("n_regionkey").alias("region")).agg(F.count_if(seg == "BUILDING").alias("city"), F.count_if(seg.isin("MACHINERY", "FURNITURE")).alias("state"), F.count(F.lit(1)).alias("total"), F.round(F.count_if(seg == "BUILDING") * 100.0 / F.count(F.lit(1)), 4).alias("pct"))
 
@@ -962,7 +962,7 @@ def _(v):
     select p.ward, round(b*100e0/n,4) share, round(a/n,2) per_resident from p left join s using (ward)""")
 def _(v):
     s = v.budget().groupBy("ward").agg(F.sum("amount").alias("a"))
-    c = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     p = c.groupBy(F.col("n_name").alias("ward")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("b"))
     return p.join(s, "ward", "left").select("ward", F.round(F.col("b") * 100.0 / F.col("n"), 4).alias("share"), F.round(coerce.ratio(F.col("a"), F.col("n")), 2).alias("per_resident"))
 
@@ -977,7 +977,7 @@ def _(v):
 @query("X9_crosswalk", "wards", """
     select w.name ward, r_name ac, lpad(w.poly_id::varchar,2,'0') ward_no, count(*) over (partition by r_name) wards_of_ac from wards w join region on region=r_regionkey""")
 def _(v):
-    w = v.wards().join(F.broadcast(v.table("region")), F.col("region") == F.col("r_regionkey"))
+    w = v.wards().join(v.table("region"), F.col("region") == F.col("r_regionkey"))
     n = w.groupBy("r_name").agg(F.count(F.lit(1)).alias("wards_of_ac"))
     return w.join(n, "r_name").select(F.col("name").alias("ward"), F.col("r_name").alias("ac"), F.lpad(F.col("poly_id").cast("string"), 2, "0").alias("ward_no"), "wards_of_ac")
 
@@ -992,7 +992,7 @@ def _(v):
     with n as (select region, count(p.target_id) n from wards w left join libraries p on {IN_WARD} group by 1) select coalesce(r_name,'?') name, n from n left join region on region=r_regionkey order by n, name limit 3""")
 def _(v):
     n = v.wards().select("poly_id", "region").join(spatial.count_per_polygon(v.libraries().withColumnRenamed("target_id", "point_id"), v.wards()), "poly_id").groupBy("region").agg(F.sum("n").alias("n"))
-    j = n.join(F.broadcast(v.table("region")), F.col("region") == F.col("r_regionkey"), "left")
+    j = n.join(v.table("region"), F.col("region") == F.col("r_regionkey"), "left")
     return j.select(F.coalesce("r_name", F.lit("?")).alias("name"), "n").orderBy("n", "name").limit(3)
 
 
@@ -1220,7 +1220,7 @@ def _(v):
 
 @query("X20_scorecard_cuts", "", "select * from (select 'best' cut, n_name as name, b from (select n_name, round(sum(c_acctbal),2) b from customer join nation on c_nationkey=n_nationkey group by 1 order by 2 desc, 1 limit 3) union all select 'worst', n_name, b from (select n_name, round(sum(c_acctbal),2) b from customer join nation on c_nationkey=n_nationkey group by 1 order by 2, 1 limit 3))")
 def _(v):
-    t = v.table("customer").join(F.broadcast(v.table("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.round(F.sum("c_acctbal"), 2).alias("b"))
+    t = v.table("customer").join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("name")).agg(F.round(F.sum("c_acctbal"), 2).alias("b"))
     return t.orderBy(F.desc("b"), "name").limit(3).withColumn("cut", F.lit("best")).unionByName(t.orderBy("b", "name").limit(3).withColumn("cut", F.lit("worst")))
 
 

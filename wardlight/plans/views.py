@@ -50,7 +50,7 @@ class Views:
     def budget(self) -> DataFrame:
         """(line_id, doc, section, head, contractor, ward, amount, fy_start, basis, confidence): a line of an order each."""
         li, pa, su, na = self.table("lineitem"), self.table("part"), self.table("supplier"), self.table("nation")
-        joined = li.join(pa, li["l_partkey"] == pa["p_partkey"]).join(su, li["l_suppkey"] == su["s_suppkey"]).join(F.broadcast(na), su["s_nationkey"] == na["n_nationkey"])
+        joined = li.join(pa, li["l_partkey"] == pa["p_partkey"]).join(su, li["l_suppkey"] == su["s_suppkey"]).join(na, su["s_nationkey"] == na["n_nationkey"])
         return joined.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), F.pmod(F.col("l_orderkey"), F.lit(50)).alias("doc"), F.col("p_brand").alias("section"), F.col("p_type").alias("head"),
             F.col("s_name").alias("contractor"), F.col("n_name").alias("ward"), F.col("l_extendedprice").cast("double").alias("amount"), coerce.fiscal_start(F.to_date("l_shipdate")).alias("fy_start"),
