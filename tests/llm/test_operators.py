@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -442,6 +443,38 @@ def test_scores_are_sums_over_paragraphs():
                 want[id(up)] += points if away == 0 else points / 2 if away == 1 else points / (3 * away)
                 up, away = up.parent, away + 1
         assert all(n.score == pytest.approx(want[id(n)]) for n in nodes)
+    deep = tree_extract.Tree()
+    deep.feed("<section>" * 40 + "<p>" + "word " * 30 + "</p>" + "</section>" * 40)
+    nodes = tree_extract.in_order(deep.root)
+    tree_extract.score(nodes)
+    points = 1 + 1.49
+    up = [n.score for n in reversed(nodes) if n.tag == "section"]
+    assert up[:34] == pytest.approx([points, points / 2, *[points / (3 * k) for k in range(2, 32)], points / 96, points / 192])
+
+
+def test_articles_in_articles():
+    text = "one, two, three, four, five, six. " * 9
+    assert tree_extract.main_text(f"<article><article><p>{text}</p></article><article><p>{text}</p></article></article>") == "\n\n".join([text.strip()] * 2)
+
+
+def test_extraction_takes_time_in_proportion():
+    """Nested elements, articles between comments, and articles in articles: four times the page may not take sixteen times the time."""
+    pages = {
+        "nested": lambda n: "<div>text, " * n + "</div>" * n, "comments": lambda n: "".join(f"<article>one, two {i}</article><div class=comment>no {i}</div>" for i in range(n)),
+        "articles": lambda n: "<article><p>text, here</p><div class=sidebar>x</div>" * n + "</article>" * n, "titles": lambda n: "<h1>a title</h1><p>text, here and there, and more</p>" * n,
+    }
+    for name, page in pages.items():
+        took = []
+        for n in (4000, 16000):
+            best = min(_seconds(tree_extract.main_text, page(n)) for _ in range(2))
+            took.append(best)
+        assert took[1] < 8 * took[0] + 0.2, (name, took)
+
+
+def _seconds(f, x):
+    began = time.perf_counter()
+    f(x)
+    return time.perf_counter() - began
 
 
 def test_language_held_out(spark):

@@ -60,6 +60,8 @@ SIBLING_SHARE, LONG_PARAGRAPH, FEW_LINKS = 0.2, 80, 0.25
 MOSTLY_LINKS = 0.5
 #: A form or an article with a name in NAMES stays from this share of the page's text outside links on, another named element from the second.
 MOST_TEXT, NEARLY_ALL = 0.5, 0.75
+#: Levels up to which points are divided by three times the level; what passes further up is halved at each.
+DEEP = 32
 
 
 class Node:
@@ -171,34 +173,46 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def within(node: Node | None, outer: Node) -> bool:
-    while node and node is not outer:
-        node = node.parent
-    return node is outer
-
-
 def settle(nodes: list[Node]) -> None:
     """Drop the doubtful elements that don't hold the page's main text; nodes: all elements, each before what it holds.
 
-    One stays that holds most of the text, unless an article or main element without such a name stands elsewhere; a named article stays too where no other article does.
+    One stays that holds most of the text, unless an article or main element without such a name stands elsewhere; a named article stays too where no other article does. Whether one element holds another follows from their
+    places in the page, so a page takes time in proportion to its length.
     """
     if not any(n.doubtful for n in nodes):
         return
     weight: dict[Node, int] = {}
-    for node in reversed(nodes):
+    place = {node: i for i, node in enumerate(nodes)}
+    past = list(range(1, len(nodes) + 1))  # the place after the last element that each holds
+    for i in range(len(nodes) - 1, -1, -1):
+        node = nodes[i]
+        if node.parent:
+            up = place[node.parent]
+            past[up] = max(past[up], past[i])
         if not node.dropped and node.tag != "a":
             weight[node] = sum(len(c) - c.count(" ") if isinstance(c, str) else weight.get(c, 0) for c in node.children)
     whole = weight[nodes[0]]
-    marked = [n for n in nodes if n.tag in ARTICLES and not n.doubtful and weight.get(n)]
-    for node in nodes:
+    marked = [n.tag in ARTICLES and not n.doubtful and bool(weight.get(n)) for n in nodes]
+    # how many marked elements, and marked articles, stand before each place
+    upto, articles = [0], [0]
+    for node, is_marked in zip(nodes, marked, strict=True):
+        upto.append(upto[-1] + is_marked)
+        articles.append(articles[-1] + (is_marked and node.tag == "article"))
+    before = 0  # marked elements before the place that are not dropped
+    around = [0] * len(nodes)  # those of them that hold the element
+    for i, node in enumerate(nodes):
+        if node.parent:
+            up = place[node.parent]
+            around[i] = around[up] + (marked[up] and not nodes[up].dropped)
         if node.parent and node.parent.dropped:
             node.dropped = True
         elif node.doubtful:
             share = weight.get(node, 0) / whole if whole else 0.0
-            rivals = [m for m in marked if not m.dropped and not within(m, node) and not within(node, m)]
-            alone = node.tag == "article" and not any(m.tag == "article" and not within(m, node) for m in marked)
+            rivals = before - around[i] + upto[-1] - upto[past[i]]
+            alone = node.tag == "article" and articles[-1] == articles[past[i]] - articles[i]
             most = MOST_TEXT if node.tag in ("form", "article") else NEARLY_ALL
             node.dropped = not (alone or share > most and not rivals)
+        before += marked[i] and not node.dropped
 
 
 def in_order(root: Node) -> list[Node]:
@@ -238,6 +252,7 @@ def score(nodes: list[Node]) -> None:
             elif not c.dropped:
                 node.size += c.size
                 node.links += c.size if node.tag == "a" else c.links
+    far: dict[Node, float] = {}
     for node in nodes:
         if node.tag not in PARAGRAPHS or not (text := own_text(node)):
             continue
@@ -247,9 +262,16 @@ def score(nodes: list[Node]) -> None:
             points = len(text) / FULL
         points *= 1 - node.density()
         up, level = (node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") else node), 0
-        while up:
+        while up and level < DEEP:
             up.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
             up, level = up.parent, level + 1
+        if up:
+            far[up] = far.get(up, 0.0) + points / (3 * DEEP)
+    for node in reversed(nodes) if far else ():  # what reaches an element from further below is halved at each level above
+        if points := far.pop(node, 0.0):
+            node.score += points
+            if node.parent:
+                far[node.parent] = far.get(node.parent, 0.0) + points / 2
 
 
 def kept_parts(nodes: list[Node]) -> list[Node]:
@@ -265,8 +287,12 @@ def kept_parts(nodes: list[Node]) -> list[Node]:
             break
         up = up.parent
     if best.tag == "article":
+        up = best.parent
+        while up:  # an article in an article is part of it
+            best, up = up if up.tag == "article" else best, up.parent
         prose = lambda n: (n.score - MARKED) * (1 - n.density())
-        top = [n for n in nodes if n.tag == "article" and not held_by(n, "article")]
+        inner = held(nodes, [n for n in nodes if n.tag == "article"])
+        top = [n for n in nodes if n.tag == "article" and n.parent not in inner]
         return headed(nodes, [n for n in top if n is best or prose(n) >= SIBLING_SHARE * prose(best) and n.density() < MOSTLY_LINKS])
     if best.tag in ARTICLES or not best.parent:
         around = [best]
@@ -282,24 +308,31 @@ def kept_parts(nodes: list[Node]) -> list[Node]:
     return headed(nodes, parts)
 
 
-def held_by(node: Node, tag: str) -> bool:
-    node = node.parent
-    while node and node.tag != tag:
-        node = node.parent
-    return node is not None
+def held(nodes: list[Node], outer: list[Node]) -> set[Node]:
+    """The outer elements and all that stand in them; nodes: each before what it holds."""
+    found = set(outer)
+    for node in nodes:
+        if node.parent in found:
+            found.add(node)
+    return found
 
 
 def headed(nodes: list[Node], parts: list[Node]) -> list[Node]:
     """The parts with the last first-level heading before them, where they hold none."""
-    first = next(i for i, n in enumerate(nodes) if n is parts[0])
-    if any(n.tag == "h1" and any(within(n, p) for p in parts) for n in nodes):
+    if any(n.tag == "h1" for n in held(nodes, parts)):
         return parts
-    before = [n for n in nodes[:first] if n.tag == "h1" and n.size and n.density() < MOSTLY_LINKS]
-    return before[-1:] + parts
+    before: list[Node] = []
+    for node in nodes:
+        if node is parts[0]:
+            break
+        if node.tag == "h1" and node.size and node.density() < MOSTLY_LINKS:
+            before = [node]
+    return before + parts
 
 
-def blocks(parts: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], parts: list[Node]) -> list[str]:
     """Text blocks of the parts in page order."""
+    in_articles = held(nodes, [n for n in nodes if n.tag == "article"])
     found, run = [], []
 
     def end() -> None:
@@ -308,7 +341,7 @@ def blocks(parts: list[Node]) -> list[str]:
         run.clear()
 
     for part in parts:
-        whole = part.tag == "article" or held_by(part, "article")  # an article's lists are its text
+        whole = part in in_articles  # an article's lists are its text
         stack: list[Node | str | None] = [part]
         while stack:
             c = stack.pop()
@@ -336,7 +369,7 @@ def main_text(html: str) -> str:
     settle(tree.nodes)
     nodes = in_order(tree.root)
     score(nodes)
-    return "\n\n".join(blocks(kept_parts(nodes)))
+    return "\n\n".join(blocks(nodes, kept_parts(nodes)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
