@@ -416,6 +416,58 @@ def test_main_text_keeps_all_articles_and_notes():
     assert got == "\n\n".join([*PROSE, "Another article, of the same page, with text of its own.", "A note of the author, to keep."])
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_lattice_finds_planted_links(spark, n):
+    """Thousands of links of cosines from 0.90 to 0.99, strangers that crowd in one direction below the limit, and vectors at random; held against all cosines."""
+    rnd = np.random.default_rng(n)
+    base = rnd.normal(size=(n, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aim = rnd.uniform(0.9, 0.99, n)
+    off = rnd.normal(size=base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    planted = aim[:, None] * base + np.sqrt(1 - aim**2)[:, None] * off
+    crowd = rnd.normal(size=(300, 64)) * 0.068 + base[0]  # some 0.77 to each other
+    x = np.concatenate([base, planted, crowd])
+    rows = [(i, v) for i, v in enumerate((x * rnd.uniform(0.1, 9, (len(x), 1))).tolist())]
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    exact = [int((u @ u[i] >= 0.9).sum()) - 1 for i in range(len(u))]
+    found, there = sum(got.values()), sum(exact)
+    print(f"recall {found}/{there} = {found / there:.5f}")
+    assert len(got) == len(x) and there >= 2 * 0.99 * n and found >= 0.99 * there and all(got[i] <= exact[i] for i in range(len(x)))
+
+
+def test_scopes_of_threads(spark):
+    """Two threads' scopes don't end each other's tables."""
+    import threading
+
+    from wardlight.llm.common import materialize, scratch
+
+    held, failed = threading.Barrier(2), []
+
+    def work(first):
+        try:
+            with scratch():
+                table = materialize(spark.range(10))
+                held.wait(60)
+                if not first:
+                    held.wait(60)  # the other's scope has ended
+                assert table.count() == 10
+            if first:
+                held.wait(60)
+        except Exception as e:  # noqa: BLE001  reported below
+            failed.append(e)
+            held.abort()
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in (True, False)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+
+
 def test_scores_are_sums_over_paragraphs():
     """Every element's score against a sum over all paragraphs below it, on random trees."""
     rnd = random.Random(7)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,7 +22,9 @@ HOT_SHARE, HOT_ROWS = 0.001, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 Place = tuple[SparkSession, str]
-_SCOPES: list[list[Place]] = [[]]
+#: Tables that live until the driver ends, and the scopes that this thread (or task of an event loop) is in.
+_LASTING: list[Place] = []
+_SCOPES: ContextVar[tuple[list[Place], ...]] = ContextVar("scopes", default=(_LASTING,))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +45,8 @@ def materialize(df: DataFrame, outer: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wardlight-{uuid.uuid4().hex}"
-    _SCOPES[max(0, len(_SCOPES) - 2) if outer else -1].append((spark, path))
+    scopes = _SCOPES.get()
+    scopes[max(0, len(scopes) - 2) if outer else -1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,14 +65,16 @@ def _remove(tables: list[Place]) -> None:
 @contextmanager
 def scratch():
     """Tables that materialize() writes inside are removed at the end; what is to outlive it is written with outer=True."""
-    _SCOPES.append([])
+    own: list[Place] = []
+    before = _SCOPES.set((*_SCOPES.get(), own))
     try:
         yield
     finally:
-        _remove(_SCOPES.pop())
+        _SCOPES.reset(before)
+        _remove(own)
 
 
-atexit.register(lambda: [_remove(tables) for tables in _SCOPES])
+atexit.register(lambda: _remove(_LASTING))
 
 
 @contextmanager
