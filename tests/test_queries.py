@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wardlight.plans import checks, composites, feeds, forms, geometry, texts  # noqa: F401  register their queries
+from wardlight.plans import checks, cities, composites, feeds, forms, geometry, texts  # noqa: F401  register their queries
 from wardlight.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions import forms
 from wardlight.plans.session import cut_lineage
 
 #: Fields that hold a link or its title, the first filled one counts.
@@ -51,6 +52,8 @@ class _Tables(HTMLParser):
         self.cells: list[tuple] = []
         self.frames: list[str] = []
         self.claims: list[str] = []
+        self.anchors: list[tuple[str, str]] = []
+        self.anchor: tuple[str, list[str]] | None = None
         self.stack: list[dict] = []
         self.tables = self.hidden = 0
 
@@ -58,6 +61,9 @@ class _Tables(HTMLParser):
         given = dict(attrs)
         if (claim := given.get("data-claim-id")) and "${" not in claim and claim not in self.claims:
             self.claims.append(claim)
+        if tag == "a":
+            self._end_anchor()
+            self.anchor = (given["href"], []) if given.get("href") else None
         if tag in self.VOID_TEXT:
             self.hidden += 1
         elif tag == "iframe" and given.get("src"):
@@ -85,6 +91,8 @@ class _Tables(HTMLParser):
                 table["cell"]["words"].append(" ")
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self._end_anchor()
         if tag in self.VOID_TEXT:
             self.hidden = max(0, self.hidden - 1)
         elif self.stack and tag in ("td", "th", "tr"):
@@ -95,7 +103,14 @@ class _Tables(HTMLParser):
         elif self.stack and self.stack[-1]["cell"] is not None:
             self.stack[-1]["cell"]["words"].append(" ")
 
+    def _end_anchor(self) -> None:
+        if self.anchor:
+            self.anchors.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
+        self.anchor = None
+
     def handle_data(self, data: str) -> None:
+        if not self.hidden and self.anchor:
+            self.anchor[1].append(data)
         if not self.hidden and self.stack and self.stack[-1]["cell"] is not None:
             self.stack[-1]["cell"]["words"].append(data)
 
@@ -114,6 +129,7 @@ class _Tables(HTMLParser):
 
     def close(self) -> None:
         super().close()
+        self._end_anchor()
         while self.stack:
             self._end_cell()
             self.stack.pop()
@@ -121,14 +137,17 @@ class _Tables(HTMLParser):
 
 CELL = pa.struct([("table", pa.int32()), ("row", pa.int32()), ("column", pa.int32()), ("header", pa.bool_()), ("spanned", pa.bool_()), ("text", pa.string()), ("links", pa.list_(pa.string()))])
 
+ANCHOR = pa.struct([("href", pa.string()), ("label", pa.string())])
+
 
 def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, cells, frames, claims) of each page: cells as structs (table, row, column, header, spanned, text, links) in the page's order, addresses of frames, and ids of claims, each once. A null page has empty arrays."""
+    """(id, cells, frames, claims, anchors) of each page: cells as structs (table, row, column, header, spanned, text, links) in the page's order, addresses of frames, ids of claims, each once, and anchors as structs
+    (href, label). A null page has empty arrays."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells, frames, claims = [], [], []
+            cells, frames, claims, anchors = [], [], [], []
             for html in batch.column(1).to_pylist():
                 page = _Tables()
                 page.feed(html or "")
@@ -136,10 +155,11 @@ def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
                 cells.append([dict(zip(("table", "row", "column", "header", "spanned", "text", "links"), c, strict=True)) for c in page.cells])
                 frames.append(page.frames)
                 claims.append(page.claims)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(CELL)), pa.array(frames, pa.list_(pa.string())), pa.array(claims, pa.list_(pa.string()))], [id_col, "cells", "frames", "claims"])
+                anchors.append([{"href": h, "label": label} for h, label in page.anchors])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(CELL)), pa.array(frames, pa.list_(pa.string())), pa.array(claims, pa.list_(pa.string())), pa.array(anchors, pa.list_(ANCHOR))], [id_col, "cells", "frames", "claims", "anchors"])
 
     kind = "array<struct<table:int,row:int,column:int,header:boolean,spanned:boolean,text:string,links:array<string>>>"
-    return pages.select(id_col, html_col).mapInArrow(parsed, f"`{id_col}` {id_type}, cells {kind}, frames array<string>, claims array<string>")
+    return pages.select(id_col, html_col).mapInArrow(parsed, f"`{id_col}` {id_type}, cells {kind}, frames array<string>, claims array<string>, anchors array<struct<href:string,label:string>>")
 
 
 def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -177,3 +197,23 @@ def locations(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     framed = F.get(F.filter(F.transform("frames", map_point), lambda p: p.isNotNull()), F.lit(0))
     point = F.coalesce(map_point(link), F.when(F.col("no") == 0, framed))
     return found.select(id_col, F.col("_p.name").alias("name"), F.col("_p.address").alias("address"), point.alias("_at")).select(id_col, "name", "address", "_at.lat", "_at.lon", "_at.source")
+
+
+def finance_links(pages: DataFrame, keywords: list[str], kind: str, id_col: str = "page_id", html_col: str = "html", base_col: str = "url") -> DataFrame:
+    """(id, year, label, url): anchors with a keyword and a document's address, of a year that the label or else the address names (see forms.year_of_link); a year and address that a page has twice count once, the first of them.
+
+    A blank label is the kind and the year; addresses are resolved against the page's.
+    """
+    anchors = page_parts(pages.select(id_col, html_col), id_col, html_col).select(id_col, F.posexplode("anchors").alias("at", "a"))
+    told = F.lower(F.concat_ws(" ", "a.label", "a.href"))
+    wanted = F.lit(False)
+    for k in keywords:
+        wanted = wanted | F.contains(told, F.lit(k.lower()))
+    kept = anchors.where(wanted & told.rlike(r"\.pdf|viewfile")).withColumn("year", F.coalesce(forms.year_of_link(F.col("a.label")), forms.year_of_link(F.col("a.href")))).where("year is not null")
+    based = kept.join(pages.select(id_col, F.col(base_col).alias("_base")), id_col)
+    href, base = F.trim("a.href"), F.col("_base")
+    host = F.regexp_extract(base, r"^([a-z]+://[^/]+)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
+    url = F.when(href.rlike("^[a-z]+:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), href)).when(F.startswith(href, F.lit("/")), F.concat(host, href)).otherwise(F.concat(folder, href))
+    first = based.withColumn("url", url).groupBy(id_col, "year", "url").agg(F.min_by("a.label", "at").alias("label"))
+    return first.select(id_col, "year", F.when(F.col("label") == "", F.concat(F.lit(f"{kind} "), F.col("year"))).otherwise(F.col("label")).alias("label"), "url")
