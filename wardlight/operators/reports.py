@@ -100,19 +100,28 @@ def section(text: Column, headings: list[str], size: int) -> Column:
 def adds_up(numbers: Column, of: int = 6, columns: tuple[int, int, int] = (0, 1, 2)) -> Column:
     """Of the runs of so many neighbours among numbers, the first in which two columns make a third; null without one. The run that begins the row is tried first."""
     a, b, total = columns
-    starts = F.sequence(F.lit(0), F.greatest(F.size(numbers) - of, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.slice(numbers, i + 1, F.lit(of)))
-    return F.get(F.filter(runs, lambda r: (F.size(r) == of) & (F.get(r, F.lit(a)) + F.get(r, F.lit(b)) == F.get(r, F.lit(total)))), F.lit(0))
+
+    def first(n: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(n) - of, F.lit(0)))
+        runs = F.transform(starts, lambda i: F.slice(n, i + 1, F.lit(of)))
+        return F.get(F.filter(runs, lambda r: (F.size(r) == of) & (F.get(r, F.lit(a)) + F.get(r, F.lit(b)) == F.get(r, F.lit(total)))), F.lit(0))
+
+    return F.get(F.transform(F.array(numbers), first), F.lit(0))  # numbers is evaluated once
 
 
 def _last(found: Column) -> Column:
-    return F.get(found, F.size(found) - 1)
+    return F.try_element_at(found, F.lit(-1))
 
 
 def _all(text: Column, pattern: str, groups: int) -> Column:
     """Every match of a pattern as an array of its groups."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(1, groups + 1)]
-    return F.transform(parts[0], lambda _, i: F.array(*[F.get(p, i) for p in parts]))
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)])
+    return F.transform(parts, lambda m: F.array(*[m[f"g{k}"] for k in range(1, groups + 1)]))
+
+
+def _kept(value: Column, holds) -> Column:
+    """The value if the condition, a function of it, holds, else null; the value is evaluated once."""
+    return F.get(F.filter(F.array(value), lambda v: F.coalesce(holds(v), F.lit(False))), F.lit(0))
 
 
 def _after(text: Column, pattern: str) -> Column:
@@ -134,18 +143,18 @@ def members_of_table(text: Column) -> Column:
     """
     chunk = section(text, ["statement showing membership", "details of membership"], SECTION)
     plain = _all(chunk, r"(?im)^\s*Total\s+" + r"\s+".join(["([0-9,]+)"] * 6), 6)
-    strict = F.transform(_last(plain), whole_number)
-    strict = F.when(F.get(strict, F.lit(0)) + F.get(strict, F.lit(1)) == F.get(strict, F.lit(2)), strict)
+    strict = _kept(F.transform(_last(plain), whole_number), lambda n: F.get(n, F.lit(0)) + F.get(n, F.lit(1)) == F.get(n, F.lit(2)))
     loose = F.transform(F.filter(F.split(chunk, r"\n"), lambda x: F.trim(x).rlike(r"(?i)^\W*total\b")), lambda x: adds_up(numbers_in(x)))
-    return F.when(F.size(plain) > 0, strict).otherwise(F.get(F.filter(loose, lambda x: x.isNotNull()), F.lit(0)))
+    has_plain = chunk.rlike(r"(?im)^\s*Total\s+" + r"\s+".join(["[0-9,]+"] * 6))
+    return F.when(has_plain, strict).otherwise(F.get(F.filter(loose, lambda x: x.isNotNull()), F.lit(0)))
 
 
 def members_of_summary(text: Column) -> Column:
     """The same six figures of the summary lines: members, and all issues; nulls for the issues of adults and children."""
-    one = _all(text, r"(?i)Total Membership[^\n:]*?\([^\n]*?Adult[-\s]*([0-9, ]+)[^\n]*?Children[-\s]*([0-9, ]+)\)[^:\n]*:\s*([0-9, ]+)", 3)
-    m = F.transform(F.get(one, F.lit(0)), whole_number)
+    pattern = r"(?i)Total Membership[^\n:]*?\([^\n]*?Adult[-\s]*([0-9, ]+)[^\n]*?Children[-\s]*([0-9, ]+)\)[^:\n]*:\s*([0-9, ]+)"
+    m = F.array(*[whole_number(F.regexp_extract(text, pattern, k)) for k in (1, 2, 3)])
     none = F.lit(None).cast("long")
-    return F.when(F.size(one) > 0, F.concat(m, F.array(none, none, _after(text, r"(?i)No\. of Books issued[^\n]*?[:>]\s*([0-9, ]+)"))))
+    return F.when(text.rlike(pattern), F.concat(m, F.array(none, none, _after(text, r"(?i)No\. of Books issued[^\n]*?[:>]\s*([0-9, ]+)"))))
 
 
 def stock(text: Column) -> Column:
