@@ -115,7 +115,8 @@ ORACLE_SQL: dict[str, str] = {
         b as (select *, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: unicode(x)::bigint) bytes from conversations),
         g as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') as text, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 20 draw from b, tab),
         m as (select conv_id, turn, case when draw = 4 then 'user' else role end role, case draw when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when draw = 3 then 2 else 1 end)) from g where draw <> 0),
-        n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, row_number() over (partition by conv_id, role, text order by turn nulls first) seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) tail from m),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i from m),
+        n as (select *, row_number() over (partition by conv_id, role, text order by i) seen, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) tail from o),
         r as (select *, left(role, 1) ini, case when tail = '' then 1 when seen > 1 then 2 when tail in ('.', '!', '?') then 0 else 3 end flaw from n),
         ins as (select * from (values (0, '', 0, ''), (0, 'I', 2, 'user:'), (0, 'II', 3, 'user:' || chr(10) || 'assistant:'), (1, '', 1, ''), (1, 'I', 2, 'user:'), (1, 'II', 3, 'user:' || chr(10) || 'assistant:'), (2, '', 2, ''), (2, 'I', 3, 'assistant:'), (3, '', 3, ''), (3, 'I', 2, 'user:')) x(s, ed, s2, lines)),
         eds as (select * from (values ('K', 0, 's', 1), ('K', 0, 'u', 2), ('K', 1, 'u', 2), ('K', 2, 'a', 3), ('K', 3, 'u', 2), ('R', 0, null, 2), ('R', 1, null, 2), ('R', 2, null, 3), ('R', 3, null, 2), ('D', 0, null, 0), ('D', 1, null, 1), ('D', 2, null, 2), ('D', 3, null, 3)) x(ed, s2, ini, ns)),
@@ -128,6 +129,6 @@ ORACLE_SQL: dict[str, str] = {
         q as (select conv_id, count(*) illegal from (select conv_id, ini, lag(ini) over (partition by conv_id order by i) p, i from r) where i > 1 and p || ini not in ('su', 'ua', 'au') group by 1),
         f as (select c, min({'cost': cost + case s when 1 then 4 when 2 then 2 else 0 end, 'audit': audit || case s when 1 then 'II' when 2 then 'I' else '' end, 'txt': txt || case s when 1 then 'user:' || chr(10) || 'assistant:' || chr(10) when 2 then 'assistant:' || chr(10) else '' end}) best
         from w join z on z.conv_id is not distinct from w.c and w.i = z.n group by 1)
-        select o.conv_id, coalesce(z.gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(dup, 0) duplicate, coalesce(cut, 0) truncated, coalesce(illegal, 0) illegal, coalesce(best.cost, 0) as cost, coalesce(best.audit, '') audit, sha256(coalesce(best.txt[:-2], '')) repaired_sha256
-        from (select distinct conv_id from conversations) o left join z using (conv_id) left join q using (conv_id) left join f on f.c = o.conv_id""",
+        select y.conv_id, coalesce(z.gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(dup, 0) duplicate, coalesce(cut, 0) truncated, coalesce(illegal, 0) illegal, coalesce(best.cost, 0) as cost, coalesce(best.audit, '') audit, sha256(coalesce(best.txt[:-2], '')) repaired_sha256
+        from (select distinct conv_id from conversations) y left join z using (conv_id) left join q using (conv_id) left join f on f.c = y.conv_id""",
 }
