@@ -292,3 +292,9 @@ def test_running_totals(spark):
     texts = stats.running_total(table.select(F.concat(F.lit("t"), F.lpad("v", 4, "0")).alias("v"), "id"), "v", F.lit(0.5), "s", ["id"])
     assert texts.agg(F.max("s")).first()[0] == 1500.0 and texts.schema["s"].dataType.simpleString() == "double"
     assert stats.running_total(table.limit(0), "v", "a", "s").count() == 0
+
+
+def test_sizes_beyond_the_largest_unit(spark):
+    sizes = lambda *a: [one(spark, coerce.human_bytes(F.lit(n).cast("long"), *a)) for n in (0, 1023, 3 << 19, 3 << 29, 3 << 39, 3 << 49, 3 << 59, None)]
+    assert sizes("MB") == ["0B", "1023B", "1.5MB", "1536.0MB", "1572864.0MB", "1610612736.0MB", "1649267441664.0MB", None]
+    assert sizes() == ["0B", "1023B", "1.5MB", "1.5GB", "1.5TB", "1.5PB", "1536.0PB", None]

@@ -76,13 +76,16 @@ def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def human_bytes(n: Column) -> Column:
-    """1023B, 2.0KB, 3.4MB, 1.0GB."""
+def human_bytes(n: Column, largest: str = "PB") -> Column:
+    """1023B, 2.0KB, 3.4MB, 1.0GB, and so on up to the largest unit, in which greater sizes stay; null stays null."""
     d = n.cast("double")
-    return (
-        F.when(d < 1024, F.concat(n.cast("bigint").cast("string"), F.lit("B"))).when(d < 1024**2, F.format_string("%.1fKB", F.bround(d / 1024, 1)))
-        .when(d < 1024**3, F.format_string("%.1fMB", F.bround(d / 1024**2, 1))).otherwise(F.format_string("%.1fGB", F.bround(d / 1024**3, 1)))
-    )
+    out = F.when(d < 1024, F.concat(n.cast("bigint").cast("string"), F.lit("B")))
+    units = ("KB", "MB", "GB", "TB", "PB")
+    last = units.index(largest)
+    for i, unit in enumerate(units[: last + 1], 1):
+        size = F.format_string(f"%.1f{unit}", F.bround(d / 1024**i, 1))
+        out = out.when((d < 1024 ** (i + 1)) if i <= last else d.isNotNull(), size)
+    return out
 
 
 def numeric_tokens(text: Column) -> Column:
