@@ -208,3 +208,33 @@ def test_lines_of_a_city(spark):
     assert [(p.x, p.y) for p in found["r2"].line] == [(0.8, 0.2), (0.2, 0.2)]
     longest = transit.longest_shape(trips, transit.shape_paths(spark.createDataFrame([("s1", 1, 0.0, 0.0), ("s1", 2, 1.0, 0.0), ("s2", 1, 0.0, 0.0), ("s2", 2, 1.0, 0.0)], "shape_id string, sequence int, x double, y double")))
     assert {r.route_id: r.trip_id for r in longest.collect()} == {"r1": "t1", "r3": "t4"}
+
+
+def test_simplified_takes_the_first_of_equally_far_points(spark):
+    path = [(72.51, 23.41), (72.302, 23.282), (72.476, 23.716), (72.809, 23.719), (72.684, 23.844), (72.073, 23.343), (72.076, 23.316), (72.281, 23.471), (72.738, 23.358)]  # an order of the tables: two of its points are equally far but for the last place
+    rnd = random.Random(3)
+    paths = [path] + [[(72 + rnd.randrange(1000) / 1000, 23 + rnd.randrange(1000) / 1000) for _ in range(rnd.randint(3, 7))] for _ in range(3000)]
+
+    def kept(p):
+        out, spans = {0, len(p) - 1}, [(0, len(p) - 1)]
+        while spans:
+            lo, hi = spans.pop()
+            (ax, ay), (bx, by) = p[lo], p[hi]
+            far = (0.25, 0)
+            for i in range(lo + 1, hi):
+                dx, dy, n = bx - ax, by - ay, (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
+                f = max(0.0, min(1.0, ((p[i][0] - ax) * dx + (p[i][1] - ay) * dy) / n)) if n else 0.0
+                ox, oy = p[i][0] - ax - f * dx, p[i][1] - ay - f * dy
+                d = math.sqrt(ox * ox + oy * oy)
+                if d > far[0]:
+                    far = (d, i)
+            if far[1]:
+                out.add(far[1])
+                spans += [(lo, far[1]), (far[1], hi)]
+        return [p[i] for i in sorted(out)]
+
+    # a triangle whose inner points lie on either side of its base, equally far but for the rounding
+    paths += [[(72 + x / 1000, 23 + y / 1000), (72 + (x + 300) / 1000, 23 + (y + 400) / 1000), (72 + (x + 400) / 1000, 23 + (y - 300) / 1000), (72 + x / 1000, 23 + y / 1000)] for x, y in [(rnd.randrange(1000), rnd.randrange(1000)) for _ in range(500)]]
+    rows = spark.createDataFrame(list(enumerate(paths)), "id int, path array<struct<x:double,y:double>>")
+    got = {r.id: [(q.x, q.y) for q in r.p] for r in rows.select("id", shapes.simplified(F.col("path"), 0.25).alias("p")).collect()}
+    assert [i for i, p in enumerate(paths) if got[i] != kept(p)] == []

@@ -72,7 +72,8 @@ def segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy)
+    ox, oy = x - a["x"] - t * dx, y - a["y"] - t * dy
+    return F.sqrt(ox * ox + oy * oy)  # hypot rounds otherwise than a plain root, which tells between equals
 
 
 def compass(bearing: Column) -> Column:
