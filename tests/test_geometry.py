@@ -238,3 +238,12 @@ def test_simplified_takes_the_first_of_equally_far_points(spark):
     rows = spark.createDataFrame(list(enumerate(paths)), "id int, path array<struct<x:double,y:double>>")
     got = {r.id: [(q.x, q.y) for q in r.p] for r in rows.select("id", shapes.simplified(F.col("path"), 0.25).alias("p")).collect()}
     assert [i for i, p in enumerate(paths) if got[i] != kept(p)] == []
+
+
+def test_touching_polygons_share_no_area(spark):
+    square = lambda x, y, w: [closed([(x, y), (x + w, y), (x + w, y + w), (x, y + w)])]
+    a = frame(spark, [(1, "a", 1, square(72.31, 23.3, 0.09)), (2, "b", 2, square(72.39, 23.3, 0.01))])
+    b = frame(spark, [(1, "left", 1, square(72.2, 23.2, 0.2)), (2, "right", 2, square(72.31 + 0.09 - 1e-14, 23.2, 0.2))]).withColumn("value", F.col("id"))
+    assert [tuple(r) for r in polygons.overlay_weighted(a, b, "value", 1e-10).orderBy("id").collect()] == [(1, 1.0, 1), (2, 1.0, 1)]
+    named = polygons.best_overlap(a, b.where("id = 2").withColumnRenamed("label", "name"), "name", "label", least_area=1e-10)
+    assert {r.id: r.name for r in named.collect()} == {1: "a", 2: "b"}

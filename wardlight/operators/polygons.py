@@ -31,11 +31,12 @@ def tiled(polys: DataFrame, prefix: str, width: float, keep: list[str]) -> DataF
     return named.withColumn("_tx", span("x")).withColumn("_ty", span("y"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, keep_a: list[str] | None = None, keep_b: list[str] | None = None) -> DataFrame:
-    """Every pair that shares area: a_id, b_id (and a_, b_ of the kept columns), overlap, share_of_a, share_of_b.
+def overlaps(a: DataFrame, b: DataFrame, keep_a: list[str] | None = None, keep_b: list[str] | None = None, least_area: float = 0.0) -> DataFrame:
+    """Every pair that shares more than the least area: a_id, b_id (and a_, b_ of the kept columns), overlap, share_of_a, share_of_b.
 
     Both sides are dealt to tiles of the size of their polygons and joined on them; the smaller one is broadcast if its counted tiles are few. A pair is made in one tile alone, that of the lower left corner of
-    what their bounds share. Polygons without rings meet nothing; repeated rows give repeated pairs.
+    what their bounds share. Polygons without rings meet nothing; repeated rows give repeated pairs. Polygons that only touch may share
+    what their coordinates' rounding makes of a side, which a least area leaves out.
     """
     box = shapes.bounds(F.col("rings"))
     (wa, bytes_a), (wb, bytes_b) = tile_width(a, box), tile_width(b, box)
@@ -46,7 +47,7 @@ def overlaps(a: DataFrame, b: DataFrame, keep_a: list[str] | None = None, keep_b
     corner = lambda k: F.floor(F.greatest(F.col("a_box")[f"{k}0"], F.col("b_box")[f"{k}0"]) / width)
     pairs = left.join(right, ["_tx", "_ty"]).where((F.col("_tx") == corner("x")) & (F.col("_ty") == corner("y")))
     shared = shapes.overlap_area(F.col("a_sides"), F.col("a_box"), F.col("b_sides"), F.col("b_box"))
-    out = pairs.withColumn("overlap", shared).where("overlap > 0")
+    out = pairs.withColumn("overlap", shared).where(F.col("overlap") > least_area)
     return out.withColumn("share_of_a", F.col("overlap") / F.col("a_area")).withColumn("share_of_b", F.col("overlap") / F.col("b_area")).drop("_tx", "_ty", "a_sides", "b_sides", "a_box", "b_box", "a_area", "b_area")
 
 
@@ -55,17 +56,17 @@ def above_threshold(pairs: DataFrame, least_area: float, least_share: float) ->
     return pairs.where(~((F.col("overlap") < least_area) & (F.col("share_of_a") < least_share)))
 
 
-def overlay_weighted(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """(id, mean, most) for every polygon of a: the mean of b's value weighted by shared area, and the largest; nulls where nothing is shared. Null values of b don't count."""
-    pairs = overlaps(a, b, keep_b=[value]).where(F.col(f"b_{value}").isNotNull())
+def overlay_weighted(a: DataFrame, b: DataFrame, value: str, least_area: float = 0.0) -> DataFrame:
+    """(id, mean, most) for every polygon of a: the mean of b's value weighted by shared area, and the largest; nulls where nothing is shared. Null values of b don't count, nor what is shared up to the least area."""
+    pairs = overlaps(a, b, keep_b=[value], least_area=least_area).where(F.col(f"b_{value}").isNotNull())
     v = F.col(f"b_{value}")
     met = pairs.groupBy(F.col("a_id").alias("id")).agg((F.sum(v * F.col("overlap")) / F.sum("overlap")).alias("mean"), F.max(v).alias("most"))
     return a.select("id").join(met, "id", "left")
 
 
-def best_overlap(a: DataFrame, b: DataFrame, label: str, fallback: str, order: str = "ordinal", places: int = 12) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, label: str, fallback: str, order: str = "ordinal", places: int = 12, least_area: float = 0.0) -> DataFrame:
     """(id, label) for every polygon of a: the label of the polygon of b that shares most area with it, the first in order of equals (areas are rounded); the fallback column of a where none shares area or the best has a blank label."""
-    pairs = overlaps(a, b, keep_b=[label, order])
+    pairs = overlaps(a, b, keep_b=[label, order], least_area=least_area)
     best = pairs.groupBy(F.col("a_id").alias("id")).agg(F.min_by(f"b_{label}", F.struct(-F.round("overlap", places), f"b_{order}")).alias("_best"))
     filled = F.when(F.trim("_best") != "", F.trim("_best"))
     return a.select("id", fallback).join(best, "id", "left").select("id", F.coalesce(filled, F.col(fallback)).alias(label))

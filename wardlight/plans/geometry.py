@@ -14,6 +14,8 @@ from wardlight.plans.views import Views
 LOTS = """lots as (select s_suppkey id, s_nationkey nation, s_suppkey%3 kind, 72+(s_suppkey*7919%900)/1000e0 x0, 23+(s_suppkey*104729%900)/1000e0 y0 from supplier),
     lot_parts as (select id, 1e0 s, x0, y0, x0+0.09e0 x1, y0+0.09e0 y1 from lots union all select id, -1e0, x0+0.04e0, y0+0.04e0, x0+0.09e0, y0+0.09e0 from lots where kind=1
     union all select id, -1e0, x0+0.03e0, y0+0.03e0, x0+0.06e0, y0+0.06e0 from lots where kind=2)"""
+#: Lots and yards that share no more only touch.
+TOUCH = 1e-10
 #: Wards, those of odd number with a hole.
 YARDS = """yard_parts as (select poly_id id, 1e0 s, x0, y0, x1, y1 from wards union all select poly_id, -1e0, x0+0.05e0, y0+0.05e0, x0+0.12e0, y0+0.12e0 from wards where poly_id%2=1)"""
 SHARED = f"""{LOTS}, {YARDS}, o as (select a.id a_id, b.id b_id, sum(a.s*b.s*greatest(0,least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0,least(a.y1,b.y1)-greatest(a.y0,b.y0))) ov from lot_parts a join yard_parts b on a.x0<b.x1 and b.x0<a.x1 group by 1,2),
@@ -39,14 +41,14 @@ def yards(v: Views) -> DataFrame:
 
 @query("J19_polygon_overlaps", "wards", f"with {SHARED} select a_id, b_id, round(ov,9) overlap, round(ov/size,6) share_of_a from o join sizes on id=a_id where ov>1e-10 and not (ov<0.0001e0 and round(ov/size,6)<0.01)")
 def _(v):
-    o = polygons.overlaps(lots(v), yards(v)).where("overlap > 1e-10").withColumn("share_of_a", F.round("share_of_a", 6))
+    o = polygons.overlaps(lots(v), yards(v), least_area=TOUCH).withColumn("share_of_a", F.round("share_of_a", 6))
     return polygons.above_threshold(o, 0.0001, 0.01).select("a_id", "b_id", F.round("overlap", 9).alias("overlap"), "share_of_a")
 
 
 @query("J20_polygon_overlay", "wards", f"with {SHARED}, w as (select a_id, sum(ov*b_id)/sum(ov) mean, max(b_id) most from o where ov>1e-10 group by 1) select id, round(mean,5) mean, most from lots left join w on id=a_id")
 def _(v):
     valued = yards(v).withColumn("value", F.col("id"))
-    return polygons.overlay_weighted(lots(v), valued, "value").select("id", F.round("mean", 5).alias("mean"), "most")
+    return polygons.overlay_weighted(lots(v), valued, "value", TOUCH).select("id", F.round("mean", 5).alias("mean"), "most")
 
 
 @query("J21_best_overlap_or_fallback", "wards", f"""with {SHARED}, b as (select a_id, arg_min(b_id, (-round(ov,9), b_id)) b_id from o where ov>1e-10 group by 1)
@@ -54,7 +56,7 @@ def _(v):
 def _(v):
     named = yards(v).withColumn("name", F.when(F.col("id") % 4 == 2, "  ").otherwise(F.col("name")))
     own = lots(v).withColumn("fallback", F.concat(F.lit("lot "), F.col("id").cast("string")))
-    return polygons.best_overlap(own, named, "name", "fallback", places=9)
+    return polygons.best_overlap(own, named, "name", "fallback", places=9, least_area=TOUCH)
 
 
 @query("J22_parents_of_named_siblings", "", """
