@@ -247,3 +247,15 @@ def test_touching_polygons_share_no_area(spark):
     assert [tuple(r) for r in polygons.overlay_weighted(a, b, "value", 1e-10).orderBy("id").collect()] == [(1, 1.0, 1), (2, 1.0, 1)]
     named = polygons.best_overlap(a, b.where("id = 2").withColumnRenamed("label", "name"), "name", "label", least_area=1e-10)
     assert {r.id: r.name for r in named.collect()} == {1: "a", 2: "b"}
+
+
+def test_centroids_on_the_sides_of_siblings(spark):
+    rnd = random.Random(11)
+    rows = [(i, "g", f"n{i}", 72 + rnd.randrange(30) / 100, 23 + rnd.randrange(30) / 100, 0.3 if i % 10 == 0 else 0.06) for i in range(150)]
+    ring = lambda w: closed([(0.0, 0.0), (w, 0.0), (w, w), (0.0, w)])
+    made = [(i, g, n, (x, y), [ring(w)]) for i, g, n, x, y, w in rows]
+    own = spark.createDataFrame(made, "id int, g string, name string, corner struct<x:double,y:double>, rings array<array<struct<x:double,y:double>>>")
+    got = {r.id: r.n for r in polygons.holding_siblings(own, "g", "name", 2, "corner").collect()}
+    within_ = lambda a, b: all(0 <= b[k] + b[5] / 2 - a[k] < a[5] for k in (3, 4))
+    want = {a[0]: sum(within_(a, b) for b in rows if b[2] != a[2]) for a in rows}
+    assert got == {i: n for i, n in want.items() if n >= 2}

@@ -22,9 +22,9 @@ def tile_width(polys: DataFrame, box: Column) -> tuple[float, int]:
     return (2 * extent if extent else 1.0), 4 * (64 * n + 80 * (total or 0))
 
 
-def tiled(polys: DataFrame, prefix: str, width: float, keep: list[str]) -> DataFrame:
-    """Each polygon with its sides, bounds and area once for each tile that its bounds meet."""
-    box = shapes.bounds(F.col("rings"))
+def tiled(polys: DataFrame, prefix: str, width: float, keep: list[str], box: Column | None = None) -> DataFrame:
+    """Each polygon with its sides, bounds (those of its rings unless given) and area once for each tile that its bounds meet."""
+    box = shapes.bounds(F.col("rings")) if box is None else box
     named = polys.select(*[F.col(c).alias(f"{prefix}_{c}") for c in keep], shapes.sides(F.col("rings")).alias(f"{prefix}_sides"), box.alias(f"{prefix}_box"), shapes.area(F.col("rings")).alias(f"{prefix}_area"))
     span = lambda k: F.explode(F.sequence(F.floor(F.col(f"{prefix}_box")[f"{k}0"] / width), F.floor(F.col(f"{prefix}_box")[f"{k}1"] / width)))
     named = named.where(F.col(f"{prefix}_box")["x0"].isNotNull() & F.col(f"{prefix}_box")["y0"].isNotNull())
@@ -72,16 +72,22 @@ def best_overlap(a: DataFrame, b: DataFrame, label: str, fallback: str, order: s
     return a.select("id", fallback).join(best, "id", "left").select("id", F.coalesce(filled, F.col(fallback)).alias(label))
 
 
-def holding_siblings(polys: DataFrame, group: str, name: str, least: int = 2) -> DataFrame:
-    """(id, n): polygons that hold the centroids of at least so many others of another name in their group, as a parent drawn among its parts does. A centroid is of the outline's area."""
-    box = shapes.bounds(F.col("rings"))
+def holding_siblings(polys: DataFrame, group: str, name: str, least: int = 2, origin: str | None = None) -> DataFrame:
+    """(id, n): polygons that hold the centroids of at least so many others of another name in their group, as a parent drawn among its parts does. A centroid is of the outline's area.
+
+    Rings may be given about an origin of each polygon, a column of structs (x, y): a centroid that lies on a side is then told by the sides' own lengths and not by what is left of them in large coordinates.
+    """
+    o = F.col(origin) if origin else F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    shape = shapes.bounds(F.col("rings"))
+    box = F.struct(*[(shape[f"{k}{i}"] + o[k]).alias(f"{k}{i}") for i in (0, 1) for k in ("x", "y")])
     width, bytes_ = tile_width(polys, box)
     c = geo.centroid(F.get("rings", F.lit(0)))
-    points = polys.select(F.col(group).alias("_group"), F.col(name).alias("_name"), c.alias("_c"))
+    points = polys.select(F.col(group).alias("_group"), F.col(name).alias("_name"), F.struct((o["x"] + c["x"]).alias("x"), (o["y"] + c["y"]).alias("y")).alias("_c"))
     points = points.withColumn("_tx", F.floor(F.col("_c.x") / width)).withColumn("_ty", F.floor(F.col("_c.y") / width))
-    areas = tiled(polys, "a", width, ["id", group, name]).withColumn("_group", F.col(f"a_{group}"))
+    areas = tiled(polys.withColumn("_origin", o), "a", width, ["id", group, name, "_origin"], box).withColumn("_group", F.col(f"a_{group}"))
     areas = F.broadcast(areas) if bytes_ <= BROADCAST_BYTES else areas
-    held = points.join(areas, ["_group", "_tx", "_ty"]).where((F.col("_name") != F.col(f"a_{name}")) & shapes.inside(F.col("_c.x"), F.col("_c.y"), F.col("a_sides")))
+    held_in = shapes.inside(F.col("_c.x") - F.col("a__origin.x"), F.col("_c.y") - F.col("a__origin.y"), F.col("a_sides"))
+    held = points.join(areas, ["_group", "_tx", "_ty"]).where((F.col("_name") != F.col(f"a_{name}")) & held_in)
     return held.groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 

@@ -66,9 +66,9 @@ def _(v):
 def _(v):
     k = F.col("s_suppkey")
     x, y, w = 72 + F.pmod(k * 7919, F.lit(900)) / 1000.0, 23 + F.pmod(k * 104729, F.lit(900)) / 1000.0, F.when(k % 10 == 0, 0.3).otherwise(0.06)
-    outline, hole = geo.rectangle(x, y, x + w, y + w), geo.rectangle(x + w / 3, y + w / 3, x + w * 2 / 3, y + w * 2 / 3)
-    own = v.table("supplier").select(k.alias("id"), F.col("s_nationkey").alias("nation"), F.concat(F.lit("a"), (k % 50).cast("string")).alias("name"), F.when(k % 3 == 2, F.array(outline, hole)).otherwise(F.array(outline)).alias("rings"))
-    return polygons.holding_siblings(own, "nation", "name")
+    outline, hole = geo.rectangle(F.lit(0.0), F.lit(0.0), w, w), geo.rectangle(w / 3, w / 3, w * 2 / 3, w * 2 / 3)
+    own = v.table("supplier").select(k.alias("id"), F.col("s_nationkey").alias("nation"), F.concat(F.lit("a"), (k % 50).cast("string")).alias("name"), F.when(k % 3 == 2, F.array(outline, hole)).otherwise(F.array(outline)).alias("rings"), shapes.point(x, y).alias("corner"))
+    return polygons.holding_siblings(own, "nation", "name", origin="corner")
 
 
 @query("A37_dissolved_nations", "", """
