@@ -24,7 +24,7 @@ def sides(rings: Column) -> Column:
 
     def turned(ring: Column, i: Column) -> Column:
         against = geo.signed_area(ring) > 0
-        return geo.edges(F.when(against == (i == 0), ring).otherwise(F.reverse(ring)))
+        return geo.once(F.when(against == (i == 0), ring).otherwise(F.reverse(ring)), geo.edges)
 
     return F.flatten(F.transform(rings, turned))
 
@@ -84,15 +84,22 @@ def overlap_area(sides_a: Column, bounds_a: Column, sides_b: Column, bounds_b: C
 
 def inside_point(rings: Column) -> Column:
     """A point inside the polygon: the middle of the widest run of a level line, halfway between the two corner heights around the middle of its bounds. Null without an area."""
+
+    def level(heights: Column) -> Column:
+        middle = (F.array_min(heights) + F.array_max(heights)) / 2
+        return geo.once(middle, lambda m: (F.array_max(F.filter(heights, lambda h: h <= m)) + F.array_min(F.filter(heights, lambda h: h > m))) / 2)
+
+    def crossings(y: Column) -> Column:
+        met = F.filter(sides(rings), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+        return F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"])))
+
+    def widest(xs: Column) -> Column:
+        run = lambda x, i: geo.once(F.get(xs, i - 1), lambda before: F.struct(F.round(x - before, 12).alias("width"), (-i).alias("first"), ((x + before) / 2).alias("x")))
+        return F.array_max(F.filter(F.transform(xs, run), lambda r: (r["first"] % 2 != 0) & r["width"].isNotNull()))
+
     heights = F.array_sort(F.array_distinct(F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))))
-    middle = (F.array_min(heights) + F.array_max(heights)) / 2
-    below, above = F.array_max(F.filter(heights, lambda h: h <= middle)), F.array_min(F.filter(heights, lambda h: h > middle))
-    y = (below + above) / 2
-    met = F.filter(sides(rings), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
-    xs = F.array_sort(F.transform(met, lambda e: e["a"]["x"] + (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"])))
-    runs = F.filter(F.transform(xs, lambda x, i: F.struct(F.round(x - F.get(xs, i - 1), 12).alias("width"), (-i).alias("first"), ((x + F.get(xs, i - 1)) / 2).alias("x"))), lambda r: (r["first"] % 2 != 0) & r["width"].isNotNull())
-    widest = F.array_max(runs)
-    return F.when(widest.isNotNull() & (widest["width"] > 0), point(widest["x"], y))
+    middle_of = lambda y: geo.once(geo.once(crossings(y), widest), lambda w: F.when(w.isNotNull() & (w["width"] > 0), point(w["x"], y)))
+    return geo.once(geo.once(heights, level), middle_of)
 
 
 def length(path: Column) -> Column:
