@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wardlight.functions import geo
+
 #: Words of station names that don't tell stations apart, and short forms with what they stand for.
 STATION_WORDS = ("railway", "station", "halt", "junction", "jn", "road", "rd")
 SHORT_FORMS = {"stn": "station", "rd": "road", "jn": "junction", "jcn": "junction"}
@@ -23,10 +25,12 @@ TIGHT, LOOSE = "^[-_ ]$", r"^\s*[-_]\s*$"
 
 def _numbers(text: Column) -> Column:
     """Each run of digits of a text with what stands around it: structs (before, a, sep, b, after, c), b being the next number, c the one after it. Every form of a year below is a test of these."""
-    runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    at = lambda i, name: F.coalesce(F.get(runs, i), F.lit("")).alias(name)
-    each = F.transform(runs, lambda x, i: F.struct(at(i - 1, "before"), x.alias("a"), at(i + 1, "sep"), at(i + 2, "b"), at(i + 3, "after"), at(i + 4, "c")))
-    return F.filter(each, lambda n: n["a"].rlike("^[0-9]"))
+    def each(runs: Column) -> Column:
+        at = lambda i, name: F.coalesce(F.get(runs, i), F.lit("")).alias(name)
+        digits = F.filter(F.transform(runs, lambda x, i: F.struct(x.alias("a"), i.alias("i"))), lambda n: n["a"].rlike("^[0-9]"))
+        return F.transform(digits, lambda n: F.struct(at(n["i"] - 1, "before"), n["a"].alias("a"), at(n["i"] + 1, "sep"), at(n["i"] + 2, "b"), at(n["i"] + 3, "after"), at(n["i"] + 4, "c")))
+
+    return geo.once(F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), each)
 
 
 def _first(text: Column, label: Callable[[Column], Column]) -> Column:
