@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from wardlight.functions import forms, shapes
+from wardlight.operators import reports
 
 
 def times(spark, schema, column, name):
-    return spark.createDataFrame([], schema).select(column)._jdf.queryExecution().analyzed().toString().count(name + "(")
+    return spark.createDataFrame([], schema).select(column.alias("v"))._jdf.queryExecution().analyzed().toString().count(name + "(")
 
 
 def test_heights_of_a_polygon(spark):
@@ -17,3 +18,7 @@ def test_heights_of_a_polygon(spark):
 
 def test_numbers_of_a_text(spark):
     assert times(spark, "t string", forms.earliest_year(F.col("t")), "regexp_extract_all") == 1
+
+
+def test_sections_of_a_report(spark):
+    assert times(spark, "t string", reports.members_of_table(F.col("t")), "lower") == 1

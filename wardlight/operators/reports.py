@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions import geo
+
 #: The digits of Gujarati script, in order.
 GUJARATI_DIGITS = "૦૧૨૩૪૫૬૭૮૯"
 #: A mobile number of ten digits, with or without the country's prefix.
@@ -83,7 +85,7 @@ def roster_faults(rows: DataFrame, doc: str, expected_rows: int, expected_wards:
 def whole_number(text: Column) -> Column:
     """A number as printed, without separators or decimals; 0 without a digit, null of a null."""
     digits = F.regexp_replace(F.regexp_replace(text, r"\.[0-9]+\b", ""), "[^0-9]", "")
-    return F.when(digits == "", F.lit(0).cast("long")).otherwise(digits.try_cast("long"))
+    return geo.once(digits, lambda d: F.when(d == "", F.lit(0).cast("long")).otherwise(d.try_cast("long")))
 
 
 def numbers_in(line: Column) -> Column:
@@ -92,8 +94,7 @@ def numbers_in(line: Column) -> Column:
 
 def section(text: Column, headings: list[str], size: int) -> Column:
     """So many characters of a text from the first heading on that it has, whatever the case; null without one."""
-    lower = F.lower(text)
-    at = F.coalesce(*[F.nullif(F.instr(lower, h), F.lit(0)) for h in headings])
+    at = geo.once(F.lower(text), lambda lower: F.coalesce(*[geo.once(F.instr(lower, h), lambda i: F.when(i > 0, i)) for h in headings]))
     return F.substring(text, at, F.lit(size))
 
 
@@ -113,12 +114,6 @@ def _last(found: Column) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
-def _all(text: Column, pattern: str, groups: int) -> Column:
-    """Every match of a pattern as an array of its groups."""
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)])
-    return F.transform(parts, lambda m: F.array(*[m[f"g{k}"] for k in range(1, groups + 1)]))
-
-
 def _kept(value: Column, holds) -> Column:
     """The value if the condition, a function of it, holds, else null; the value is evaluated once."""
     return F.get(F.filter(F.array(value), lambda v: F.coalesce(holds(v), F.lit(False))), F.lit(0))
@@ -141,12 +136,14 @@ def members_of_table(text: Column) -> Column:
 
     Where no line is 'Total' and six numbers, the first line that begins with 'total' has the run of six that adds up.
     """
-    chunk = section(text, ["statement showing membership", "details of membership"], SECTION)
-    plain = _all(chunk, r"(?im)^\s*Total\s+" + r"\s+".join(["([0-9,]+)"] * 6), 6)
-    strict = _kept(F.transform(_last(plain), whole_number), lambda n: F.get(n, F.lit(0)) + F.get(n, F.lit(1)) == F.get(n, F.lit(2)))
-    loose = F.transform(F.filter(F.split(chunk, r"\n"), lambda x: F.trim(x).rlike(r"(?i)^\W*total\b")), lambda x: adds_up(numbers_in(x)))
-    has_plain = chunk.rlike(r"(?im)^\s*Total\s+" + r"\s+".join(["[0-9,]+"] * 6))
-    return F.when(has_plain, strict).otherwise(F.get(F.filter(loose, lambda x: x.isNotNull()), F.lit(0)))
+    def read(chunk: Column) -> Column:
+        plain = _last(F.regexp_extract_all(chunk, F.lit(r"(?im)^\s*Total\s+" + r"\s+".join(["[0-9,]+"] * 6)), F.lit(0)))
+        strict = lambda line: _kept(F.transform(F.regexp_extract_all(line, F.lit("([0-9,]+)"), F.lit(1)), whole_number), lambda n: F.get(n, F.lit(0)) + F.get(n, F.lit(1)) == F.get(n, F.lit(2)))
+        lines = F.filter(F.split(chunk, r"\n"), lambda x: F.trim(x).rlike(r"(?i)^\W*total\b"))
+        loose = F.get(F.filter(F.transform(lines, lambda x: adds_up(numbers_in(x))), lambda x: x.isNotNull()), F.lit(0))
+        return geo.once(plain, lambda line: F.when(line.isNotNull(), strict(line)).otherwise(loose))
+
+    return geo.once(section(text, ["statement showing membership", "details of membership"], SECTION), read)
 
 
 def members_of_summary(text: Column) -> Column:
@@ -160,7 +157,7 @@ def members_of_summary(text: Column) -> Column:
 def stock(text: Column) -> Column:
     """The collection's size: from the sentence, the labelled number, or the last large number of the stock table's first total line that has one. A number that a footnote's 0 ran into is taken without it."""
     longest = lambda c: F.reduce(F.regexp_extract_all(c, F.lit("([0-9][0-9,]*)"), F.lit(1)), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    mended = lambda n: F.when(n.between(10_000_000, 29_999_999) & (n % 10 == 0), F.floor(n / 10)).otherwise(n)
+    mended = lambda number: geo.once(number, lambda n: F.when(n.between(10_000_000, 29_999_999) & (n % 10 == 0), F.floor(n / 10)).otherwise(n))
     of = lambda c: mended(whole_number(longest(F.nullif(c, F.lit("")))))
     told = of(F.regexp_extract(text, r"(?is)book collection(?: \(Net Book Stock\))?.{0,220}?was\s+([0-9,]+)", 1))
     labelled = of(F.regexp_extract(text, r"(?i)Net Book Stock\s+\D*([0-9][0-9,\s]+)", 1))
@@ -180,7 +177,8 @@ def annual_figures(docs: DataFrame, name_col: str = "name", text_col: str = "tex
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     table, told = members_of_table(t), members_of_summary(t)
-    money = F.transform(_last(_all(section(t, ["unspent balance"], FINANCE_SECTION), r"(?i)TOTAL\s+" + r"\s+".join(["([0-9,./-]+)"] * 7), 7)), whole_number)
+    balance = _last(F.regexp_extract_all(section(t, ["unspent balance"], FINANCE_SECTION), F.lit(r"(?i)TOTAL\s+" + r"\s+".join(["[0-9,./-]+"] * 7)), F.lit(0)))
+    money = F.transform(F.regexp_extract_all(balance, F.lit("([0-9,./-]+)"), F.lit(1)), whole_number)
     room = _after(t, r"(?i)Attendance of readers in Reading Rooms\s*:?\s*-?\s*([0-9, ]+)")
     served = _after(t, r"(?i)During the year under report\s+([0-9,]+)\s+persons availed this facility")
     read = docs.select("*", report_year(F.col(name_col), t).alias("year"), table.alias("_table"), told.alias("_told"), money.alias("_money"), stock(t).alias("collection"), _after(t, r"(?i)Books added to Stock\s*:?\s*([0-9, ]+)").alias("books_added"), F.coalesce(F.when(room >= 10_000, room), served, room).alias("attendance"))
