@@ -136,3 +136,26 @@ def test_page_parts(spark):
 def test_map_points(spark, address, want):
     found = spark.range(1).select(documents.map_point(F.lit(address)).alias("p")).first().p
     assert (found and tuple(found)) == want
+
+
+ROWS = "".join(f"<tr><td class=c>part <b>{i}</b> <a href='/p/{i}'>l</a></td><TD>{i}<td rowspan=2 colspan=\"2\">&amp; x" for i in range(3))
+PLAIN = f"<p data-claim-id='c'>x<table><script type=t>var a='<td>';</script><tr><th colspan=2>A &lt; B<th> n </th></tr>\n{ROWS}</table>y<A HREF=/q>"
+
+
+def test_plain_markup_needs_no_parser(monkeypatch):
+    want = documents._parts(documents._Tokens(PLAIN).tokens, dict, str, set())
+    assert len(want[0]) == 21 and want[2] == ["c"] and len(want[3]) == 4
+    monkeypatch.setattr(documents, "_Tokens", None)
+    assert documents.parts_of(PLAIN.replace("=/q", "='/q'")) == want
+
+
+def test_any_markup_as_by_the_parser(spark):
+    rnd = random.Random(13)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "<TD >", "</td>", "<th colspan=2>", "<td rowspan='2'>", "<a href='/u'>", "</a>", "text ", "&amp; ", "<br>", "<script>if (a<b) x='<td>';</script>", "<td a=1 a=2 rowspan=2>", "<b class='x'>", "</b>"]
+    odd = ["<td rowspan=0>", "&lt", "&#6", "<br/>", "<!-- c <td> -->", "<script>", "</script>", "<style", "</", " < ", "<3", ">", "</b >", "<iframe src=/g>", "<title>", "</title>", "<input disabled>", "<td a='1'b='2'>", "<?pi>", "<td\n rowspan=2\n>", "<td rowspan = 2>", "<a href='x&amp;y'>", "<td a='<'>", "<script>x</style>"]
+    pages = ["".join(rnd.choice(bits if n % 2 or rnd.random() < 0.9 else odd) for _ in range(rnd.randint(0, 25))) for n in range(3000)]
+    found = [documents.parts_of(p) for p in pages]
+    assert found == [documents._parts(documents._Tokens(p).tokens, dict, str, set()) for p in pages]
+    made = spark.createDataFrame(list(enumerate([*pages[:200], None])), "page_id int, html string")
+    cells = [(r.page_id, r.table, r.row, r.column, r.header, r.spanned, r.text, tuple(r.links)) for r in documents.table_cells(made).collect()]
+    assert sorted(cells) == sorted((i, *c[:6], tuple(c[6])) for i, f in enumerate(found[:200]) for c in f[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -42,101 +44,154 @@ def nested_links(docs: DataFrame, json_col: str, id_col: str = "id", url_fields:
     return found.groupBy("id", "url").agg(F.min(F.struct("depth", "path", "title")).alias("_f")).select("id", "_f.path", "_f.depth", "_f.title", "url")
 
 
-class _Tables(HTMLParser):
-    """Cells of a page as (table, row, column, header, text, links), frames and claims. A cell that spans rows or columns stands in each place of the grid; a new cell, row or table closes what is open inside."""
+#: Plain markup is split by one pattern into tokens: text, then an end tag, a whole script or style, a start tag whose attributes all have values without references, or the end. A `<` that begins none of these is odd.
+_ATTRIBUTE = re.compile(r"""[ \t\n\r\f]++([a-zA-Z][a-zA-Z0-9-]*+)=(?:'([^'<>&]*+)'|"([^"<>&]*+)"|([a-zA-Z0-9._%-]++))(?=[ \t\n\r\f>]|\Z)""")
+_ATTRIBUTES = rf"((?:{re.sub(r'[(](?=[^?])', '(?:', _ATTRIBUTE.pattern)})*+)[ \t\n\r\f]*+"
+_TOKEN = re.compile(rf"([^<]*+)(?:</([a-zA-Z][a-zA-Z0-9]*+)>|<((?i:script|style)){_ATTRIBUTES}>(?:[^<]++|<(?![/!sS]))*+</(?i:\3)>|<([a-zA-Z][a-zA-Z0-9]*+){_ATTRIBUTES}>|(<)|\Z)")
+#: Elements without text, and those whose content is no markup to the parser.
+_HIDDEN = {"script", "style"}
+_RAW = {"plaintext", *_HIDDEN, *getattr(HTMLParser, "CDATA_CONTENT_ELEMENTS", ()), *getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())}
 
-    VOID_TEXT = {"script", "style"}
 
-    def __init__(self):
+def _given(attributes: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+
+
+class _Tokens(HTMLParser):
+    """The tokens of any page."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.cells: list[tuple] = []
-        self.frames: list[str] = []
-        self.claims: list[str] = []
-        self.anchors: list[tuple[str, str]] = []
-        self.anchor: tuple[str, list[str]] | None = None
-        self.stack: list[dict] = []
-        self.tables = self.hidden = 0
+        self.tokens: list[tuple] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        given = dict(attrs)
-        if (claim := given.get("data-claim-id")) and "${" not in claim and claim not in self.claims:
-            self.claims.append(claim)
-        if tag == "a":
-            self._end_anchor()
-            self.anchor = (given["href"], []) if given.get("href") else None
-        if tag in self.VOID_TEXT:
-            self.hidden += 1
-        elif tag == "iframe" and given.get("src"):
-            self.frames.append(given["src"])
-        elif tag == "table":
-            self.stack.append({"no": self.tables, "row": -1, "held": {}, "cell": None})
-            self.tables += 1
-        elif self.stack:
-            table = self.stack[-1]
-            if tag == "tr":
-                self._end_cell()
-                table["row"] += 1
-                table["column"] = 0
-            elif tag in ("td", "th"):
-                self._end_cell()
-                if table["row"] < 0:
-                    table["row"], table["column"] = 0, 0
-                while table["held"].get((table["row"], table["column"])):
-                    table["column"] += 1
-                span = lambda k: min(max(int(v), 1), 1000) if (v := given.get(k) or "").isdigit() else 1  # noqa: E731  as browsers bound it
-                table["cell"] = {"header": tag == "th", "words": [], "links": [], "rows": span("rowspan"), "columns": span("colspan")}
-            elif table["cell"] is not None:
-                if given.get("href"):
-                    table["cell"]["links"].append(given["href"])
-                table["cell"]["words"].append(" ")
+        self.tokens.append(("", "", "", "", tag, attrs, ""))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "a":
-            self._end_anchor()
-        if tag in self.VOID_TEXT:
-            self.hidden = max(0, self.hidden - 1)
-        elif self.stack and tag in ("td", "th", "tr"):
-            self._end_cell()
-        elif self.stack and tag == "table":
-            self._end_cell()
-            self.stack.pop()
-        elif self.stack and self.stack[-1]["cell"] is not None:
-            self.stack[-1]["cell"]["words"].append(" ")
-
-    def _end_anchor(self) -> None:
-        if self.anchor:
-            self.anchors.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())))
-        self.anchor = None
+        self.tokens.append(("", tag, "", "", "", "", ""))
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden and self.anchor:
-            self.anchor[1].append(data)
-        if not self.hidden and self.stack and self.stack[-1]["cell"] is not None:
-            self.stack[-1]["cell"]["words"].append(data)
-
-    def _end_cell(self) -> None:
-        table = self.stack[-1]
-        cell, table["cell"] = table["cell"], None
-        if cell is None:
-            return
-        text = " ".join("".join(cell["words"]).split())
-        for r in range(cell["rows"]):
-            for c in range(cell["columns"]):
-                at = (table["row"] + r, table["column"] + c)
-                table["held"][at] = True
-                self.cells.append((table["no"], *at, cell["header"], r > 0 or c > 0, text, cell["links"]))
-        table["column"] += cell["columns"]
-
-    def close(self) -> None:
-        super().close()
-        self._end_anchor()
-        while self.stack:
-            self._end_cell()
-            self.stack.pop()
+        self.tokens.append((data, "", "", "", "", "", ""))
+
+
+def _span(given: dict, name: str) -> int:
+    return min(max(int(v), 1), 1000) if (v := given.get(name) or "").isdigit() else 1  # as browsers bound it
+
+
+def _end_cell(cells: list, held: set, no: int, row: int, column: int, cell: tuple) -> int:
+    """Adds a cell in each place that it spans; the column after it."""
+    header, words, links, rows, columns = cell
+    text = " ".join("".join(words).split())
+    if rows == columns == 1:
+        cells.append((no, row, column, header, False, text, links))
+        return column + 1
+    for r in range(rows):
+        for c in range(columns):
+            if r:  # its own row is past these places
+                held.add((row + r, column + c))
+            cells.append((no, row + r, column + c, header, r > 0 or c > 0, text, links))
+    return column + columns
+
+
+def _end_anchor(anchors: list, anchor: tuple | None) -> None:
+    if anchor:
+        anchors.append((anchor[0], " ".join("".join(anchor[1]).split())))
+
+
+def _parts(tokens: list[tuple], given_of: Callable, decode: Callable, refused: set) -> tuple[list, list, list, list] | None:
+    """Cells of a page as (table, row, column, header, spanned, text, links), frames, claims and anchors; None if a token is odd or refused. A cell that spans rows or columns stands in each place of the grid; a new cell, row or
+    table closes what is open inside."""
+    cells, frames, claims, anchors = [], [], [], []
+    anchor = cell = no = None  # those open; the tables around the innermost are on the stack
+    row = column = tables = hidden = 0
+    held, stack, none = set(), [], {}
+    for text, end, script, of_script, start, of_start, odd in tokens:
+        if text and not hidden:
+            if "&" in text:
+                text = decode(text)
+            if anchor:
+                anchor[1].append(text)
+            if cell:
+                cell[1].append(text)
+        if start or script:
+            tag, of = (start.lower(), of_start) if start else (script, of_script)
+            given = given_of(of) if of else none
+            if given and (claim := given.get("data-claim-id")) and "${" not in claim and claim not in claims:
+                claims.append(claim)
+            if script:
+                continue
+            if tag == "td" or tag == "th":
+                if no is not None:
+                    if cell:
+                        column = _end_cell(cells, held, no, row, column, cell)
+                    if row < 0:
+                        row = column = 0
+                    while held and (row, column) in held:
+                        column += 1
+                    cell = (tag == "th", [], [], _span(given, "rowspan"), _span(given, "colspan")) if given else (tag == "th", [], [], 1, 1)
+            elif tag == "tr":
+                if no is not None:
+                    if cell:
+                        _end_cell(cells, held, no, row, column, cell)
+                    cell, row, column = None, row + 1, 0
+            elif tag == "table":
+                stack.append((no, row, column, held, cell))
+                no, row, column, held, cell = tables, -1, 0, set(), None
+                tables += 1
+            elif tag in refused:
+                return None
+            elif tag in _HIDDEN:
+                hidden += 1
+            elif tag == "iframe" and given.get("src"):
+                frames.append(given["src"])
+            else:
+                if tag == "a":
+                    _end_anchor(anchors, anchor)
+                    anchor = (given["href"], []) if given.get("href") else None
+                if cell:
+                    if given.get("href"):
+                        cell[2].append(given["href"])
+                    cell[1].append(" ")
+        elif end:
+            tag = end.lower()
+            if tag == "td" or tag == "th" or tag == "tr":
+                if cell:
+                    column, cell = _end_cell(cells, held, no, row, column, cell), None
+            elif tag == "table":
+                if no is not None:
+                    if cell:
+                        _end_cell(cells, held, no, row, column, cell)
+                    no, row, column, held, cell = stack.pop()
+            elif tag in _HIDDEN:
+                hidden = max(0, hidden - 1)
+            else:
+                if tag == "a":
+                    _end_anchor(anchors, anchor)
+                    anchor = None
+                if cell:
+                    cell[1].append(" ")
+        elif odd:
+            return None
+    _end_anchor(anchors, anchor)
+    while no is not None:
+        if cell:
+            _end_cell(cells, held, no, row, column, cell)
+        no, row, column, held, cell = stack.pop()
+    return cells, frames, claims, anchors
+
+
+def parts_of(html: str | None) -> tuple[list, list, list, list]:
+    """Cells, frames, claims and anchors of a page. What isn't plain markup goes to the parser, with the same result in several times the time."""
+    return _parts(_TOKEN.findall(html or ""), _given, unescape, _RAW) or _parts(_Tokens(html).tokens, dict, str, set())
 
 
 CELL = pa.struct([("table", pa.int32()), ("row", pa.int32()), ("column", pa.int32()), ("header", pa.bool_()), ("spanned", pa.bool_()), ("text", pa.string()), ("links", pa.list_(pa.string()))])
 
+#: Cells that a task holds before it passes them on.
+CELLS_AT_ONCE = 20_000
+
 ANCHOR = pa.struct([("href", pa.string()), ("label", pa.string())])
 
 
@@ -149,13 +204,11 @@ def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         for batch in batches:
             cells, frames, claims, anchors = [], [], [], []
             for html in batch.column(1).to_pylist():
-                page = _Tables()
-                page.feed(html or "")
-                page.close()
-                cells.append([dict(zip(("table", "row", "column", "header", "spanned", "text", "links"), c, strict=True)) for c in page.cells])
-                frames.append(page.frames)
-                claims.append(page.claims)
-                anchors.append([{"href": h, "label": label} for h, label in page.anchors])
+                of_cells, of_frames, of_claims, of_anchors = parts_of(html)
+                cells.append([dict(zip(("table", "row", "column", "header", "spanned", "text", "links"), c, strict=True)) for c in of_cells])
+                frames.append(of_frames)
+                claims.append(of_claims)
+                anchors.append([{"href": h, "label": label} for h, label in of_anchors])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(CELL)), pa.array(frames, pa.list_(pa.string())), pa.array(claims, pa.list_(pa.string())), pa.array(anchors, pa.list_(ANCHOR))], [id_col, "cells", "frames", "claims", "anchors"])
 
     kind = "array<struct<table:int,row:int,column:int,header:boolean,spanned:boolean,text:string,links:array<string>>>"
@@ -164,7 +217,27 @@ def page_parts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 def table_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """A row for each place of each table of each page, in no order of rows: id, table, row, column, header, spanned, text, links."""
-    return page_parts(pages, id_col, html_col).select(id_col, F.inline("cells"))
+    id_type = pages.schema[id_col].dataType.simpleString()
+
+    def rows(ids: pa.Array, at: list[int], cells: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, f.type) for f, values in zip(CELL, zip(*cells, strict=True), strict=True)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], [id_col, *[f.name for f in CELL]])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cells = [], []
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                found = parts_of(html)[0]
+                at.extend([i] * len(found))
+                cells.extend(found)
+                if len(cells) >= CELLS_AT_ONCE:
+                    yield rows(batch.column(0), at, cells)
+                    at, cells = [], []
+            if cells:
+                yield rows(batch.column(0), at, cells)
+
+    kind = "table int, row int, column int, header boolean, spanned boolean, text string, links array<string>"
+    return pages.select(id_col, html_col).mapInArrow(parsed, f"`{id_col}` {id_type}, {kind}")
 
 
 def map_point(address: Column) -> Column:
