@@ -123,6 +123,17 @@ def test_dissolve_of_a_mosaic(spark):
     assert polygons.dissolve(frame(spark, []), "label").count() == 0
 
 
+def test_dissolve_carries_open_rings_alone(spark, monkeypatch):
+    written, cut = [], polygons.cut_lineage
+    monkeypatch.setattr(polygons, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    cells = [(x, 0) for x in range(40)] + [(2 * i, 5) for i in range(100)]
+    rows = [(i, None if i % 2 and y else "a", 0, [closed([(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)])]) for i, (x, y) in enumerate(cells)]
+    found = polygons.dissolve(frame(spark, rows), "label").collect()
+    assert sorted(len(r.ring) - 1 for r in found) == [4] * 100 + [82] and sorted(r.ring_no for r in found if r.label is None) == list(range(50))
+    assert all(r.ring[0] == min(r.ring) for r in found) and not any(r.hole for r in found)
+    assert written[-1].count() <= 82 < written[1].count() == 482
+
+
 def test_cover_by_discs(spark, stars):
     rnd = random.Random(2)
     points = [(rnd.uniform(0, 10), rnd.uniform(0, 10)) for _ in range(25)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -94,9 +95,10 @@ def holding_siblings(polys: DataFrame, group: str, name: str, least: int = 2, or
 def dissolve(polys: DataFrame, key: str) -> DataFrame:
     """(key, ring_no, hole, ring): the outline of the union of each key's polygons, as closed rings that begin at their least side; holes run with the clock.
 
-    Polygons of a key may touch but not overlap, and neighbours must have the same corners: sides that two of them share run against each other and cancel. The sides left are chained by doubling: each knows
-    the side some steps ahead and the least side up to there, so a ring of n sides takes log2(n) joins on side numbers, and no key's sides come together before their rings are known. Where rings touch in a corner the
-    next side is the sharpest to the left, which keeps them apart. Rings of a key are numbered by their least side. Null keys are one key; polygons without rings add nothing.
+    Polygons of a key may touch but not overlap, and neighbours must have the same corners: sides that two of them share run against each other and cancel. The sides left are numbered in the order of their corners and chained
+    by doubling: each knows the side some steps ahead and the least side up to there, so a ring of n sides takes log2(n) joins on numbers, and no key's sides come together before their rings are known. A side whose two halves
+    have the same least has been round its ring; it serves the others for one more round, which ends them too, and leaves, so a round costs what rings are still open. Where rings touch in a corner the next side is the sharpest
+    to the left, which keeps them apart. Rings of a key are numbered by their least side. Null keys are one key; polygons without rings add nothing.
     """
     by = F.col(key).alias("_key")
     e = polys.select(by, F.explode(shapes.sides(F.col("rings"))).alias("e")).select("_key", F.col("e.a").alias("a"), F.col("e.b").alias("b")).where("a <> b")
@@ -104,23 +106,23 @@ def dissolve(polys: DataFrame, key: str) -> DataFrame:
     low, high = F.when(forward, F.col("a")).otherwise(F.col("b")), F.when(forward, F.col("b")).otherwise(F.col("a"))
     net = e.groupBy("_key", low.alias("_low"), high.alias("_high")).agg(F.sum(F.when(forward, 1).otherwise(-1)).alias("_n")).where("_n <> 0")
     ends = net.select("_key", F.when(F.col("_n") > 0, F.col("_low")).otherwise(F.col("_high")).alias("a"), F.when(F.col("_n") > 0, F.col("_high")).otherwise(F.col("_low")).alias("b"))
-    # a side's number is its place among its key's: the corners themselves, which also orders them
-    left = cut_lineage(ends.withColumn("id", F.sha2(F.to_json(F.struct("_key", "a", "b")).cast("binary"), 256)).withColumn("first", F.struct("a", "b")))
+    # a side's number orders it among its key's by its corners, with gaps between the ranges
+    left = cut_lineage(ends.orderBy("_key", "a", "b").withColumn("id", F.monotonically_increasing_id()))
     out = left.select(F.col("_key").alias("_k"), F.col("a").alias("_at"), F.col("b").alias("_to"), F.col("id").alias("next"))
     met = left.join(out, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("b") == F.col("_at")))
     ux, uy, vx, vy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"), F.col("_to.x") - F.col("_at.x"), F.col("_to.y") - F.col("_at.y")
     turn = F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)  # to the left is positive; straight back last
     turn = F.when(turn >= math.pi - 1e-12, -math.pi).otherwise(turn)
-    steps = cut_lineage(met.groupBy("_key", "id", "first").agg(F.max_by("next", F.struct(turn, "next")).alias("next")).withColumns({"least": F.col("first"), "offset": F.lit(0).cast("long"), "ahead": F.col("next"), "_moved": F.lit(True)}).drop("next", "first"))
-    reach = 1
-    while steps.where("_moved").limit(1).count():
-        there = steps.select(F.col("id").alias("ahead"), F.col("least").alias("_least"), F.col("offset").alias("_offset"), F.col("ahead").alias("_ahead"))
+    steps = cut_lineage(met.groupBy("id").agg(F.max_by("next", F.struct(turn, "next")).alias("ahead")).select("id", "ahead", F.col("id").alias("least"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("done")))
+    ended, reach = [], 1
+    while not (open_ := steps.where("not done")).isEmpty():
+        there = steps.select(F.col("id").alias("ahead"), F.col("least").alias("_least"), F.col("offset").alias("_offset"), F.col("ahead").alias("_ahead"), F.col("done").alias("_done"))
         lower = F.col("_least") < F.col("least")
-        doubled = steps.join(there, "ahead").select(
-            "_key", "id", F.when(lower, F.col("_least")).otherwise(F.col("least")).alias("least"), F.when(lower, F.col("_offset") + reach).otherwise(F.col("offset")).alias("offset"), F.col("_ahead").alias("ahead"), lower.alias("_moved")
-        )
+        least, offset = F.when(lower, F.col("_least")).otherwise(F.col("least")), F.when(lower, F.col("_offset") + reach).otherwise(F.col("offset"))
+        doubled = open_.join(there, "ahead").select("id", F.col("_ahead").alias("ahead"), least.alias("least"), offset.alias("offset"), (F.col("_done") | (F.col("_least") == F.col("least"))).alias("done"))
         steps, reach = cut_lineage(doubled), 2 * reach
-    placed = steps.join(left.select("id", "a"), "id")
+        ended.append(steps.where("done").select("id", "least", "offset"))
+    placed = left.join(functools.reduce(DataFrame.unionByName, ended, steps.where("done").select("id", "least", "offset").limit(0)), "id")
     rings = placed.groupBy("_key", "least").agg(F.array_sort(F.collect_list(F.struct((F.when(F.col("offset") == 0, F.lit(-(1 << 62))).otherwise(-F.col("offset"))).alias("o"), F.col("a")))).alias("_c"))
     ring = F.transform("_c", lambda c: c["a"])
     closed = rings.withColumn("ring", F.concat(ring, F.slice(ring, 1, 1)))
