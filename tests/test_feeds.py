@@ -50,3 +50,14 @@ def test_ride_times(spark):
     times = spark.range(1).select(feeds.ride_times(line, 10.0, 30.0, 2.0).alias("t")).first().t
     assert times == pytest.approx([0.0, step / 5, step / 5 + 30 + 2 * step / 5], rel=1e-9)
     assert [r.c for r in spark.createDataFrame([(0.4,), (90000.0,), (3599.6,)], "s double").select(feeds.clock(F.col("s")).alias("c")).collect()] == ["00:00:00", "25:00:00", "01:00:00"]
+
+
+def test_sightings_stay_narrow(spark):
+    seen = spark.createDataFrame([("t", "r", "R", 1, 10), ("t", "r", "R", 1, 20), ("t", "r", "R", 2, 30), ("t", "r", "R", 9, 40), ("u", "r", "R", 2, 5), ("t", "r", "R", 1, None)], "trip_id string, route_id string, route_name string, stop_id int, second int")
+    stops = spark.createDataFrame([(1, "b", 1.0, 2.0), (1, "a", 1.0, 2.0), (2, "c", 3.0, 4.0), (3, "unseen", 0.0, 0.0), (9, "nowhere", None, 1.0)], "stop_id int, stop_name string, x double, y double")
+    feed = feeds.from_sightings(seen, stops)
+    rows = lambda name, *c: sorted(tuple(r) for r in feed[name].select(*c).collect())
+    assert rows("stop_times", "trip_id", "stop_sequence", "stop_id", "arrival_time") == [("t", 0, "1", "00:00:10"), ("t", 1, "2", "00:00:30")]
+    assert rows("stops", "stop_id", "stop_name", "stop_lat", "stop_lon") == [("1", "a", 2.0, 1.0), ("2", "c", 4.0, 3.0)] and rows("trips", "trip_id", "route_id", "direction_id") == [("t", "r", 0)]
+    plan = feed["stop_times"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "stop_name" not in plan.split("Window", 1)[1].split("Join", 1)[0]

@@ -42,16 +42,21 @@ def ride_times(stops: Column, metres_per_second: float, dwell: float, detour: fl
 def tables(trips: DataFrame, agency: str) -> dict[str, DataFrame]:
     """A feed of (trip_id, route_id, route_name, route_type, direction, start, stops, at): start and at are seconds, stops an array of STOP. Trips of fewer than two stops are left out; a stop id's first name and place by order count."""
     kept = trips.where(F.size("stops") >= 2)
-    spark = trips.sparkSession
     each = kept.select("trip_id", "start", F.posexplode(F.arrays_zip("stops", "at")).alias("stop_sequence", "s"))
-    time = clock(F.col("start") + F.col("s.at"))
-    stops = each.groupBy(F.col("s.stops.stop_id").alias("stop_id")).agg(F.min(F.struct("s.stops.stop_name", "s.stops.x", "s.stops.y")).alias("_s"))
+    times = each.select("trip_id", "stop_sequence", F.col("s.stops.stop_id").alias("stop_id"), clock(F.col("start") + F.col("s.at")).alias("time"))
+    return _feed(kept, times, each.select("s.stops.stop_id", "s.stops.stop_name", "s.stops.x", "s.stops.y"), agency)
+
+
+def _feed(kept: DataFrame, times: DataFrame, places: DataFrame, agency: str) -> dict[str, DataFrame]:
+    """A feed of trips (trip_id, route_id, route_name, route_type, direction), their times (trip_id, stop_sequence, stop_id, time) and stops (stop_id, stop_name, x, y)."""
+    spark = kept.sparkSession
+    stops = places.groupBy("stop_id").agg(F.min(F.struct("stop_name", "x", "y")).alias("_s"))
     return {
         "agency": spark.range(1).select(F.lit(agency).alias("agency_id"), F.lit(agency).alias("agency_name"), F.lit("https://example.org").alias("agency_url"), F.lit("Asia/Kolkata").alias("agency_timezone")),
         "calendar": spark.range(1).select(F.lit(SERVICE).alias("service_id"), *[F.lit(1).alias(d) for d in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")], F.lit(FROM).alias("start_date"), F.lit(TO).alias("end_date")),
         "routes": kept.groupBy("route_id").agg(F.min("route_name").alias("route_long_name"), F.min("route_type").alias("route_type")).withColumn("agency_id", F.lit(agency)),
         "trips": kept.select("trip_id", "route_id", F.lit(SERVICE).alias("service_id"), F.col("direction").alias("direction_id")),
-        "stop_times": each.select("trip_id", "stop_sequence", F.col("s.stops.stop_id").alias("stop_id"), time.alias("arrival_time"), time.alias("departure_time")),
+        "stop_times": times.select("trip_id", "stop_sequence", "stop_id", F.col("time").alias("arrival_time"), F.col("time").alias("departure_time")),
         "stops": stops.select("stop_id", "_s.stop_name", F.col("_s.y").alias("stop_lat"), F.col("_s.x").alias("stop_lon")),
     }
 
@@ -89,13 +94,18 @@ def from_stop_lists(lists: DataFrame, stops: DataFrame, agency: str = "lists", s
 
 def from_sightings(seen: DataFrame, stops: DataFrame, agency: str = "seen") -> dict[str, DataFrame]:
     """Vehicles seen at stops (trip_id, route_id, route_name, stop_id, second: of the day): each trip's stops by time, equal neighbours once at their first time, with the times as seen. Sightings without a time or a known stop are left out."""
-    known = stops.where("x is not null and y is not null").select(F.col("stop_id"), F.struct(F.col("stop_id").cast("string").alias("stop_id"), F.col("stop_name").cast("string").alias("stop_name"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("_s"))
-    at = seen.where("second is not null").join(known, "stop_id")
-    by_trip = Window.partitionBy("trip_id").orderBy("second", "stop_id")
-    moved = at.withColumn("_before", F.lag("stop_id").over(by_trip)).where(F.col("_before").isNull() | (F.col("_before") != F.col("stop_id")))
-    trips = moved.groupBy("trip_id").agg(F.min("route_id").alias("route_id"), F.min("route_name").alias("route_name"), F.array_sort(F.collect_list(F.struct("second", "stop_id", "_s"))).alias("_l"))
-    first = F.get("_l", F.lit(0))["second"]
-    return tables(trips.select(F.col("trip_id").cast("string").alias("trip_id"), "route_id", "route_name", F.lit(3).alias("route_type"), F.lit(0).alias("direction"), first.alias("start"), F.transform("_l", lambda x: x["_s"]).alias("stops"), F.transform("_l", lambda x: (x["second"] - first).cast("double")).alias("at")), agency)
+    known = stops.where("x is not null and y is not null")
+    at = seen.where("second is not null").join(known.select("stop_id"), "stop_id", "left_semi")
+    trip = Window.partitionBy("trip_id")
+    by_time = trip.orderBy("second", "stop_id")
+    moved = at.withColumn("_before", F.lag("stop_id").over(by_time)).where(F.col("_before").isNull() | (F.col("_before") != F.col("stop_id")))
+    # rows stay as narrow as a sighting: names and places are the stops' alone
+    rows = moved.withColumn("stop_sequence", F.row_number().over(by_time) - 1).withColumn("_n", F.count(F.lit(1)).over(trip)).where("_n >= 2")
+    name = F.col("trip_id").cast("string").alias("trip_id")
+    trips = rows.groupBy("trip_id").agg(F.min("route_id").alias("route_id"), F.min("route_name").alias("route_name")).select(name, "route_id", "route_name", F.lit(3).alias("route_type"), F.lit(0).alias("direction"))
+    times = rows.select(name, "stop_sequence", F.col("stop_id").cast("string").alias("stop_id"), clock(F.col("second")).alias("time"))
+    places = known.join(rows.select("stop_id"), "stop_id", "left_semi").select(F.col("stop_id").cast("string").alias("stop_id"), F.col("stop_name").cast("string").alias("stop_name"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return _feed(trips, times, places, agency)
 
 
 def from_lines(stations: DataFrame, service: DataFrame, agency: str = "metro", pace: float = 9.0, dwell: float = 30.0) -> dict[str, DataFrame]:
