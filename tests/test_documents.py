@@ -115,6 +115,38 @@ def test_nested_links(spark):
     assert documents.nested_links(docs.limit(0), "j").count() == 0
 
 
+def test_nested_links_open_levels_together(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(documents, "cut_lineage", lambda df, cut=documents.cut_lineage: written.append(cut(df)) or written[-1])
+
+    def boxed(depth):
+        value = {"title": f"t{depth}", "url": f"{depth}.pdf"}
+        for i in range(depth):
+            value = {"k": value, "title": "no link"} if i % 2 else [0, value]
+        return value
+
+    def links(depths):
+        written.clear()
+        docs = spark.createDataFrame([(d, json.dumps(boxed(d))) for d in depths], "id int, j string")
+        return sorted((r.id, r.depth, r.path.count("[1]") + r.path.count(".k"), r.title, r.url) for r in documents.nested_links(docs, "j").collect())
+
+    assert links([0, 3, 6, 7]) == [(d, d, d, f"t{d}", f"{d}.pdf") for d in (0, 3, 6, 7)] and len(written) == 1
+    assert links([8, 9, 15, 16, 17]) == [(d, d, d, f"t{d}", f"{d}.pdf") for d in (8, 9, 15, 16, 17)] and len(written) == 3
+
+
+def test_nested_links_read_any_value(spark):
+    cells = ["2024", "1.50", "1e3", "true", "null", '""', '"  "', '" a "', "[]", "{}", '{"x": "download"}', '["download", 1]', '"a.pdf"', '"é<\\u0041>.PDF#1"']
+    texts = [f'{{"title": {a}, "name": "n", "url": {b}, "URL": "U.pdf", "in": {{"to": "to.pdf"}}}}' for a in cells for b in cells]
+    texts += ['{"title": "t", "title": "u", "url": "a.pdf"}', '{"title": "t", "url": "a.pdf"} more', '{"title": "t", "url": "a.pdf"', '"a.pdf"', '["title", "url", "a.pdf"]', '{"Title": "t", "link": "a.pdf"}', "{}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, j string")
+    kinds, titles = r"(?i)\.pdf(?:[?#]|$)|download", ("title", "name")
+    for urls in (("url",), ("URL",), ("url", "URL"), ("in.to", "url")):
+        one = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("v", f"$.{f}", "string")), F.lit("")) for f in names])
+        want = docs.withColumn("v", F.try_parse_json("j")).select("id", one(titles).alias("title"), one(urls).alias("url")).where(F.col("title").isNotNull() & F.col("url").rlike(kinds))
+        got = documents.nested_links(docs, "j", url_fields=urls, title_fields=titles).where("depth = 0").select("id", "title", "url")
+        assert sorted(got.collect()) == sorted(want.collect()) != []
+
+
 PAGE = """<p data-claim-id="c1">x<p data-claim-id='c1'><i data-claim-id="${no}"></i><b data-claim-id="c2"></b><iframe src="/f?a=1&amp;b=2"></iframe>
 <table><tr><td rowspan=2>A<td colspan="2">B &amp; <a href='/u'>l</a><br>c</tr><tr><th>D<td><table><tr><td>in</table> E</tr>
 <script>document.write("<td>no</td>")</script><tr><td rowspan=x>F</table><td>out of a table</td>"""

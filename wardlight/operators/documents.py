@@ -18,29 +18,59 @@ from wardlight.plans.session import cut_lineage
 URL_FIELDS, TITLE_FIELDS = ("url", "href", "link", "file", "path"), ("title", "name", "label", "menuName")
 
 
-def nodes(docs: DataFrame, json_col: str, id_col: str = "id") -> DataFrame:
-    """(id, path, depth, value): every object and array in a column of JSON texts, at any depth, the whole one included; value is a VARIANT, path is `$` with `.key` and `[place]` steps.
+#: Levels of nesting that one stage opens.
+_LEVELS = 8
+
 
-    One round for each level, of the containers alone: a level's are opened side by side and written, so depth costs jobs and neither rows nor nesting are bounded. A text that is no JSON, or null, has no node; a lone value
-    is none.
+def _met(docs: DataFrame, json_col: str, id_col: str, kept: Callable[[DataFrame], DataFrame], fields: str) -> DataFrame:
+    """(id, fields): what `kept` makes of the values in a column of JSON texts, at any depth; it adds `_kept`, a struct of the fields or null, to rows of (path, depth, value).
+
+    A row is a value with what was kept on the way to it, which goes on with the first value inside, so that several levels are opened in one stage. Then what was kept is written, with the containers still to be opened: depth
+    costs a job for every eight levels, and neither rows nor nesting are bounded.
     """
-    holds_more = F.col("value").isNotNull() & F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-    level = docs.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(json_col).alias("value")).where(holds_more)
-    out, spark = None, docs.sparkSession
+    spark, none, out = docs.sparkSession, F.array().cast(f"array<struct<{fields}>>"), None
+    rows = docs.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.try_parse_json(json_col).alias("value"), none.alias("_all"))
+    first = F.coalesce(F.col("c.pos") == 0, F.lit(True))
+    step = F.when(F.col("c.key").isNull(), F.concat(F.lit("["), F.col("c.pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("c.key")))
     while True:
-        level = cut_lineage(level)
-        if out is not None and level.isEmpty():
+        for _ in range(_LEVELS):
+            rows = kept(rows).withColumn("_all", F.when(F.col("_kept").isNull(), F.col("_all")).otherwise(F.concat("_all", F.array("_kept"))))
+            kids = rows.alias("p").lateralJoin(spark.tvf.variant_explode_outer(F.col("p.value").outer()).alias("c"))
+            rows = kids.select("p.id", F.concat("p.path", step).alias("path"), (F.col("p.depth") + 1).alias("depth"), "c.value", F.when(first, F.col("p._all")).otherwise(none).alias("_all")).where("value is not null or size(_all) > 0")
+        rows = cut_lineage(rows.withColumn("value", F.when(_is_container("value"), F.col("value"))).where("value is not null or size(_all) > 0"))
+        met = rows.select("id", F.inline("_all"))
+        out = met if out is None else out.unionByName(met)
+        rows = rows.where("value is not null").withColumn("_all", none)
+        if rows.isEmpty():
             return out
-        out = level if out is None else out.unionByName(level)
-        kids = level.alias("p").lateralJoin(spark.tvf.variant_explode(F.col("p.value").outer()).alias("c"))
-        step = F.when(F.col("c.key").isNull(), F.concat(F.lit("["), F.col("c.pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("c.key")))
-        level = kids.select("p.id", F.concat("p.path", step).alias("path"), (F.col("p.depth") + 1).alias("depth"), F.col("c.value").alias("value")).where(holds_more)
+
+
+def _is_container(value: str) -> Column:
+    """Whether a VARIANT is an object or an array, without a look at what lies in it."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull() | F.try_variant_get(value, "$", "array<struct<>>").isNotNull()
+
+
+def nodes(docs: DataFrame, json_col: str, id_col: str = "id") -> DataFrame:
+    """(id, path, depth, value): every object and array in a column of JSON texts, at any depth, the whole one included; value is a VARIANT, path is `$` with `.key` and `[place]` steps. A text that is no JSON, or null, has no
+    node; a lone value is none."""
+    kept = lambda rows: rows.withColumn("_kept", F.when(_is_container("value"), F.struct("path", "depth", "value")))
+    return _met(docs, json_col, id_col, kept, "path string, depth int, value variant")
 
 
 def nested_links(docs: DataFrame, json_col: str, id_col: str = "id", url_fields: tuple[str, ...] = URL_FIELDS, title_fields: tuple[str, ...] = TITLE_FIELDS, kinds: str = r"(?i)\.pdf(?:[?#]|$)|download") -> DataFrame:
     """(id, path, depth, title, url): every object, however deep, with a link of the wanted kind and a title; a link that an id has twice is kept once, where it stands highest and first by path."""
-    text = lambda fields: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("value", f"$.{f}", "string")), F.lit("")) for f in fields])
-    found = nodes(docs, json_col, id_col).select("id", "path", "depth", text(title_fields).alias("title"), text(url_fields).alias("url")).where(F.col("title").isNotNull() & F.col("url").rlike(kinds))
+    names = [f for f in dict.fromkeys((*title_fields, *url_fields)) if re.fullmatch(r"\w+", f)]
+    names = [f for f in names if [g.lower() for g in names].count(f.lower()) == 1]  # read together; paths and names that differ by case alone are read one by one
+    cell = lambda f: F.col(f"_object.{f}") if f in names else F.try_variant_get("value", f"$.{f}", "string")
+    text = lambda fields: F.coalesce(*[F.nullif(F.trim(cell(f)), F.lit("")) for f in fields])
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_object", F.try_variant_get("value", "$", f"struct<{', '.join(f'`{f}` string' for f in names)}>"))
+        rows = rows.withColumn("_link", F.when(F.col("_object").isNotNull(), F.struct("path", "depth", text(title_fields).alias("title"), text(url_fields).alias("url"))))
+        return rows.withColumn("_kept", F.when(F.col("_link.title").isNotNull() & F.col("_link.url").rlike(kinds), F.col("_link")))
+
+    # spread by what is grouped, since the least of structs is found by sorting: once, and not whatever a reader packs into a task
+    found = _met(docs, json_col, id_col, kept, "path string, depth int, title string, url string").repartition("id", "url")
     return found.groupBy("id", "url").agg(F.min(F.struct("depth", "path", "title")).alias("_f")).select("id", "_f.path", "_f.depth", "_f.title", "url")
 
 
